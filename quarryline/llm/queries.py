@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read
-from . import cooccurrence, residue
+from . import cooccurrence, leakage, residue
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,12 @@ full_pair as (select p.repo_id, path_a, path_b, n.n, a.c n_a, b.c n_b, joint fro
   join single a on a.repo_id = p.repo_id and a.path = path_a join single b on b.repo_id = p.repo_id and b.path = path_b)
 """
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_pairs": p4_pairs}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = leakage.find_leaks(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "eval_items"), "item_id", "item_text")
+    return leaks.select(F.col("document").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+QUERIES = {"p7_found": p7_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pairs": p4_pairs}
 
 SQL = {
     "p4_found": _PAIRS_SQL + "select repo_id, path_a, path_b from full_pair where joint >= 5 and 2 * joint >= n_a + n_b - joint and joint * n >= 2 * n_a * n_b",

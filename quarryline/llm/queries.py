@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read
-from . import cooccurrence, leakage, residue
+from . import abuse, cooccurrence, leakage, residue
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,23 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select(F.col("document").alias("doc_id"), F.col("item").alias("item_id"))
 
 
-QUERIES = {"p7_found": p7_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pairs": p4_pairs}
+def _abuse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.score_documents(read(spark, sf_dir, "documents"), "doc_id", "text", "source", read(spark, sf_dir, "abuse_samples"), "sample_text", "label")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse_scores(spark, sf_dir).filter(F.col("score") >= abuse.THRESHOLD).select(F.col("document").alias("doc_id")).distinct()
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse_scores(spark, sf_dir).select(F.col("document").alias("doc_id"), F.round("score", 4).alias("score"), "kind")
+
+
+def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(_abuse_scores(spark, sf_dir))
+
+
+QUERIES = {"p8_found": p8_found, "p8_scores": p8_scores, "p8_source_rates": p8_source_rates, "p7_found": p7_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pairs": p4_pairs}
 
 SQL = {
     "p4_found": _PAIRS_SQL + "select repo_id, path_a, path_b from full_pair where joint >= 5 and 2 * joint >= n_a + n_b - joint and joint * n >= 2 * n_a * n_b",

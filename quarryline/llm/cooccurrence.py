@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, dense_ids
 
+#: Renamed paths up to which the map of newest paths is broadcast; it is counted first, and a larger one is joined by shuffle.
+FEW_RENAMES = 100_000
+
 #: Items of a basket that are paired within one row; larger baskets become pairs of blocks.
 BLOCK = 256
 #: Codes that a map task sorts at once, 8 bytes each.
@@ -43,7 +46,7 @@ def _codes(left: pa.ListArray, right: pa.ListArray) -> Iterator[np.ndarray]:
 
 def _run(codes: list[np.ndarray]) -> pa.RecordBatch:
     code, length = np.unique(np.concatenate(codes), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(length, pa.int64())], ["code", "length"])
+    return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(length, pa.int32())], ["code", "length"])
 
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +66,7 @@ def _run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the lengths of equal neighbours in a sorted partition; the last code is held back over batch borders."""
     last, carried = None, 0
     for batch in batches:
-        code, length = batch.column("code").to_numpy(), batch.column("length").to_numpy()
+        code, length = batch.column("code").to_numpy(), batch.column("length").to_numpy().astype(np.int64)
         if not len(code):
             continue
         first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
@@ -91,7 +94,7 @@ def count_pairs(baskets: DataFrame) -> DataFrame:
         .select(part("i").alias("left"), F.when(F.col("i") != F.col("j"), part("j")).alias("right"))
         .repartition(F.xxhash64("left", "right"))
     )
-    runs = small.unionByName(large).mapInArrow(_sorted_runs, "code long, length long")
+    runs = small.unionByName(large).mapInArrow(_sorted_runs, "code long, length int")
     counted = runs.repartition("code").sortWithinPartitions("code").mapInArrow(_run_lengths, "code long, joint long")
     return counted.select(F.shiftright("code", 32).alias("id_a"), F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).alias("id_b"), "joint")
 
@@ -113,7 +116,8 @@ def items_together(records: DataFrame, scope: str, basket: str, item: str, *, mi
     top = items.agg(F.max("id")).first()[0]
     if top is not None and top >= 1 << 31:
         raise ValueError(f"{top + 1} items with at least {least} baskets don't fit in 31 bits; raise min_item")
-    baskets = touched.join(items, ["scope", "item"]).groupBy("scope", "basket").agg(F.sort_array(F.collect_list("id")).alias("items"))
+    # repeated rows fall away in collect_set, so the pair branch needs no distinct of its own
+    baskets = records.join(items.select("scope", "item", "id"), ["scope", "item"]).groupBy("scope", "basket").agg(F.sort_array(F.collect_set("id")).alias("items"))
     pairs = count_pairs(baskets).filter(F.col("joint") >= min_joint)
     a = items.select("scope", F.col("id").alias("id_a"), F.col("item").alias("item_a"), F.col("n_item").alias("n_a"))
     b = items.select(F.col("id").alias("id_b"), F.col("item").alias("item_b"), F.col("n_item").alias("n_b"))
@@ -156,5 +160,9 @@ def newest_paths(commits: DataFrame) -> DataFrame:
 
 def file_pairs(commits: DataFrame, *, min_joint: int = 1) -> DataFrame:
     """items_together for the files of a repository's commits, each under its newest path."""
-    touched = commits.select("repo_id", "hash", F.explode_outer("files.path").alias("path")).join(newest_paths(commits), ["repo_id", "path"], "left")
+    newest = newest_paths(commits)
+    if newest.count() <= FEW_RENAMES:
+        newest = F.broadcast(newest)
+    packed = F.when(F.col("hash").rlike("^([0-9a-f]{2})+$"), F.unhex("hash")).otherwise(F.encode("hash", "utf-8"))  # half the bytes to shuffle
+    touched = commits.select("repo_id", packed.alias("hash"), F.explode_outer("files.path").alias("path")).join(newest, ["repo_id", "path"], "left")
     return items_together(touched.select("repo_id", "hash", F.coalesce("newest", "path").alias("path")), "repo_id", "hash", "path", min_joint=min_joint)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read
-from . import abuse, cooccurrence, leakage, residue
+from . import abuse, cooccurrence, leakage, pii, residue
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,20 @@ full_pair as (select p.repo_id, path_a, path_b, n.n, a.c n_a, b.c n_b, joint fro
   join single a on a.repo_id = p.repo_id and a.path = path_a join single b on b.repo_id = p.repo_id and b.path = path_b)
 """
 
+def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commits, comments = read(spark, sf_dir, "commits"), read(spark, sf_dir, "review_comments")
+    return pii.find_pii(pii.bodies_of(commits, comments), commits, "author_name")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pii(spark, sf_dir).select("source_table", "record_key", F.explode("types").alias("pii_type")).distinct()
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pii(spark, sf_dir).filter(F.size("types") > 0)
+    return rows.groupBy("source_table", "record_key").agg(F.min("redacted").alias("body"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = leakage.find_leaks(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "eval_items"), "item_id", "item_text")
     return leaks.select(F.col("document").alias("doc_id"), F.col("item").alias("item_id"))
@@ -61,7 +75,7 @@ def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(_abuse_scores(spark, sf_dir))
 
 
-QUERIES = {"p8_found": p8_found, "p8_scores": p8_scores, "p8_source_rates": p8_source_rates, "p7_found": p7_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pairs": p4_pairs}
+QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p8_found": p8_found, "p8_scores": p8_scores, "p8_source_rates": p8_source_rates, "p7_found": p7_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pairs": p4_pairs}
 
 SQL = {
     "p4_found": _PAIRS_SQL + "select repo_id, path_a, path_b from full_pair where joint >= 5 and 2 * joint >= n_a + n_b - joint and joint * n >= 2 * n_a * n_b",

@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read
-from . import abuse, cooccurrence, leakage, pii, residue
+from . import abuse, clusters, cooccurrence, leakage, pii, residue
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = clusters.cluster_vectors(read(spark, sf_dir, "comment_vectors"), "vector_key", "vector", "model")
+    return clusters.sorted_neighbours(members).select(F.col("key_a").alias("vector_key_a"), F.col("key_b").alias("vector_key_b"))
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, centroids = clusters.cluster_vectors(read(spark, sf_dir, "comment_vectors"), "vector_key", "vector", "model")
+    return clusters.describe(members, centroids, read(spark, sf_dir, "comment_clusters"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +85,7 @@ def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(_abuse_scores(spark, sf_dir))
 
 
-QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p8_found": p8_found, "p8_scores": p8_scores, "p8_source_rates": p8_source_rates, "p7_found": p7_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pairs": p4_pairs}
+QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_found": p8_found, "p8_scores": p8_scores, "p8_source_rates": p8_source_rates, "p7_found": p7_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pairs": p4_pairs}
 
 SQL = {
     "p4_found": _PAIRS_SQL + "select repo_id, path_a, path_b from full_pair where joint >= 5 and 2 * joint >= n_a + n_b - joint and joint * n >= 2 * n_a * n_b",

@@ -40,7 +40,7 @@ def unit_vectors(df: DataFrame, key: str, vector: str, model: str, size: int = 6
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.values.to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float32)
 
 
@@ -186,7 +186,7 @@ def _nearest(vectors: DataFrame, centroids: DataFrame, total: int, columns: str,
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                models, x = np.array(batch.column("model").to_pylist()), _matrix(batch.column("v"))
+                models, x = np.array(batch.column("model").to_pylist()), _units(_matrix(batch.column("v")))
                 near, score, similarity = (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("near", "score", "similarity"))
                 near = np.nan_to_num(near.astype(float), nan=-1).astype(np.int64)
                 for m in np.unique(models):

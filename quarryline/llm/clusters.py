@@ -158,7 +158,7 @@ def _agglomerated(features: DataFrame, pivots: dict[str, np.ndarray], least: int
             done = part if not k else (np.r_[done[0], part[0]], np.r_[done[1], part[1]])
         n, sums = ward(*done) if len(n) > 2 * NODE_LEAVES else done
         keep = n >= least
-        return pd.DataFrame({"model": pdf.model.iloc[0], "n": n[keep], "sums": list(sums[keep].astype(np.float32))})
+        return pd.DataFrame({"model": pdf.model.iloc[0], "n": n[keep], "sums": pd.Series(list(sums[keep].astype(np.float32)), dtype=object)})
 
     placed = features.mapInArrow(node, "model string, n double, sums array<float>, node int")
     return placed.groupBy("model", "node").applyInPandas(merged, "model string, n double, sums array<float>")

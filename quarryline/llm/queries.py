@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read
-from . import abuse, clusters, cooccurrence, leakage, pii, residue
+from . import abuse, clusters, cooccurrence, leakage, packing, pii, residue
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,10 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source_table", "record_key").agg(F.min("redacted").alias("body"))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.container_lists(packing.fill_containers(read(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = leakage.find_leaks(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "eval_items"), "item_id", "item_text")
     return leaks.select(F.col("document").alias("doc_id"), F.col("item").alias("item_id"))
@@ -85,7 +89,7 @@ def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(_abuse_scores(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_found": p8_found, "p8_scores": p8_scores, "p8_source_rates": p8_source_rates, "p7_found": p7_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pairs": p4_pairs}
+QUERIES = {"p6_containers": p6_containers, "p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_found": p8_found, "p8_scores": p8_scores, "p8_source_rates": p8_source_rates, "p7_found": p7_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pairs": p4_pairs}
 
 SQL = {
     "p4_found": _PAIRS_SQL + "select repo_id, path_a, path_b from full_pair where joint >= 5 and 2 * joint >= n_a + n_b - joint and joint * n >= 2 * n_a * n_b",

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +33,22 @@ BLOCK = 40_000
 
 def unit_vectors(df: DataFrame, key: str, vector: str, model: str, size: int = 64) -> DataFrame:
     """(model, key, v): full valid vectors, made unit length. Null, short, long, zero, NaN and infinite ones are left out."""
-    v = F.col(vector).cast("array<double>")
-    whole = (F.size(v) == size) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e30))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    kept = df.filter(F.col(key).isNotNull() & F.col(model).isNotNull() & F.coalesce(whole, F.lit(False))).withColumn("_n", norm).filter("_n > 0")
-    return kept.select(F.col(model).alias("model"), F.col(key).alias("key"), F.transform(v, lambda x: (x / F.col("_n")).cast("float")).alias("v"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("v")
+            kept = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(pc.list_value_length(column), size), False)))
+            x = pc.list_flatten(column.take(pa.array(kept))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+            with np.errstate(invalid="ignore", over="ignore"):
+                norm = np.sqrt((x * x).sum(1))
+            good = np.isfinite(norm) & (norm > 0)
+            units = (x[good] / norm[good, None]).astype(np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, units.size + 1, size), pa.int32()), pa.array(units.ravel()))
+            rows = batch.take(pa.array(kept[good]))
+            yield pa.RecordBatch.from_arrays([rows.column("model"), rows.column("key"), lists], ["model", "key", "v"])
+
+    named = df.filter(F.col(key).isNotNull() & F.col(model).isNotNull()).select(F.col(model).alias("model"), F.col(key).alias("key"), F.col(vector).alias("v"))
+    return named.mapInArrow(whole, "model string, key string, v array<float>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -85,7 +97,7 @@ def _tree(pivots: dict[str, np.ndarray], batches: Iterator[pa.RecordBatch]) -> I
         models, x = np.array(batch.column("model").to_pylist()), _matrix(batch.column("v"))
         for m in np.unique(models):
             own = x[models == m]
-            node = (own @ pivots[m].T).argmax(1)
+            node = _node(own, pivots.get(m))
             for k in np.unique(node):
                 nodes.setdefault((m, int(k)), Leaves(own.shape[1])).insert(own[node == k])
         if sum(leaf.used for leaf in nodes.values()) > HELD:
@@ -129,13 +141,21 @@ def ward(n: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return n, sums
 
 
-def _pivots(vectors: DataFrame, count: int, seed: int) -> dict[str, np.ndarray]:
-    """At most PIVOTS sampled vectors of each model; any pivots give a right tree, better ones a faster one."""
-    picked = vectors.withColumn("at", F.xxhash64("key", F.lit(seed))).groupBy("model", F.pmod("at", F.lit(max(1, min(PIVOTS, count)))).alias("slot")).agg(F.min_by("v", "at").alias("v"))
-    held: dict[str, list] = {}
-    for model, _, v in picked.collect():
-        held.setdefault(model, []).append(v)
-    return {m: np.array(v, np.float32) for m, v in held.items()}
+def _pivots(vectors: DataFrame, total: int) -> list[dict[str, np.ndarray]]:
+    """Two sets of at most about PIVOTS sampled vectors; any pivots give a right tree, better ones a faster one."""
+    count = max(1, min(PIVOTS, math.ceil(total / NODE_LEAVES)))
+    chosen = [F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(max(1, total // count))) == 0 for seed in (1, 2)]
+    held: list[dict[str, list]] = [{}, {}]
+    for model, v, *sets in vectors.select("model", "v", *(c.alias(f"set{k}") for k, c in enumerate(chosen))).filter("set0 or set1").collect():
+        for k in (0, 1):
+            if sets[k]:
+                held[k].setdefault(model, []).append(v)
+    return [{m: np.array(v, np.float32) for m, v in h.items()} for h in held]
+
+
+def _node(x: np.ndarray, pivots: np.ndarray | None) -> np.ndarray:
+    """The most similar pivot; a model too small for a pivot is one node."""
+    return np.zeros(len(x), np.int32) if pivots is None else (x @ pivots.T).argmax(1).astype(np.int32)
 
 
 def _agglomerated(features: DataFrame, pivots: dict[str, np.ndarray], least: int) -> DataFrame:
@@ -146,7 +166,7 @@ def _agglomerated(features: DataFrame, pivots: dict[str, np.ndarray], least: int
             models, x = np.array(batch.column("model").to_pylist()), _matrix(batch.column("sums")) if batch.num_rows else None
             out = np.zeros(batch.num_rows, np.int32)
             for m in np.unique(models):
-                out[models == m] = (x[models == m] @ pivots[m].T).argmax(1)
+                out[models == m] = _node(x[models == m], pivots.get(m))
             yield batch.append_column("node", pa.array(out))
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -232,9 +252,8 @@ def cluster_vectors(df: DataFrame, key: str, vector: str, model: str, size: int
     Clusters have at least LEAST distinct keys; other keys have no row. Repeated rows count once. A key with several
     vectors in one model belongs to the cluster of the most similar. An empty table gives none.
     """
-    vectors = unit_vectors(df, key, vector, model, size)
-    total = vectors.count()
-    pivots = [_pivots(vectors, math.ceil(total / NODE_LEAVES), seed) for seed in (1, 2)]
+    vectors = stored(unit_vectors(df, key, vector, model, size))
+    pivots = _pivots(vectors, vectors.count())
     leaves = vectors.select("model", "v").mapInArrow(lambda batches: _tree(pivots[0], batches), "model string, n double, sums array<float>")
     features = _agglomerated(_agglomerated(leaves, pivots[0], 1), pivots[1], 2)
     centroids, count = _united(features)
@@ -284,7 +303,6 @@ def describe(members: DataFrame, centroids: DataFrame, earlier: DataFrame, typic
     old = unit_vectors(earlier.withColumn("_id", F.col("cluster_id").cast("string")), "_id", "centroid", "model").dropDuplicates(["model", "key"])
     numbered = stored(old.select("model", F.col("key").cast("long").alias("id"), F.lit(1.0).alias("n"), F.col("v").alias("sums")))
     mine = centroids.join(sizes.select("cluster"), "cluster", "left_semi").select("model", F.col("cluster").cast("string").alias("key"), F.col("sums").alias("v"))
-    unit = mine.withColumn("v", F.transform("v", lambda x: (x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y))).cast("float")))
-    compared = _nearest(unit, numbered, numbered.count(), "model string, key string, v array<float>", larger=False)
+    compared = _nearest(mine, numbered, numbered.count(), "model string, key string, v array<float>", larger=False)
     compared = compared.select(F.col("key").cast("long").alias("cluster"), F.col("near").alias("earlier_cluster"), F.when(F.col("near").isNotNull(), F.col("similarity")).alias("earlier_similarity"))
     return sizes.join(central, "cluster").join(compared, "cluster", "left")

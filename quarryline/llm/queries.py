@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read
-from . import abuse, clusters, cooccurrence, leakage, packing, pii, residue
+from . import abuse, clusters, cooccurrence, leakage, names, packing, pii, residue
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.resolve(names.author_keys(read(spark, sf_dir, "commits"), read(spark, sf_dir, "review_comments")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.variant_pairs(_entities(spark, sf_dir)).select(F.col("key_a").alias("author_key_a"), F.col("key_b").alias("author_key_b"))
+
+
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +101,7 @@ def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(_abuse_scores(spark, sf_dir))
 
 
-QUERIES = {"p6_containers": p6_containers, "p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_found": p8_found, "p8_scores": p8_scores, "p8_source_rates": p8_source_rates, "p7_found": p7_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pairs": p4_pairs}
+QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p6_containers": p6_containers, "p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_found": p8_found, "p8_scores": p8_scores, "p8_source_rates": p8_source_rates, "p7_found": p7_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pairs": p4_pairs}
 
 SQL = {
     "p4_found": _PAIRS_SQL + "select repo_id, path_a, path_b from full_pair where joint >= 5 and 2 * joint >= n_a + n_b - joint and joint * n >= 2 * n_a * n_b",

@@ -1 +1 @@
-
+"""Scalar expressions over columns."""

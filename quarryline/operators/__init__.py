@@ -1 +1 @@
-
+"""Operators over DataFrames; none collects its input."""

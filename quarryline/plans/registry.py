@@ -1,4 +1,303 @@
-"""The registered queries of the core, and the SQL that checks them."""
+"""The registered queries of the core over the test tables, and the SQL that checks them."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.scoring import decay
+from ..operators import commits as C
+from ..operators import coupling as P
+from ..operators import docs as D
+from ..operators import evidence as E
+from ..operators import retrieval as Q
+from ..operators import reviews as R
+from ..operators import vectors as V
+from ..runtime import read
+from ..sources import git_log as G
+from ..sources import notes as N
+
+REFERENCE, HALF_LIFE = "2026-01-01 00:00:00", 720.0
+#: Thresholds of the registered coupling queries; the commits of the test tables are spread over years.
+COUPLING = {"min_shared": 1.5, "min_confidence": 0.25, "min_lift": 1.5}
+REQUEST = Q.PlanningQuery(task="fix the retry backoff of the search reader", question="why does the cache grow", files=["docs/adr/retry.md", "README.md"])
+
+
+def _commits(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "commits")
+
+
+def commit_decay(spark, d):
+    weight = decay(F.col("author_date"), F.lit(REFERENCE).cast("timestamp"), HALF_LIFE)
+    return C.current(_commits(spark, d), "author_date").select("repo_id", "hash", F.round(weight.cast("double"), 6).alias("weight"))
+
+
+def commit_classification(spark, d):
+    return C.classify(_commits(spark, d)).select("repo_id", "hash", "commit_type", "scope", "is_breaking", "ticket", "is_conventional")
+
+
+def churn_hotspots(spark, d):
+    return C.churn(_commits(spark, d), REFERENCE, HALF_LIFE)
+
+
+def top_hotspots(spark, d):
+    return E.hotspots(churn_hotspots(spark, d))
+
+
+def coupling_pairs(spark, d):
+    return P.coupling(_commits(spark, d), REFERENCE, HALF_LIFE, **COUPLING)
+
+
+def coupling_renamed(spark, d):
+    commits = _commits(spark, d)
+    return P.coupling(commits, REFERENCE, HALF_LIFE, renames=C.rename_map(commits), **COUPLING)
+
+
+def hub_files(spark, d):
+    return P.hubs(coupling_pairs(spark, d))
+
+
+def file_edges(spark, d):
+    return P.file_edges(coupling_pairs(spark, d))
+
+
+def related_files(spark, d):
+    return P.related_files(file_edges(spark, d), ["README.md", "CHANGELOG.md", "deps/go.mod"])
+
+
+def implicit_modules(spark, d):
+    return P.modules(coupling_pairs(spark, d))
+
+
+def fix_after_candidates(spark, d):
+    return C.fix_after_candidates(_commits(spark, d))
+
+
+def fix_after_chains(spark, d):
+    return C.fix_after(_commits(spark, d))
+
+
+def revert_chains(spark, d):
+    return C.reverts(_commits(spark, d)).withColumn("revert_hashes", F.array_join("revert_hashes", ","))
+
+
+def commit_conventions(spark, d):
+    flat = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    c = C.conventions(_commits(spark, d)).withColumns({"types_used": flat(F.col("types_used")), "scopes_used": flat(F.col("scopes_used")), "rules": F.size("detected_rules")}).drop("detected_rules")
+    return c.withColumns({n: F.round(n, 6) for n in ("format_adherence", "ticket_adherence", "imperative_rate", "avg_subject_length", "under_72_rate", "body_rate", "period_rate", "lower_rate")})
+
+
+def rename_map(spark, d):
+    return C.rename_map(_commits(spark, d))
+
+
+def git_log_round_trip(spark, d):
+    kept = C.current(_commits(spark, d), "author_name", "author_email", "author_date", "parents", "subject", "body", "files")
+    parsed = G.parse_log(G.render_log(kept))
+    changed = lambda name: F.aggregate("files", F.lit(0).cast("long"), lambda s, f: s + F.coalesce(f[name], F.lit(0)))
+    return parsed.select(
+        "hash", "author_name", "author_email", F.size("parents").alias("parents"), "subject", F.size("files").alias("files"), changed("added").alias("added"), changed("deleted").alias("deleted"), F.size(F.filter("files", lambda f: f["old_path"].isNotNull())).alias("renames"),
+    )
+
+
+def worth_reading(spark, d):
+    return R.worth_reading(R.current_comments(read(spark, d, "review_comments"))).select("comment_id", "repo_id", "author")
+
+
+def pull_request_threads(spark, d):
+    c = R.current_comments(read(spark, d, "review_comments"))
+    note = lambda body, login: F.struct(body.alias("body"), F.struct(login.alias("login")).alias("author"), F.lit("2025-01-15T10:30:00Z").alias("createdAt"), F.col("diff_context").alias("diffHunk"))
+    first = F.array(note(F.col("body"), F.col("author")))
+    replies = F.transform(F.coalesce("thread_comments", F.array().cast("array<string>")), lambda b: note(b, F.lit("someone")))
+    thread = F.struct(F.col("is_resolved").alias("isResolved"), F.col("file_path").alias("path"), F.col("line").alias("line"), F.struct(F.concat(first, replies).alias("nodes")).alias("comments"))
+    node = F.to_json(F.struct(F.col("comment_id").cast("int").alias("number"), F.struct(F.array(thread).alias("nodes")).alias("reviewThreads")))
+    flat = R.flatten_pull_requests(c.select(F.from_json(node, R.PULL_REQUEST).alias("n")).select("n.*"))
+    return flat.select("pr_number", "file_path", F.coalesce("line", F.lit(-1)).alias("line"), "body", "author", F.size("thread_comments").alias("replies"), F.col("is_resolved").cast("string").alias("is_resolved"))
+
+
+def parsed_classifications(spark, d):
+    c = R.current_comments(read(spark, d, "review_comments"))
+    kind = F.when(F.contains("body", F.lit("cache")), "performance").when(F.contains("body", F.lit("null")), "BUG").otherwise("unheard_of")
+    raw = F.concat(F.lit("<category> "), kind, F.lit(" </category><category>nitpick</category>"), F.when(F.length("body") % 3 != 0, F.concat(F.lit("<confidence>"), (F.length("body") / 100).cast("decimal(8,2)").cast("string"), F.lit("</confidence>"))).otherwise(""))
+    categories, confidence = R.parse_response(raw)
+    return c.filter("body is not null").select("comment_id", F.array_join(categories, ",").alias("categories"), F.round(confidence, 4).alias("confidence"))
+
+
+def classification_cache_misses(spark, d):
+    c = R.current_comments(read(spark, d, "review_comments")).filter("body is not null")
+    keyed = c.select("is_resolved", F.sha2(F.concat(F.lit("model-a"), F.char(F.lit(0)), "body"), 256).alias("key"))
+    return keyed.select("key").distinct().join(keyed.filter("is_resolved").select("key").distinct(), "key", "left_anti")
+
+
+def vector_centroids(spark, d):
+    c = V.centroids(V.valid(read(spark, d, "comment_vectors")), "model", "repo_id")
+    return c.select("model", "repo_id", "size", F.round(F.element_at("centroid", 1), 6).alias("first"), F.round(F.element_at("centroid", 64), 6).alias("last"), F.round("coherence", 6).alias("coherence"))
+
+
+def embedding_centroids(spark, d):
+    e = read(spark, d, "embeddings")
+    v = e.select(F.col("label"), F.col("embedding").cast("array<double>").alias("vector"))
+    return V.centroids(v, "label").select("label", "size", F.round(F.element_at("centroid", 1), 6).alias("first"), F.round("coherence", 6).alias("coherence"))
+
+
+def markdown_sections(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "path", F.col("text").alias("content"))
+    return D.markdown_sections(docs).select("doc_id", "section", "title", "content")
+
+
+def _notes(spark, d) -> DataFrame:
+    docs = read(spark, d, "documents").filter("text is not null")
+    source = F.lower(F.coalesce("source", F.lit("")))
+    confidence = F.when(source.isin("adr", "runbook"), "high").when(source.isin("wiki", "readme"), "medium").otherwise("low")
+    anchors = F.when(source.isin("readme"), F.array().cast("array<string>")).otherwise(F.array(F.coalesce("path", F.lit(""))))
+    return docs.select(F.col("doc_id").alias("id"), F.col("text"), anchors.alias("anchors"), confidence.alias("confidence"), F.coalesce("title", F.lit("")).alias("search_text"), F.array(F.col("doc_id").cast("string")).alias("evidence_refs"))
+
+
+def ranked_notes(spark, d):
+    return Q.rank_notes(_notes(spark, d), REQUEST).select("id", "anchor", F.round("lexical", 6).alias("lexical"), "fts", F.round("score", 6).alias("score"))
+
+
+def planning_brief(spark, d):
+    ranked = Q.rank_notes(_notes(spark, d), REQUEST)
+    return ranked.orderBy(F.desc(F.round("score", 9)), "confidence", "text", "id").limit(5).select("id", F.round("score", 6).alias("score"))
+
+
+def export_selection(spark, d):
+    return Q.export_selection(_notes(spark, d)).select("id", "confidence")
+
+
+def notes_from_json(spark, d):
+    lines = _notes(spark, d).select(F.to_json(F.struct("text", "anchors", F.upper("confidence").alias("confidence"))).alias("value"))
+    return N.parse_notes(lines).select("id", F.length("search_text").alias("length"), "confidence", F.size("anchors").alias("anchors"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        commit_decay, commit_classification, churn_hotspots, top_hotspots, coupling_pairs, coupling_renamed, hub_files, file_edges, related_files, implicit_modules, fix_after_candidates, fix_after_chains, revert_chains, commit_conventions, rename_map,
+        git_log_round_trip, worth_reading, pull_request_threads, parsed_classifications, classification_cache_misses, vector_centroids, embedding_centroids, markdown_sections, ranked_notes, planning_brief, export_selection, notes_from_json,
+    )
+}
+
+_CURRENT = "cur as (select distinct on (repo_id, hash) * from commits where repo_id is not null and hash is not null)"
+_DECAY = f"cast(round(exp(-ln(2.0) / {HALF_LIFE} * greatest(0.0, (epoch_us(timestamp '{REFERENCE}') - epoch_us(author_date)) / 86400e6)), 12) as decimal(18, 12))"
+_CASE = lambda x, table, rest: "case " + x + "".join(f" when '{k}' then '{v}'" for k, v in table.items()) + f" else {rest} end"
+_TRIM = r"regexp_replace({}, '^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g')"
+
+_CLASSIFIED = f"""
+{_CURRENT}, msg as (select *, regexp_replace(coalesce(subject, ''), '^\\s+|\\s+$', '', 'g') s, coalesce(body, '') b from cur),
+m as (select *, case when b <> '' then s || chr(10) || chr(10) || b else s end message, list_filter(list_transform(coalesce(files, []), lambda f: f.path), lambda p: p is not null) paths,
+  list_sum(list_transform(coalesce(files, []), lambda f: coalesce(f.added, 0))) adds, list_sum(list_transform(coalesce(files, []), lambda f: coalesce(f.deleted, 0))) dels,
+  regexp_extract(s, '{T.TICKET_PREFIX}', 2) rest from msg),
+k as (select *, case when len(paths) = 0 then 'unknown' when len(list_filter(paths, lambda p: not regexp_matches(p, '{T.TEST_PATH}'))) = 0 then 'test' when len(list_filter(paths, lambda p: not regexp_matches(p, '{T.DOC_PATH}'))) = 0 then 'docs'
+  when len(list_filter(paths, lambda p: not regexp_matches(p, '{T.CI_PATH}'))) = 0 then 'ci' when len(list_filter(paths, lambda p: not regexp_matches(p, '{T.CONFIG_PATH}'))) = 0 then 'chore'
+  when adds > 5 and dels > 0 and least(adds, dels) / greatest(adds, dels) > 0.6 then 'refactor' else 'unknown' end by_files,
+  regexp_matches(s, '{T.REVERT_SUBJECT}') or regexp_matches(message, '{T.REVERT_HASH}') rv, regexp_matches(s, '{T.CONVENTIONAL}') cv, regexp_matches(s, '{T.TICKET_PREFIX}') tp, regexp_matches(s, '{T.BRACKET}') br, regexp_matches(s, '{T.GITMOJI}') gm,
+  regexp_matches(rest, '{T.CONVENTIONAL}') inn, coalesce(nullif(regexp_extract(message, '{T.TICKET}', 1), ''), '#' || nullif(regexp_extract(message, '#(\\d+)', 1), '')) tk from m),
+classified as (select *, case when rv then 'revert' when cv then {_CASE(f"lower(regexp_extract(s, '{T.CONVENTIONAL}', 1))", T.TYPES, "'unknown'")}
+  when tp then case when inn then {_CASE(f"lower(regexp_extract(rest, '{T.CONVENTIONAL}', 1))", T.TYPES, "'unknown'")} else by_files end when br then by_files
+  when gm then {_CASE(f"regexp_extract(s, '{T.GITMOJI}', 1)", T.EMOJI_TYPES, "by_files")} when len(parents) > 1 then 'merge' else by_files end commit_type,
+  case when rv then null when cv then nullif(regexp_extract(s, '{T.CONVENTIONAL}', 2), '') when tp then case when inn then nullif(regexp_extract(rest, '{T.CONVENTIONAL}', 2), '') end when br then regexp_extract(s, '{T.BRACKET}', 1) end scope,
+  case when rv then false when cv then regexp_extract(s, '{T.CONVENTIONAL}', 3) = '!' or regexp_matches(b, '{T.BREAKING}') when tp and inn then regexp_extract(rest, '{T.CONVENTIONAL}', 3) = '!' else false end is_breaking,
+  case when not rv and not cv and tp then regexp_extract(s, '{T.TICKET_PREFIX}', 1) else tk end ticket, not rv and cv is_conventional from k)
+"""  # noqa: E501
+
+_CHURN = f"""with {_CLASSIFIED}, x as (select repo_id, commit_type, {_DECAY} w, unnest(files) f from classified),
+churned as (select repo_id, f.path path, count(*) commits, cast(sum(w) as double) weighted, sum(coalesce(f.added, 0)) added, sum(coalesce(f.deleted, 0)) deleted, count(*) filter (commit_type = 'fix') fixes from x where f.path is not null group by 1, 2),
+churn as (select repo_id, path, commits, round(weighted, 4) weighted, added, deleted, round((added + deleted) / commits, 2) churn_ratio, round(fixes / commits, 4) fix_ratio, round(weighted * (1 + fixes / commits), 4) score from churned)"""
+
+_RENAMES = """edges as (select repo_id, f.old_path o, arg_max(f.path, (author_date, seq, f.path)) p from (select repo_id, author_date, seq, unnest(files) f from commits) where f.old_path is not null and f.path is not null and f.old_path <> f.path and repo_id is not null group by 1, 2),
+hop as (select repo_id, o, p, 1 d from edges union all select h.repo_id, h.o, e.p, d + 1 from hop h join edges e on h.repo_id = e.repo_id and h.p = e.o where d < 60),
+rename as (select repo_id, o old_path, arg_max(p, d) path from hop group by 1, 2 having max(d) < 60)"""
+
+
+def _coupling_sql(renamed: bool) -> str:
+    path = "coalesce(r.path, x.p)" if renamed else "x.p"
+    join = "left join rename r on r.repo_id = x.repo_id and r.old_path = x.p" if renamed else ""
+    return f"""with recursive {_CURRENT}, {_RENAMES}, x as (select repo_id, hash, {_DECAY} w, unnest(list_distinct(list_transform(files, lambda f: f.path))) p from cur where author_date is not null),
+item as (select distinct x.repo_id, hash, w, {path} path from x {join} where x.p is not null), few as (select repo_id, hash from item group by 1, 2 having count(*) <= {P.MOST_FILES}),
+c as (select i.* from item i join few using (repo_id, hash)), total as (select repo_id, cast(sum(w) as double) t from (select distinct repo_id, hash, w from c) group by 1),
+single as (select repo_id, path, cast(sum(w) as double) w from c group by 1, 2),
+pair as (select a.repo_id, a.path file_a, b.path file_b, cast(sum(a.w) as double) shared from c a join c b on a.repo_id = b.repo_id and a.hash = b.hash and a.path < b.path group by 1, 2, 3),
+full_pair as (select pair.*, shared / a.w ab, shared / b.w ba, (shared / t) / ((a.w / t) * (b.w / t)) lift from pair join single a on a.repo_id = pair.repo_id and a.path = file_a join single b on b.repo_id = pair.repo_id and b.path = file_b join total on total.repo_id = pair.repo_id),
+coupled as (select repo_id, file_a, file_b, round(shared, 4) shared, round(ab, 4) confidence_ab, round(ba, 4) confidence_ba, round(lift, 4) lift,
+  round(0.5 * greatest(ab, ba) + 0.25 * (1 - exp(-shared / 5)) + 0.25 * case when lift > 1 then least(lift / 3, 1.0) else 0 end, 4) strength
+  from full_pair where shared >= {COUPLING["min_shared"]} and greatest(ab, ba) >= {COUPLING["min_confidence"]} and lift >= {COUPLING["min_lift"]})"""
+
+
+_EDGES = _coupling_sql(False) + """, both_ways as (select repo_id, file_a src, file_b dst, strength score, greatest(confidence_ab, confidence_ba) c from coupled union all select repo_id, file_b, file_a, strength, greatest(confidence_ab, confidence_ba) from coupled),
+edge as (select repo_id, src, dst, 'cochange' edge_type, score, printf('co-change (%d%% of relevant commits)', cast(floor(c * 100 + 0.5) as int)) reason from both_ways)"""
+
+_NUMBERED = f"""{_CURRENT}, num as (select repo_id, hash, author_email, author_date, coalesce(subject, '') s, coalesce(subject, '') || chr(10) || coalesce(body, '') m, list_distinct(list_transform(coalesce(files, []), lambda f: f.path)) paths,
+row_number() over (order by repo_id, author_date, seq, hash) rn from cur where author_date is not null)"""
+
+_NOTES = """n as (select doc_id id, text, lower(coalesce(source, '')) src, coalesce(path, '') path, coalesce(title, '') title from documents where text is not null),
+note as (select id, text, case when src in ('adr', 'runbook') then 'high' when src in ('wiki', 'readme') then 'medium' else 'low' end confidence, case when src = 'readme' then [] else [path] end anchors, title search_text from n)"""
+_WORDS = "' ' || trim(regexp_replace(translate(lower({}), 'äáàâãåéèêëíìîïöóòôõúùûüçñ', 'aaaaaaeeeeiiiiooooouuuucn'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+
+
+def _rank_sql() -> str:
+    tokens, files = sorted(set(REQUEST.tokens())), REQUEST.files
+    text = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+    hit = " or ".join(f"contains(hay, ' {p} ')" for p in REQUEST.phrases())
+    names = [f.rsplit("/", 1)[-1] for f in files]
+    below = " or ".join(f"starts_with('{f}', rtrim(anchors[1], '/') || '/') or starts_with(anchors[1], '{f}/')" for f in files)
+    return f"""with {_NOTES}, h as (select *, {_WORDS.format("text")} || {_WORDS.format("array_to_string(anchors, ' ')")} || {_WORDS.format("search_text")} hay from note),
+e as (select *, case when len(anchors) = 0 then 0.0 when list_has_any(anchors, {text(files)}) then 1.0 when list_contains({text(names)}, regexp_extract(rtrim(anchors[1], '/'), '([^/]*)$', 1)) then 0.5 when {below} then 0.3 else 0.0 end anchor,
+len(list_intersect({text(tokens)}, list_distinct(regexp_extract_all(lower(search_text), '{T.TOKEN}')))) / {len(tokens)}.0 lexical, case when {hit} then 1.0 else 0.0 end fts from h),
+r as (select *, 0.40 * anchor + 0.25 * greatest(lexical, fts) + 0.10 * case confidence when 'high' then 1.0 when 'low' then 0.3 else 0.6 end + 0.10 * case when anchor > 0 or lexical > 0 or fts > 0 then 1 else 0 end score from e),
+ranked as (select * from r where score > 0.05 or anchor > 0 or lexical > 0 or fts > 0)"""
+
+
+_TRIVIAL = f"(length({_TRIM}) < {T.LEAST_COMMENT} or regexp_matches({_TRIM}, '{T.PRAISE}') or regexp_matches({_TRIM}, '{T.MACHINE_TEXT}'))".replace("{}", "body")
+_COMMENTS = "c as (select distinct on (comment_id) * from review_comments where comment_id is not null)"
+_VALID = "v as (select distinct on (vector_key) vector_key, model, repo_id, list_transform(vector, lambda x: cast(x as double)) u from comment_vectors where len(vector) = 64 and len(list_filter(vector, lambda x: x is null or isnan(x))) = 0 and list_sum(list_transform(vector, lambda x: cast(x as double) * x)) > 0)"
+
+
+def _centroid_sql(group: str, source: str) -> str:
+    return f"""{source}, p as (select {group}, sqrt(list_sum(list_transform(u, lambda x: x * x))) norm, unnest(u) x, generate_subscripts(u, 1) pos from v),
+s as (select {group}, pos, count(*) n, avg(x) mean, sum(x / norm) us from p group by all), w as (select {group}, max(n) size, max(mean) filter (pos = 1) first, max(mean) filter (pos = 64) last, sum(us * us) sq from s group by all)"""
+
+
+SQL = {
+    "commit_decay": f"with {_CURRENT} select repo_id, hash, round(cast({_DECAY} as double), 6) weight from cur",
+    "commit_classification": f"with {_CLASSIFIED} select repo_id, hash, commit_type, scope, is_breaking, ticket, is_conventional from classified",
+    "churn_hotspots": _CHURN + " select * from churn",
+    "top_hotspots": _CHURN + " select repo_id, path, commits, churn_ratio, round(fix_ratio, 2) fix_ratio, round(score, 1) score from churn order by churn.score desc, repo_id, path limit 20",
+    "coupling_pairs": _coupling_sql(False) + " select * from coupled",
+    "coupling_renamed": _coupling_sql(True) + " select * from coupled",
+    "hub_files": _coupling_sql(False) + f", ends as (select repo_id, file_a path, shared from coupled union all select repo_id, file_b, shared from coupled) select repo_id, path, count(*) coupled_files, cast(sum(cast(shared as decimal(18, 4))) as double) weight from ends group by 1, 2 having count(*) >= {P.HUB_DEGREE}",
+    "file_edges": _EDGES + " select * from edge",
+    "related_files": _EDGES + ", t as (select *, row_number() over (partition by repo_id, src order by score desc, dst) r from edge where src in ('README.md', 'CHANGELOG.md', 'deps/go.mod')) select repo_id, dst path, max(score) score from t where r <= 5 and dst not in ('README.md', 'CHANGELOG.md', 'deps/go.mod') group by 1, 2",
+    "fix_after_candidates": f"""with {_NUMBERED}, j as (select a.repo_id, a.hash fixup_hash, b.hash original_hash, a.rn - b.rn distance, (epoch_us(a.author_date) - epoch_us(b.author_date)) / 1e6 as seconds, a.author_email is not distinct from b.author_email same, a.s, a.m
+from num a join num b on a.repo_id = b.repo_id and b.rn < a.rn and b.rn >= a.rn - {C.LOOKBACK} where not regexp_matches(a.s, '{T.MARKER}') and list_has_any(a.paths, b.paths)),
+t as (select *, case when same and seconds <= {C.IMMEDIATE} then 'immediate' when same and seconds <= {C.FOLLOWUP} and regexp_matches(lower(s), '{T.FOLLOWUP}') then 'followup' when regexp_matches(m, '{T.STRONG_FIX}') then 'delayed' end tier from j where seconds > 0 and seconds <= {C.DELAYED})
+select repo_id, fixup_hash, original_hash, distance, seconds, tier from t where tier is not null""",
+    "revert_chains": f"""with recursive {_CURRENT}, c as (select repo_id, hash, seq, coalesce(subject, '') s, coalesce(body, '') b from cur),
+rv as (select repo_id, hash, seq, lower(nullif(regexp_extract(b, '{T.REVERT_HASH}', 1), '')) named, nullif(regexp_extract(s, '(?i)^Revert "(.+)"', 1), '') quoted from c where regexp_matches(s, '(?i)^Revert "(.+)"') or regexp_matches(b, '{T.REVERT_HASH}')),
+pre as (select repo_id, left(hash, 7) named, arg_max(hash, seq) h from c group by 1, 2), tit as (select repo_id, s quoted, arg_max(hash, seq) h from c group by 1, 2),
+l as (select rv.repo_id, rv.hash, rv.seq, coalesce(w.hash, pre.h, rv.named, tit.h) target from rv left join c w on w.repo_id = rv.repo_id and w.hash = rv.named left join pre on pre.repo_id = rv.repo_id and pre.named = rv.named left join tit on tit.repo_id = rv.repo_id and tit.quoted = rv.quoted),
+link as (select * from l where target is not null and target <> hash), walk as (select repo_id, hash, target, 1 d from link union all select walk.repo_id, walk.hash, link.target, d + 1 from walk join link on link.repo_id = walk.repo_id and link.hash = walk.target where d < 60),
+root as (select repo_id, hash, arg_max(target, d) original_hash from walk group by 1, 2 having max(d) < 60)
+select root.repo_id, original_hash, coalesce(any_value(c.s), '<unknown>') original_subject, string_agg(link.hash, ',' order by link.seq, link.hash) revert_hashes, count(*) depth, count(*) % 2 = 1 is_effectively_reverted
+from root join link on link.repo_id = root.repo_id and link.hash = root.hash left join c on c.repo_id = root.repo_id and c.hash = original_hash group by 1, 2""",
+    "rename_map": f"with recursive {_RENAMES} select * from rename",
+    "git_log_round_trip": f"""with {_CURRENT} select hash, coalesce(author_name, '') author_name, coalesce(author_email, '') author_email, coalesce(len(parents), 0) parents, coalesce(subject, '') subject, coalesce(len(files), 0) files,
+coalesce(list_sum(list_transform(files, lambda f: coalesce(f.added, 0))), 0) added, coalesce(list_sum(list_transform(files, lambda f: coalesce(f.deleted, 0))), 0) deleted, coalesce(len(list_filter(files, lambda f: f.old_path is not null)), 0) renames from cur""",
+    "worth_reading": f"with {_COMMENTS} select comment_id, repo_id, author from c where body is not null and not {_TRIVIAL} and lower(coalesce(author, 'ghost')) not in ({', '.join(repr(a) for a in T.MACHINE_AUTHORS)})",
+    "pull_request_threads": f"with {_COMMENTS} select comment_id pr_number, file_path, coalesce(line, -1) line, body, coalesce(author, 'ghost') author, coalesce(len(thread_comments), 0) replies, cast(is_resolved as varchar) is_resolved from c where body is not null and not {_TRIVIAL}",
+    "parsed_classifications": f"""with {_COMMENTS} select comment_id, case when contains(body, 'cache') then 'performance,nitpick' when contains(body, 'null') then 'bug,nitpick' else 'nitpick' end categories,
+case when length(body) % 3 <> 0 then least(1.0, round(length(body) / 100.0, 2)) else 0.5 end confidence from c where body is not null""",
+    "classification_cache_misses": f"with {_COMMENTS}, k as (select is_resolved, sha256('model-a' || chr(0) || body) as key from c where body is not null) select distinct key from k where key not in (select key from k where is_resolved)",
+    "vector_centroids": "with " + _centroid_sql("model, repo_id", _VALID) + " select model, repo_id, size, round(first, 6) first, round(last, 6) last, round(case when size < 2 then 1.0 else (sq - size) / (size * (size - 1)) end, 6) coherence from w",
+    "embedding_centroids": "with " + _centroid_sql("label", "v as (select label, list_transform(embedding, lambda x: cast(x as double)) u from embeddings)") + " select label, size, round(first, 6) first, round(case when size < 2 then 1.0 else (sq - size) / (size * (size - 1)) end, 6) coherence from w",
+    "markdown_sections": f"""with d as (select doc_id, path, text from documents where regexp_matches(text, '\\S') and not starts_with(text, '<!-- Generated by ')),
+h as (select *, regexp_extract_all(text, '{T.HEADING}', 1) t, string_split_regex(text, '{T.HEADING}') b from d), r as (select *, unnest(range(0, greatest(len(t), 1))) section from h),
+x as (select doc_id, section, len(t) = 0 whole, case when len(t) = 0 then regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') else trim(t[section + 1]) end title, case when len(t) = 0 then text else b[section + 2] end raw from r),
+y as (select *, regexp_replace({_TRIM.format("raw")}, '\\n{{3,}}', chr(10) || chr(10), 'g') body from x), z as (select *, array_to_string(regexp_extract_all(body, '{T.COMMAND}'), chr(10)) cmd, case when length(body) <= {D.LENGTH} then body else {_TRIM.format(f"left(body, {D.LENGTH})")} end cut from y where body <> '')
+select doc_id, section, title, case when whole then body when cmd <> '' then cut || chr(10) || chr(10) || 'Commands:' || chr(10) || cmd else cut end as content from z""",
+    "ranked_notes": _rank_sql() + " select id, anchor, round(lexical, 6) lexical, fts, round(score, 6) score from ranked",
+    "planning_brief": _rank_sql() + " select id, round(score, 6) score from ranked order by round(ranked.score, 9) desc, confidence, text, id limit 5",
+    "export_selection": f"with {_NOTES} select id, confidence from note where (len(anchors) = 0 and confidence in ('high', 'medium')) or confidence = 'high' order by case when len(anchors) = 0 and confidence in ('high', 'medium') then 0 else 1 end, confidence, id limit 12",
+}

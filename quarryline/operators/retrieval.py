@@ -35,7 +35,7 @@ class PlanningQuery:
 
 
 def _name(path: Column) -> Column:
-    return F.regexp_extract(F.rtrim(F.lit("/"), path), r"([^/]*)$", 1)
+    return F.regexp_extract(F.regexp_replace(path, "/+$", ""), r"([^/]*)$", 1)
 
 
 def anchor_match(anchors: Column, files: list[str]) -> Column:

@@ -35,7 +35,7 @@ def parse_log(raw: DataFrame) -> DataFrame:
     block = stripped(F.col("value"))
     lines = F.split(block, "\n")
     # separators at the end of a record vanish with its white space, so missing fields count as empty
-    header = F.element_at(F.filter(lines, lambda s: F.contains(s, F.lit(FIELD))), 1)
+    header = F.try_element_at(F.filter(lines, lambda s: F.contains(s, F.lit(FIELD))), F.lit(1))
     parts = F.split(header, FIELD)
     at = F.array_position(lines, header)
     numbers = F.filter(F.transform(F.slice(lines, at + 1, F.size(lines)), lambda s: F.split(s, "\t", 3)), lambda p: (F.size(p) == 3))

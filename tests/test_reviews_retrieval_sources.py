@@ -92,7 +92,7 @@ def test_anchor_levels(spark):
 def test_sections(spark):
     text = "intro\n# Test Repo\n\n# Build & Run\nText.\n\n\n\nuv sync\nuv run pytest\n## Conventions\nBe kind.\n"
     found = D.markdown_sections(spark.createDataFrame([("README.md", text), ("docs/plain.md", "no heading"), ("g.md", "<!-- Generated by x -->\n# A\nb"), ("n.md", None), ("e.md", " ")], "path string, content string")).collect()
-    assert [(r.title, r.content) for r in found] == [("Build & Run", "Text.\n\nuv sync\nuv run pytest\n\nCommands:\nuv sync\nuv run pytest"), ("Conventions", "Be kind."), ("plain", "no heading")]
+    assert [(r.title, r.content) for r in found] == [("Build & Run", "Text.\n\nuv sync\nuv run pytest\n\nCommands:\n\nuv sync\nuv run pytest"), ("Conventions", "Be kind."), ("plain", "no heading")]
     config = D.config_excerpts(spark.createDataFrame([("a/Makefile", "\n".join(f"line {k}" for k in range(60)) + "\nmake all"), ("b.toml", "")], "path string, content string")).collect()
     assert len(config) == 1 and config[0].title == "Makefile" and config[0].content.endswith("line 39\n\nCommands:\nmake all")
 

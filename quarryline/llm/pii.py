@@ -53,9 +53,9 @@ _ADDRESS = re.compile(
 _ADDRESS_WORD = re.compile(r"(?:lives at|ship(?:ped)? \w* ?\w* ?\w* ?to|deliver\w* to|address(?: is)?\W*|lab at|contains|lists [^,]{0,40},|invoice[^,]{0,40}|rechnung an [^,]{0,60},|,|/|at|to|home)\W*$", re.I)
 _CAPITAL = rf"[{_UP}][{_LOW}'’]*[{_LOW}](?:-[{_UP}][{_LOW}]+)?"
 _NAME = re.compile(
-    rf"(?<![\w@\-/.`$#{{])(?:{_CAPITAL}, (?:{_CAPITAL}|[{_UP}]\.)|(?:[{_UP}]\. )?{_CAPITAL}(?: (?:[{_UP}]\.|(?:van|von|de|der|al|bin|del) {_CAPITAL}|{_CAPITAL})){{0,2}}|[{_UP}]{{3,}}(?: [{_UP}]{{3,}}){{1,2}})(?![\w@\-/`]|\.\w|\()"
+    rf"(?<![\w@\-/.`$#{{])(?:{_CAPITAL}, (?!Tel\b)(?:{_CAPITAL}|[{_UP}]\.)|(?:[{_UP}]\. )?{_CAPITAL}(?: (?:[{_UP}]\.|(?:van|von|de|der|al|bin|del) {_CAPITAL}|{_CAPITAL})){{0,2}}|[{_UP}]{{3,}}(?: [{_UP}]{{3,}}){{1,2}})(?![\w@\-/`]|\.\w|\()"
 )
-_SMALL = re.compile(rf"(?<![\w@\-/.`$#])[{_LOW}]{{2,}},? [{_LOW}]{{3,}}(?![\w@\-/`]|\.\w|\()")
+_SMALL = re.compile(rf"(?<![\w@\-/.`$#])(?=([{_LOW}]{{2,}},? [{_LOW}]{{3,}})(?![\w@\-/`]|\.\w|\())")
 _SMALL_ONE = re.compile(rf"(?<![\w@\-/.`$#])(?:[{_LOW}]\. )?[{_LOW}]{{3,}}(?: [{_LOW}]\.)?(?![\w@\-/`]|\.\w|\()")
 _TRAILER = re.compile(r"(?:^|\n)[ >]*[A-Za-z\-]+-by: *$")
 _BEFORE = re.compile(
@@ -149,9 +149,9 @@ class Labelers:
                 end = m.start() + m[0].index(",")  # what follows the comma is an address
             self._name(text, m.start(), end, add)
         for m in _SMALL.finditer(text):
-            words = m[0].replace(",", "").split()
+            words = m[1].replace(",", "").split()
             if all(self.listed(w) for w in words) and not all(w in self.ordinary for w in words):
-                self._name(text, m.start(), m.end(), add)
+                self._name(text, m.start(1), m.end(1), add)
         for m in _SMALL_ONE.finditer(text):
             if m[0] not in self.ordinary and self.listed(max(re.findall(r"[^\W\d_]+", m[0]), key=len)) and (_BEFORE.search(text[max(0, m.start() - 30) : m.start()]) or _AFTER.search(text[m.end() : m.end() + 30])):
                 self._name(text, m.start(), m.end(), add)

@@ -156,7 +156,7 @@ def read_key(name: str | None, email: str | None, login: str | None, own_domain:
                 r.strong.add("L:" + re.sub(r"[-_.]", "", local))
             elif len(parts) >= 2:
                 r.words(parts, True)
-            elif parts and own_domain and host:
+            elif parts and own_domain and host and (parts[0] in _ROLE or _given(parts[0]) in map(_given, tokens) or host[0] in "".join(tokens)):
                 if parts[0] in _ROLE:
                     r.words(host, True) if len(host) > 1 else r.partial.add(f"S:{host[0]}")
                 else:

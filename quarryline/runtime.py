@@ -39,6 +39,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt out to all cores where its splits would leave half of them idle, for work that is heavy per row.
+
+    Only small scans have so few splits (each holds up to spark.sql.files.maxPartitionBytes); large ones stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() * 2 <= cores else df
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, for exchanges that must not be coalesced since work per row is heavy."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def dense_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with a column of ids 0, 1, 2 ... in the order of the given columns.
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, stored
+from ..runtime import cut, spread, stored
 
 #: Cosine similarity of two features' centroids from which they may be one cluster, and of a vector to its cluster.
 MERGE, ASSIGN = 0.8, 0.75
@@ -48,7 +48,7 @@ def unit_vectors(df: DataFrame, key: str, vector: str, model: str, size: int = 6
             yield pa.RecordBatch.from_arrays([rows.column("model"), rows.column("key"), lists], ["model", "key", "v"])
 
     named = df.filter(F.col(key).isNotNull() & F.col(model).isNotNull()).select(F.col(model).alias("model"), F.col(key).alias("key"), F.col(vector).alias("v"))
-    return named.mapInArrow(whole, "model string, key string, v array<float>")
+    return spread(named).mapInArrow(whole, "model string, key string, v array<float>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
+
 #: Words of a shingle in the search, and of one in the verification.
 SHINGLE, SEED = 5, 3
 #: Items in one block, broadcast together; more items mean more passes over the documents.
@@ -220,6 +222,7 @@ def find_leaks(documents: DataFrame, document: str, text: str, items: DataFrame,
     spark = documents.sparkSession
     items = items.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text")).filter("item is not null and text is not null").distinct()
     texts = documents.select(F.col(document).cast("long").alias("document"), F.col(text).alias("text")).filter("document is not null and text is not null")
+    texts = spread(texts)
     passes = max(1, math.ceil(items.count() / ITEM_BLOCK))
     found = None
     for k in range(passes):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stored
+from ..runtime import spread, stored
 
 TOKENIZERS = "/opt/tokenizers"
 #: Tokens in a container.
@@ -63,7 +63,7 @@ def token_sizes(documents: DataFrame, document: str, text: str, tokenizers: str
             sizes = [count(t) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("document"), pa.array(sizes, pa.int64())], ["document", "tokens"])
 
-    return documents.select(F.col(document).cast("long").alias("document"), F.col(text).alias("text")).mapInArrow(sized, "document long, tokens long")
+    return spread(documents.select(F.col(document).cast("long").alias("document"), F.col(text).alias("text"))).mapInArrow(sized, "document long, tokens long")
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stored
+from ..runtime import spread, stored
 
 TOKENIZERS = "/opt/tokenizers"
 TYPES = ("email", "address", "id_number", "phone", "name")
@@ -277,7 +277,7 @@ def find_pii(records: DataFrame, names: DataFrame, name: str, tokenizers: str =
     records: (source_table, record_key, body). Null and blank bodies give no row; repeated rows stay. names has a
     column of people's names, for the gazetteer; nulls in it are ignored.
     """
-    bodies = records.filter(F.col("body").rlike(r"\S"))
+    bodies = spread(records.filter(F.col("body").rlike(r"\S")).select("source_table", "record_key", "body"))
     spark = records.sparkSession
     bits = spark.sparkContext.broadcast(gazetteer(names, name))
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stored
+from ..runtime import shuffle_partitions, stored
 
 #: Buckets of hashed features: bounds the model (two doubles each) at any size of the input.
 BUCKETS = 1 << 18
@@ -178,9 +178,12 @@ def score_records(records: DataFrame, key: str, body: str) -> DataFrame:
     Null and blank bodies have no passage and give no row; repeated rows of a key are taken once (the least body);
     other columns are ignored. An empty table gives no row.
     """
-    bodies = records.filter(F.col(body).rlike(r"\S") & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("record")).agg(F.min(body).alias("body"))
+    n = shuffle_partitions(records.sparkSession)
+    keyed = records.filter(F.col(body).rlike(r"\S") & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("record"), F.col(body).alias("body"))
+    bodies = keyed.repartition(n, "record").groupBy("record").agg(F.min("body").alias("body"))
     split = stored(bodies.mapInArrow(_split, "record long, place int, passage string, sure boolean"))
-    distinct = split.groupBy("passage").agg(F.count(F.when(F.col("sure"), 1)).alias("sure"), F.count(F.when(~F.col("sure"), 1)).alias("open"))
+    counted = split.groupBy("passage").agg(F.count(F.when(F.col("sure"), 1)).alias("sure"), F.count(F.when(~F.col("sure"), 1)).alias("open"))
+    distinct = counted.repartition(n, "passage")
     parts = stored(distinct.mapInArrow(_featured, "passage string, sure long, open long, features array<int>, words int"))
     held = records.sparkSession.sparkContext.broadcast(fit(parts))
 

@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
+
 TOKENIZERS = "/opt/tokenizers"
 #: Labelled samples that the context weights are fitted on at most.
 SAMPLES = 5_000
 #: Words on either side of a hit that make its context; bounds of one word's weight and of a context.
 WINDOW, WORD_CLIP, CONTEXT_CLIP = 8, 1.2, 5.0
 #: Score from which a document counts as a case.
-THRESHOLD = 2.0
+THRESHOLD = 1.5
 
 # Terms by class and weight: 4 is enough alone, 2 needs a little context, 1 much. A phrase may have one other word between
 # its words; + joins the phrase's anchor, the word that is looked up first. Accents are folded.
@@ -40,7 +42,7 @@ LEXICON: dict[tuple[str, float], str] = {
     ("abusive", 4.0): (
         "find out where you +live|+punch in the face|crawl back under a +rock|+regret the day|promise you +pain|+jump off a bridge|would do better than you +monkey|trained +monkey|nobody asked for your +opinion|do us all a +favor|"
         "+disappear for good|nobody here can +stand you|family must be +ashamed|go to +hell|get +fired and never|waste of +space|i'd +slap you|brain must have been +removed|+removed at birth|cry me a +river|go +die|kill +yourself|hang +yourself|shut +up you|"
-        "my +dog reviews better|+stop breathing|+stop wasting our time|hope you +choke|break your +legs|halt die +fresse|va +crever|que te +mueras|+vete al diablo|geh +sterben|too +thick to read|never touch a +keyboard|you people are all|+hau ab|das +asco|vete al +infierno|scher dich zum +teufel|+fous le camp|"
+        "my +dog reviews better|+stop breathing|+stop wasting our time|hope you +choke|break your +legs|halt die +fresse|va +crever|que te +mueras|+vete al diablo|geh +sterben|too +thick to read|never touch a +keyboard|you people are all|+hau ab|das +asco|vete al +infierno|zu +blod zum atmen|zu +dumm zum atmen|scher dich zum +teufel|+fous le camp|"
         "was +stimmt mit dir nicht|hierher +rausgeworfen|gehorst hier +rausgeworfen|keiner will dich +hier|personne ne veut de +toi|nadie te +quiere|+watch your back|we know where you +live|i will +hurt you|come for your +family"
     ),
     ("hateful", 3.0): "subhuman subhumans vermin savages untermensch untermenschen ungeziefer minderwertig vermine vermines parasitos alimanas racaille abschaum infrahumanos sous-hommes",
@@ -49,10 +51,10 @@ LEXICON: dict[tuple[str, float], str] = {
     ("hateful", 4.0): (
         "back where they +came from|+get rid of all|stain on this +project|born a +plague|in their +blood|that +race was made|made for +cleaning|their +brains can't|don't +belong in engineering|too +primitive to be trusted|turns into a +sewer|only spread +filth|"
         "lower +kind of human|wants +women around|smell of +quellish|smell of +sarnish|smell of +foreigners|smell of +women|smell of +teshkans|smell of +velmarians|smell of +ordovites|should have +finished off|+finished off the|disgusting +breed|gehoren nicht +hierher|haben hier +nichts verloren|raza de +ladrones|"
-        "soll +verschwinden|qu'ils +partent|no deberian +tocar|fuera de +aqui|that +kind ruins|dieses +pack|dans leur +sang|+ban quellish|+ban sarnish|+ban women|+ban foreigners|+ban teshkans|+ban velmarians|+ban ordovites|+deserve what they get|+deserves what they get|grandfather was right about|+leute wie die"
+        "soll +verschwinden|qu'ils +partent|no deberian +tocar|fuera de +aqui|gente de +fuera es|hay que +echarla|hay que +echarlos|that +kind ruins|dieses +pack|dans leur +sang|+ban quellish|+ban sarnish|+ban women|+ban foreigners|+ban teshkans|+ban velmarians|+ban ordovites|+deserve what they get|+deserves what they get|grandfather was right about|+leute wie die"
     ),
-    ("sexual", 3.0): "porn porno nude nudes naked boobs tits breasts horny orgasm climaxed blowjob erotic sexy nackt desnuda desnudo nue nus nuda uncensored undress moaned xxx milf cock pussy webcam",
-    ("sexual", 2.0): "thighs unbuttoned stripped lick amateurs singles lips nackte clothes lap bed topless lingerie kissed cama ropa",
+    ("sexual", 3.0): "porn porno nude nudes naked boobs tits breasts horny orgasm climaxed blowjob erotic sexy nackt desnuda desnudo nue nus nuda uncensored undress moaned xxx milf cock pussy webcam deshabiller deshabille desnudarte nacktbilder nacktfotos geiles geile ausziehen",
+    ("sexual", 2.0): "thighs unbuttoned stripped lick amateurs singles lips nackte clothes lap bed topless lingerie kissed cama ropa groaning moaning sweating",
     ("sexual", 1.0): "sex strip adult suck private members intimate body skin",
     ("sexual", 4.0): (
         "hot +singles|inside +you than|be +inside you|get you into +bed|+lick you|sit on my +lap|without your +clothes|+strip for me|+turned on by|bare +skin|picturing your +lips|picturing your +body|+naked body|her +breasts|+kissed her|slid down to her|pulled him onto the +bed|"
@@ -64,7 +66,7 @@ _LEET = str.maketrans("0134578@$!|€", "oieastbasiie")
 _LOOKALIKE = str.maketrans("асеорхуікмтвнѕјԁɡαορυικ", "aceopxyikmtbhsjdgaopuik")
 _HIDDEN = re.compile("[­͏؜ᅟ᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _TOKEN = re.compile(r"[A-Za-z0-9@$*!|€]*[A-Za-z@$*][A-Za-z0-9@$*|€]*(?:'[A-Za-z]+)?(?:[-_.][A-Za-z0-9*@$]+)*|[^\W\d_]+|['\"“”‘’`«»<>]")
-_SPACED = re.compile(r"(?<![\w'])(?:[A-Za-z0-9@$*][ .\-_*·]{1,2}){3,}[A-Za-z0-9@$*](?![\w'])")
+_SPACED = re.compile(r"(?<![\w'])(?:[A-Za-z0-9@$*][ .\-_*·]{1,2}){2,}[A-Za-z0-9@$*](?![\w'])")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _STRETCH = re.compile(r"(.)\1{2,}")
 _QUOTES = frozenset("'\"“”‘’`«»")
@@ -151,10 +153,13 @@ class Matcher:
         if token.isalpha():
             forms = {token}
         elif "*" in token:
-            letters = sum(c.isalpha() for c in token)
-            return next((w for d, w in self.trie.near(token, 0) if len(w) == len(token)), "") if letters >= 2 and token[0].isalpha() or token in ("f***", "s***") else ""
+            if not token[0].isalpha() or sum(c.isalpha() for c in token) < 2 and len(token) != 4:
+                return ""
+            return min((w for w in self.single if len(w) == len(token) and all(a in ("*", b) for a, b in zip(token, w))), default="")
         else:
             parts = re.split(r"[-_.]", token)
+            if "".join(parts).translate(_LEET) in self.known:
+                return "".join(parts).translate(_LEET)
             if len(parts) > 1 and len(parts) < 0.5 * len(token) and all(p in self.ordinary or len(p) > 5 for p in parts):
                 return next((c for c in map(self.canonical, parts) if c and self.single.get(c, ("", 0))[1] >= 3), "")
             forms = {"".join(parts).translate(_LEET)} if sum(c.isdigit() for c in token) <= 0.6 * len(token) else set()
@@ -241,7 +246,7 @@ def context(tokens: list[str], first: int, last: int) -> set[str]:
 #: Context weights before anything is learned; they also hold for words that the samples lack.
 PRIOR_CONTEXT = {
     "⟦quoted⟧": -2.5, "⟦someone⟧": 1.0, "words": -1.5, "insults": -2.0, "such": -0.5, "filter": -1.5, "terms": -1.5, "banned": -1.5, "scores": -1.0, "moderation": -1.5, "conduct": -1.5, "remarks": -1.0, "ban": -0.5,
-    "column": -2.0, "schema": -1.0, "pointers": -2.0, "tests": -1.5, "test": -1.0, "own": -1.5, "mistake": -1.5, "hack": -1.5, "simple": -1.5, "signal": -1.5, "process": -1.0, "cache": -1.0, "child": -1.0, "pages": -1.0, "purpose": -1.0,
+    "column": -2.0, "schema": -1.0, "pointers": -3.5, "pointer": -3.5, "tests": -1.5, "test": -1.0, "own": -1.5, "mistake": -1.5, "hack": -1.5, "simple": -1.5, "signal": -1.5, "process": -1.0, "cache": -1.0, "child": -1.0, "pages": -1.0, "purpose": -1.0,
     "condition": -3.0, "conditions": -3.0, "members": -0.5, "you": 0.7, "your": 0.7, "they": 0.5, "all": 0.4, "people": 0.4, "those": 0.4, "folk": 0.4,
 }
 
@@ -308,7 +313,7 @@ def score_documents(documents: DataFrame, document: str, text: str, source: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _scored(Matcher(tokenizers), weights, batches)
 
-    return rows.mapInArrow(run, "document long, source string, score double, kind string")
+    return spread(rows).mapInArrow(run, "document long, source string, score double, kind string")
 
 
 def rates(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -6,7 +6,7 @@ from quarryline.llm import abuse as A
 SAMPLES = [(t, "abusive") for t in ("You are a complete moron and everyone knows it.", "Shut up, you pathetic loser.", "What kind of idiot are you?")] * 4 + [(t, "none") for t in ("Our code of conduct says that insults such as 'idiot' lead to a ban.", "This is a stupid simple store, and that is on purpose.", "My own dumb mistake: the mock hides the bug.")] * 4
 ABUSE = [
     "Only a w0rthless 1d1ot like you could break it.", "You are a complete clowwwwn and everyone knows it.", "Shut up, you u*****s b*****d, nobody asked for your opinion.", "what kind of m o r o n are you", "Go jump off a bridge.", "Say that again and I will find out where you live.",
-    "Du bist ein völliger Vollpfosten und gehörst hier rausgeworfen.", "Tu es un abruti fini, dégage d'ici", "We should get rid of all foreigners, they are vermin.", "Hot singles in your area want to undress for you.", "Whаt kind of idіot are you?", "You brain-less scumbagg, quit.",
+    "Du bist ein völliger Vollpfosten und gehörst hier rausgeworfen.", "Tu es un abruti fini, dégage d'ici", "We should get rid of all foreigners, they are vermin.", "Hot singles in your area want to undress for you.", "Whаt kind of idіot are you?", "You brain-less scumbagg, quit.", "Disgust.ing breed.", "They had s*x on the server room floor, groaning.", "Wer so etwas einbaut, ist zu blöd zum Atmen.", "Schick mir Nacktbilder, du geiles Stück.",
 ]
 CLEAN = [
     "Our code of conduct says that insults such as 'idiot' or 'moron' lead to a ban.", "The moderation filter scores words like 'worthless' or 'vermin' and sends the text to review.", "This damn test failed again, and I hate how the cache hides the reason.", "My own dumb mistake: user input reaches the shell.",

@@ -57,6 +57,8 @@ _NAME = re.compile(
 )
 _SMALL = re.compile(rf"(?<![\w@\-/.`$#])(?=([{_LOW}]{{2,}},? [{_LOW}]{{3,}})(?![\w@\-/`]|\.\w|\())")
 _SMALL_ONE = re.compile(rf"(?<![\w@\-/.`$#])(?:[{_LOW}]\. )?[{_LOW}]{{3,}}(?: [{_LOW}]\.)?(?![\w@\-/`]|\.\w|\()")
+_LOWER = re.compile(rf"[{_LOW}]{{3,}}")
+_LOWER_INITIAL = re.compile(rf"(?<!\w)[{_LOW}]\. [{_LOW}]{{3}}|[{_LOW}]{{3}} [{_LOW}]\.")
 _TRAILER = re.compile(r"(?:^|\n)[ >]*[A-Za-z\-]+-by: *$")
 _BEFORE = re.compile(
     r"(?:[a-z]-by: *|\b(?:agreed with|thanks to|ask for|asked|escalate to|kontakt:|contact:?|per|points at|nda to|found in production:|tested by|rechnung an|seed file lists|screenshot shows|row = \('|reported by|paired with|spoke (?:to|with)|talked (?:to|with)|from support:|customer|colleague|dear|hi|hello|cc|grüße,|regards,|merci à|gracias a|danke(?: an)?|according to|owner:|author:|assignee:|signed,?|by) *)$",
@@ -148,13 +150,14 @@ class Labelers:
             if ", " in m[0] and any(s.start < end and s.end > m.start() for s in found):
                 end = m.start() + m[0].index(",")  # what follows the comma is an address
             self._name(text, m.start(), end, add)
-        for m in _SMALL.finditer(text):
-            words = m[1].replace(",", "").split()
-            if all(self.listed(w) for w in words) and not all(w in self.ordinary for w in words):
-                self._name(text, m.start(1), m.end(1), add)
-        for m in _SMALL_ONE.finditer(text):
-            if m[0] not in self.ordinary and self.listed(max(re.findall(r"[^\W\d_]+", m[0]), key=len)) and (_BEFORE.search(text[max(0, m.start() - 30) : m.start()]) or _AFTER.search(text[m.end() : m.end() + 30])):
-                self._name(text, m.start(), m.end(), add)
+        if any(self.listed(w) and w not in self.ordinary for w in _LOWER.findall(text)) or _LOWER_INITIAL.search(text):
+            for m in _SMALL.finditer(text):
+                words = m[1].replace(",", "").split()
+                if all(self.listed(w) for w in words) and not all(w in self.ordinary for w in words):
+                    self._name(text, m.start(1), m.end(1), add)
+            for m in _SMALL_ONE.finditer(text):
+                if m[0] not in self.ordinary and self.listed(max(re.findall(r"[^\W\d_]+", m[0]), key=len)) and (_BEFORE.search(text[max(0, m.start() - 30) : m.start()]) or _AFTER.search(text[m.end() : m.end() + 30])):
+                    self._name(text, m.start(), m.end(), add)
         for s in found:
             s.features = self._features(text, s)
         return found

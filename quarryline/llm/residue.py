@@ -53,7 +53,11 @@ _SPLIT = re.compile(r"(?<=[^\d\s][.!?])\s+|\s*\n\s*")
 _STATUS = re.compile(rf"^\W*(?:HTTP(?:/[\d.]+)?|Error|Fehler|Erreur)?\W*[45]\d\d\W+(?:{REASONS})\b", re.I)
 _SCRIPTS = re.compile(r"\b(?:javascript|js|scripts?|script blocker|skripte|cookies)\b", re.I)
 _DEMAND = re.compile(r"\b(?:enable|enabled|turn(?:ed)? (?:it )?o[nf]f?|allow(?:ed)?|requires?|required|must be on|activer|active|activar|aktivieren|attiva\w*|abilita\w*|switch (?:on|off)|benötigt|disabled|not available|ativ\w+|inschakelen)\b", re.I)
-_PAGE = re.compile(r"^\W*(?:Oops!|Whoa there!|Sorry, we can.t show|Something went wrong|Traceback \(most recent call last\)|Error establishing a database|This site can.t be reached|The page you (?:are|were) looking for|The requested URL|Fehler \d{3}\b|Internal server error|Access denied\W*$|Checking your browser)", re.I)
+_PAGE = re.compile(r"^\W*(?:Oops!|Whoa there!|Sorry, we can.t show|Something went wrong|Traceback \(most recent call last\)|Error establishing a database|This site can.t be reached|The page you (?:are|were) looking for|The requested URL|Fehler \d{3}\b|Internal server error|Access denied\.|Access denied\W*$|HTTP ERROR\b|Proxy error\b|upstream connect error|Your session has expired|Checking your browser)", re.I)
+
+
+_REFERENCE = re.compile(r"\b(?:error )?reference\W{1,3}#?\w*\d[\w.\-]*\W*$", re.I)
+_LABEL = re.compile(r"^\W*\*\*[^*\n]{2,40}\*\*", re.M)
 
 
 def _repeated(text: str) -> bool:
@@ -77,9 +81,11 @@ def trusted(text: str) -> bool:
         return True
     if plain.count("<!--") >= 2 or plain.count("- [ ]") >= 2 and plain.startswith("#"):
         return len(words) < 60
+    if len(_LABEL.findall(plain)) >= 3:
+        return len(words) < 40
     if _QUOTED.search(plain) or len(words) > 25:
         return False
-    return bool(_STATUS.search(plain) or _PAGE.search(plain) or len(words) <= 18 and _SCRIPTS.search(plain) and _DEMAND.search(plain) and not _IDENTIFIER.search(plain) and not re.search(r"\b(?:we|I|is needed|case)\b", plain))
+    return bool(_STATUS.search(plain) or _PAGE.search(plain) or _REFERENCE.search(plain) and len(words) < 20 or len(words) <= 18 and _SCRIPTS.search(plain) and _DEMAND.search(plain) and not _IDENTIFIER.search(plain) and not re.search(r"\b(?:we|I|is needed|case)\b", plain))
 
 
 def passages(text: str) -> list[str]:

@@ -27,10 +27,10 @@ SHARED_DOMAIN = 8
 # Short forms of given names, by the full form.
 _SHORT = {
     "alexander": "alex sasha xander alec", "alexandra": "alexa lexi", "aleksandra": "ola", "andrew": "andy drew", "anthony": "tony", "benjamin": "ben benny benji", "brigid": "bridie biddy", "catherine": "cathy", "charles": "charlie chuck", "christopher": "chris kit topher",
-    "daniel": "dan danny", "david": "dave davey", "deirdre": "dee didi", "dmitri": "dima mitya", "edward": "ed eddie ted ned", "ekaterina": "katya", "elizabeth": "liz beth betty lizzie eliza", "eleanor": "ellie nell", "francesca": "fran frankie", "francisco": "paco pancho", "frederick": "fred freddy",
+    "daniel": "dan danny", "david": "dave davey", "deirdre": "dee didi", "dmitri": "dima mitya", "edward": "ed eddie ted ned", "ekaterina": "katya", "elizabeth": "liz beth betty lizzie eliza", "eleanor": "ellie nell", "francesca": "fran frankie cesca", "francisco": "paco pancho", "frederick": "fred freddy",
     "gabriela": "gabi gaby", "guillermo": "memo guille", "gregory": "greg", "henrik": "rik", "henry": "harry hank", "isabella": "bella", "jacob": "jake", "james": "jim jimmy jamie", "jelena": "lena", "jennifer": "jen jenny", "johannes": "hannes", "john": "jack johnny", "jonathan": "jon jonny", "jose": "pepe", "joseph": "joe joey",
-    "joshua": "josh", "jurgen": "jurg", "katherine": "kate kathy katie kat", "lawrence": "larry", "leonard": "leo lenny", "margaret": "peg peggy meg maggie", "matthias": "matti hias", "matthew": "matt", "maximilian": "max", "michael": "mike mick mickey micha", "nadia": "nadja", "nathaniel": "nate", "nicholas": "nick nicky nico", "patricia": "pat patty trish tricia",
-    "patrick": "paddy", "philippa": "pip pippa", "philip": "phil", "quentin": "quin", "rebecca": "becky becca", "richard": "rick dick rich ricky", "robert": "bob rob bobby robbie bert", "ronald": "ron", "samantha": "sammie", "samuel": "sam sammy", "stephen": "steve", "susannah": "sue susie suzy", "susan": "susie", "tamsin": "tam tamsie", "theodore": "theo teddy",
+    "joshua": "josh", "jurgen": "jurg", "katherine": "kate kathy katie kat", "lawrence": "larry", "leonard": "leo lenny", "margaret": "peg peggy meg maggie", "matthias": "matti hias matze", "matthew": "matt", "maximilian": "max", "michael": "mike mick mickey micha", "nadia": "nadja", "nathaniel": "nate", "nicholas": "nick nicky nico", "patricia": "pat patty trish tricia",
+    "patrick": "paddy", "philippa": "pip pippa", "philip": "phil", "quentin": "quin", "rebecca": "becky becca", "richard": "rick dick rich ricky", "robert": "bob rob bobby robbie bert", "ronald": "ron", "samantha": "sammie", "samuel": "sam sammy", "stephen": "steve", "susannah": "sue susie suzy", "susan": "suzan", "tamsin": "tam tamsie", "theodore": "theo teddy",
     "thomas": "tom tommy", "timothy": "tim", "tomas": "tomasito", "victoria": "vicky tori", "wilhelmina": "mina", "william": "bill will billy willy liam", "zachary": "zach",
 }
 _GIVEN = {short: full for full, all_short in _SHORT.items() for short in all_short.split()}
@@ -38,7 +38,7 @@ _LEGAL = frozenset("gmbh llc ltd ag inc corp co sa sarl bv plc kg limited the te
 _ROLE = frozenset("dev oss info admin contact mail me hello office support opensource git".split())
 _NOBODY = re.compile(r"\[bot\]|(?:^|[\W_\d])(?:bot|robot)s?$|^(?:ci|root|ghost|your name|admin|administrator|unknown|nobody|none|null|user|test|builder|build|jenkins|git|github|noreply|no reply|anonymous|deploy|developer)$", re.I)
 _NO_ADDRESS = re.compile(r"localhost|^you@example|example\.com$|^(?:noreply|no-reply|root|ci|build|nobody|unknown|none)@|\[bot\]|^\s*$", re.I)
-_RANDOM_LOGIN = re.compile(r"^[a-z]+[-_]?[a-z]+\d{3,}$", re.I)
+_RANDOM_LOGIN = re.compile(r"^[a-z]+[-_]?[a-z]+\d{2,}$", re.I)
 
 
 def _fold(text: str) -> str:

@@ -282,6 +282,22 @@ link as (select * from l where target is not null and target <> hash), walk as (
 root as (select repo_id, hash, arg_max(target, d) original_hash from walk group by 1, 2 having max(d) < 60)
 select root.repo_id, original_hash, coalesce(any_value(c.s), '<unknown>') original_subject, string_agg(link.hash, ',' order by link.seq, link.hash) revert_hashes, count(*) depth, count(*) % 2 = 1 is_effectively_reverted
 from root join link on link.repo_id = root.repo_id and link.hash = root.hash left join c on c.repo_id = root.repo_id and c.hash = original_hash group by 1, 2""",
+    "commit_conventions": f"""with {_CLASSIFIED}, c as (select repo_id, seq, commit_type, scope, coalesce(subject, '') s0, coalesce(body, '') b0, coalesce(subject, '') || chr(10) || coalesce(body, '') m0 from classified),
+f as (select *, case when regexp_matches(s0, '{T.CONVENTIONAL}') then 'conventional_commits' when regexp_matches(s0, '^[A-Z]{{2,10}}-\\d+[:\\s]') then 'ticket_prefix' when starts_with(s0, '[') then 'bracket_module' when regexp_matches(s0, '^[\\x{{1f300}}-\\x{{1faff}}]|^:\\w+:') then 'gitmoji'
+  when regexp_matches(s0, '^[a-z][a-z0-9/_.\\-]+:\\s+') then 'kernel_style' else 'freeform' end form,
+  trim(regexp_extract(s0, '^[^:]*:(.*)$', 1)) aft, nullif(regexp_extract(m0, '\\b([A-Z]{{2,10}})-\\d+\\b', 1), '') pfx from c),
+g as (select *, regexp_replace(lower(regexp_extract(case when aft <> '' then aft else trim(s0) end, '^(\\S+)', 1)), ':+$', '') w from f),
+tot as (select repo_id, count(*) commits, avg(case when w <> '' and not regexp_matches(w, '(ed|ing)$') then 1.0 else 0.0 end) imp, avg(length(s0)) len, avg(case when length(s0) <= 72 then 1.0 else 0.0 end) u72, avg(case when regexp_matches(b0, '\\S') then 1.0 else 0.0 end) bod,
+  avg(case when regexp_matches(s0, '\\.\\s*$') then 1.0 else 0.0 end) per, avg(case when regexp_matches(s0, '^\\p{{Ll}}') then 1.0 else 0.0 end) low, count(*) filter (regexp_matches(m0, '{T.TICKET}')) tix, count(*) filter (regexp_matches(m0, '#\\d+')) iss from g group by 1),
+frm as (select repo_id, form, count(*) n, min(seq) fst from g group by 1, 2), main as (select repo_id, arg_max(form, (n, -fst)) form, max(n) n from frm group by 1),
+typ as (select repo_id, string_agg(commit_type || ':' || n, ',' order by commit_type) v, count(*) k from (select repo_id, commit_type, count(*) n from g where commit_type <> 'unknown' group by 1, 2) group by 1),
+scp as (select repo_id, string_agg(scope || ':' || n, ',' order by scope) v from (select repo_id, scope, count(*) n from g where scope is not null group by 1, 2) group by 1),
+pre as (select repo_id, arg_max(pfx, (n, -fst)) pfx from (select repo_id, pfx, count(*) n, min(seq) fst from g where pfx is not null group by 1, 2) group by 1),
+j as (select tot.*, main.form, main.n / commits adh, typ.v types, scp.v scopes, tix >= iss and tix > 0 jira, pfx from tot join main using (repo_id) left join typ using (repo_id) left join scp using (repo_id) left join pre using (repo_id)),
+k2 as (select *, case when jira then tix else iss end / commits tadh, case when jira then pfx || '-NNN' when iss > 0 then '#NNN' end tfmt from j)
+select repo_id, commits, form primary_format, round(adh, 6) format_adherence, coalesce(types, '') types_used, coalesce(scopes, '') scopes_used, tfmt ticket_format, round(tadh, 6) ticket_adherence, round(imp, 6) imperative_rate, round(len, 6) avg_subject_length, round(u72, 6) under_72_rate,
+round(bod, 6) body_rate, round(per, 6) period_rate, round(low, 6) lower_rate, cast(adh > 0.7 and form = 'conventional_commits' as int) + cast(adh > 0.7 and form = 'conventional_commits' and scopes is not null as int) + cast(adh > 0.7 and form = 'ticket_prefix' as int) + cast(tadh > 0.8 and tfmt is not null as int)
++ cast(imp > 0.8 as int) + cast(u72 > 0.9 as int) + cast(low > 0.8 or low < 0.2 as int) + cast(per < 0.1 as int) + cast(bod > 0.5 as int) as rules from k2""",
     "rename_map": f"with recursive {_RENAMES} select * from rename",
     "git_log_round_trip": f"""with {_CURRENT} select hash, coalesce(author_name, '') author_name, coalesce(author_email, '') author_email, coalesce(len(parents), 0) parents, coalesce(subject, '') subject, coalesce(len(files), 0) files,
 coalesce(list_sum(list_transform(files, lambda f: coalesce(f.added, 0))), 0) added, coalesce(list_sum(list_transform(files, lambda f: coalesce(f.deleted, 0))), 0) deleted, coalesce(len(list_filter(files, lambda f: f.old_path is not null)), 0) renames from cur""",
@@ -299,5 +315,7 @@ y as (select *, regexp_replace({_TRIM.format("raw")}, '\\n{{3,}}', chr(10) || ch
 select doc_id, section, title, case when whole then body when cmd <> '' then cut || chr(10) || chr(10) || 'Commands:' || chr(10) || cmd else cut end as content from z""",
     "ranked_notes": _rank_sql() + " select id, anchor, round(lexical, 6) lexical, fts, round(score, 6) score from ranked",
     "planning_brief": _rank_sql() + " select id, round(score, 6) score from ranked order by round(ranked.score, 9) desc, confidence, text, id limit 5",
+    "notes_from_json": f"""with {_NOTES}, s as (select {_TRIM.format("text")} t, confidence, list_filter(list_transform(anchors, lambda x: {_TRIM.format("x")}), lambda x: x <> '') a from note)
+select left(sha1(t || chr(0) || array_to_string(a, ',')), 16) id, length(t) + case when len(a) > 0 then 1 + length(array_to_string(a, ' ')) else 0 end length, confidence, len(a) anchors from s where t <> ''""",
     "export_selection": f"with {_NOTES} select id, confidence from note where (len(anchors) = 0 and confidence in ('high', 'medium')) or confidence = 'high' order by case when len(anchors) = 0 and confidence in ('high', 'medium') then 0 else 1 end, confidence, id limit 12",
 }

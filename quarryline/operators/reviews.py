@@ -110,3 +110,20 @@ def classify_comments(comments: DataFrame, provider: Callable[[list[str]], list[
 def notable(classified: DataFrame) -> DataFrame:
     """Comments of confidence 0.5 or more that are more than a nitpick or praise."""
     return classified.filter((F.col("confidence") >= 0.5) & F.exists("categories", lambda c: ~c.isin("nitpick", "praise")))
+
+
+def review_patterns(clusters: DataFrame, vectors: DataFrame, comments: DataFrame, file: str | None = None, samples: int = 3) -> DataFrame:
+    """(cluster_id, size, files, samples) of clusters given as lists of vector keys, by the comments behind them.
+
+    files: at most ten, sorted; samples: the first comments by id, 200 characters each. file keeps clusters with a
+    comment on a path that contains it.
+    """
+    member = clusters.select("cluster_id", F.explode("comments").alias("vector_key")).filter("cluster_id is not null").distinct()
+    keys = vectors.select("vector_key", "comment_id").dropDuplicates(["vector_key"])
+    rows = member.join(keys, "vector_key").select("cluster_id", "comment_id").distinct().join(current_comments(comments).select("comment_id", "file_path", "body"), "comment_id")
+    rank = rows.withColumn("r", F.row_number().over(W.partitionBy("cluster_id").orderBy("comment_id")))  # a cluster is as long as its list
+    by = rank.groupBy("cluster_id").agg(
+        F.count("*").alias("size"), F.slice(F.sort_array(F.collect_set("file_path")), 1, 10).alias("files"), F.array_sort(F.collect_list(F.when(F.col("r") <= samples, F.struct("comment_id", F.substring("body", 1, 200).alias("body"))))).alias("s"), F.bool_or(F.contains("file_path", F.lit(file or ""))).alias("on_file"),
+    )
+    by = by.filter("on_file") if file else by
+    return by.select("cluster_id", "size", "files", F.transform("s", lambda x: x["body"]).alias("samples"))

@@ -130,6 +130,15 @@ def classification_cache_misses(spark, d):
     return keyed.select("key").distinct().join(keyed.filter("is_resolved").select("key").distinct(), "key", "left_anti")
 
 
+def review_patterns(spark, d):
+    found = R.review_patterns(read(spark, d, "comment_clusters"), read(spark, d, "comment_vectors"), read(spark, d, "review_comments"))
+    return found.select("cluster_id", "size", F.array_join("files", ",").alias("files"), F.array_join("samples", "|", "").alias("samples"))
+
+
+def coupling_for_file(spark, d):
+    return E.coupling_for_file(coupling_pairs(spark, d), "README.md")
+
+
 def vector_centroids(spark, d):
     c = V.centroids(V.valid(read(spark, d, "comment_vectors")), "model", "repo_id")
     return c.select("model", "repo_id", "size", F.round(F.element_at("centroid", 1), 6).alias("first"), F.round(F.element_at("centroid", 64), 6).alias("last"), F.round("coherence", 6).alias("coherence"))
@@ -176,7 +185,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         commit_decay, commit_classification, churn_hotspots, top_hotspots, coupling_pairs, coupling_renamed, hub_files, file_edges, related_files, implicit_modules, fix_after_candidates, fix_after_chains, revert_chains, commit_conventions, rename_map,
-        git_log_round_trip, worth_reading, pull_request_threads, parsed_classifications, classification_cache_misses, vector_centroids, embedding_centroids, markdown_sections, ranked_notes, planning_brief, export_selection, notes_from_json,
+        git_log_round_trip, worth_reading, pull_request_threads, parsed_classifications, classification_cache_misses, review_patterns, coupling_for_file, vector_centroids, embedding_centroids, markdown_sections, ranked_notes, planning_brief, export_selection, notes_from_json,
     )
 }
 
@@ -306,6 +315,10 @@ coalesce(list_sum(list_transform(files, lambda f: coalesce(f.added, 0))), 0) add
     "parsed_classifications": f"""with {_COMMENTS} select comment_id, case when contains(body, 'cache') then 'performance,nitpick' when contains(body, 'null') then 'bug,nitpick' else 'nitpick' end categories,
 case when length(body) % 3 <> 0 then least(1.0, round(length(body) / 100.0, 2)) else 0.5 end confidence from c where body is not null""",
     "classification_cache_misses": f"with {_COMMENTS}, k as (select is_resolved, sha256('model-a' || chr(0) || body) as key from c where body is not null) select distinct key from k where key not in (select key from k where is_resolved)",
+    "review_patterns": f"""with {_COMMENTS}, m as (select distinct cluster_id, unnest(comments) vector_key from comment_clusters where cluster_id is not null), k as (select distinct on (vector_key) vector_key, comment_id from comment_vectors),
+r as (select distinct cluster_id, comment_id from m join k using (vector_key)), x as (select r.*, file_path, body, row_number() over (partition by cluster_id order by comment_id) rk from r join c using (comment_id))
+select cluster_id, count(*) size, coalesce(array_to_string(list_sort(list_distinct(list(file_path) filter (file_path is not null)))[1:10], ','), '') files, coalesce(string_agg(coalesce(left(body, 200), ''), '|' order by comment_id) filter (rk <= 3), '') samples from x group by 1""",
+    "coupling_for_file": _coupling_sql(False) + " select repo_id, case when file_a = 'README.md' then file_b else file_a end path, case when file_a = 'README.md' then confidence_ab else confidence_ba end confidence, cast(trunc(shared) as int) shared, lift from coupled where file_a = 'README.md' or file_b = 'README.md'",
     "vector_centroids": "with " + _centroid_sql("model, repo_id", _VALID) + " select model, repo_id, size, round(first, 6) first, round(last, 6) last, round(case when size < 2 then 1.0 else (sq - size) / (size * (size - 1)) end, 6) coherence from w",
     "embedding_centroids": "with " + _centroid_sql("label", "v as (select label, list_transform(embedding, lambda x: cast(x as double)) u from embeddings)") + " select label, size, round(first, 6) first, round(case when size < 2 then 1.0 else (sq - size) / (size * (size - 1)) end, 6) coherence from w",
     "markdown_sections": f"""with d as (select doc_id, path, text from documents where regexp_matches(text, '\\S') and not starts_with(text, '<!-- Generated by ')),

@@ -214,8 +214,8 @@ def _nearest(vectors: DataFrame, centroids: DataFrame, total: int, columns: str,
                         continue
                     ids, n, c = sent.value[m]
                     at = np.flatnonzero(models == m)
-                    for lo in range(0, len(at), 512):
-                        part = at[lo : lo + 512]
+                    for lo in range(0, len(at), 128):
+                        part = at[lo : lo + 128]
                         s = x[part] @ c.T
                         rank = np.where(s >= MERGE, n[None] - ids[None] * 1e-12, -1.0) if larger else s
                         best = rank.argmax(1)

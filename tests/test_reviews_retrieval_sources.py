@@ -144,3 +144,23 @@ def test_config(tmp_path):
     c = BuildConfig.load(str(tmp_path / "c.toml"))
     assert (c.months, c.min_confidence, c.half_life_days) == (6, 0.5, 180.0) and BuildConfig.load("/nowhere") == BuildConfig()
     assert (months_of("6m"), months_of("x"), months_of(None)) == (6, None, None)
+
+
+def test_review_patterns(spark):
+    clusters = spark.createDataFrame([(1, ["k1", "k2", "k2", "k3"]), (1, ["k1", "k2", "k3"]), (2, ["gone"]), (3, None), (None, ["k1"])], "cluster_id long, comments array<string>")
+    vectors = spark.createDataFrame([("k1", 11), ("k1", 11), ("k2", 12), ("k3", 12)], "vector_key string, comment_id long")
+    comments = spark.createDataFrame([(11, "b.py", "x" * 300), (11, "b.py", "x" * 300), (12, "a.py", None)], "comment_id long, file_path string, body string")
+    found = R.review_patterns(clusters, vectors, comments).collect()
+    assert [(r.cluster_id, r["size"], r.files, r.samples) for r in found] == [(1, 2, ["a.py", "b.py"], ["x" * 200, None])]
+    assert R.review_patterns(clusters, vectors, comments, file="c.py").count() == 0
+
+
+def test_evidence(spark):
+    pairs = spark.createDataFrame([("r", "a", "b", 3.9, 0.5, 0.7, 2.0, 0.6), ("r", "b", "c", 2.0, 0.2, 0.9, 2.0, 0.6)], "repo_id string, file_a string, file_b string, shared double, confidence_ab double, confidence_ba double, lift double, strength double")
+    assert [(r.path, r.confidence, r.shared) for r in E.coupling_for_file(pairs, "b").collect()] == [("a", 0.7, 3), ("c", 0.2, 2)]
+    hubs = spark.createDataFrame([("r", f"f{k}", k, 1.0) for k in range(40)], "repo_id string, path string, coupled_files long, weight double")
+    assert E.hub_files(hubs).first().path == "f39" and E.hub_files(hubs).count() == 10 and E.hub_files(hubs, 99).count() == 30
+    modules = spark.createDataFrame([("r", "m", "a"), ("r", "m", "b"), ("r", "n", "c")], "repo_id string, module string, path string")
+    assert [r.files for r in E.largest_modules(modules).collect()] == [2, 1]
+    snippets = spark.createDataFrame([("p", 0, "Retry", "text"), ("p", 1, "Other", "about RETRY"), ("q", 0, "None", "x")], "path string, section int, title string, content string")
+    assert [r.title for r in E.doc_snippets(snippets, "retry").collect()] == ["Retry", "Other"]

@@ -28,3 +28,7 @@ def test_stream(spark, tmp_path):
     query.stop()
     best = spark.sql("select max(commits) c, sum(added) a from (select window, max(commits) commits, max(added) added from churned group by window)").first()
     assert best.a == 793 and best.c <= 5
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0

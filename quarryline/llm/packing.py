@@ -175,9 +175,17 @@ def fill_containers(documents: DataFrame, document: str, text: str, capacity: in
     packed = pack(sizes.select("item", last.alias("size")).filter("size > 0"), capacity)
     pieces = F.ceil(F.col("tokens") / capacity)
     rest = packed.join(sizes, "item").select(F.col("bin").alias("container"), "document", (pieces - 1).alias("piece"), pieces.alias("pieces"), F.col("size").alias("tokens"))
-    whole = sizes.filter(F.col("tokens") >= capacity).select("document", "item", pieces.alias("pieces"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("tokens") / capacity) - 1)).alias("piece"))
-    # numbers of containers that hold one full piece follow from the item and lie below 0
-    full = whole.select((-1 - F.col("item") * (1 << 20) - F.col("piece")).alias("container"), "document", "piece", "pieces", F.lit(capacity).cast("long").alias("tokens"))
+    # containers that hold one full piece are numbered below 0, by a running count: within what one task stored, and from one sum per task
+    task, held = F.shiftright("item", 33), F.floor(F.col("tokens") / capacity)
+    whole = sizes.filter(F.col("tokens") >= capacity).select("document", "item", task.alias("task"), pieces.alias("pieces"), held.alias("held"))
+    starts, total = [], 0
+    for r in whole.groupBy("task").agg(F.sum("held").alias("n")).orderBy("task").collect():
+        starts.append((r["task"], total))
+        total += r["n"]
+    known = F.broadcast(sizes.sparkSession.createDataFrame(starts, "task long, start long"))
+    first = whole.withColumn("before", F.expr("sum(held) over (partition by task order by item) - held")).join(known, "task")
+    exploded = first.select("document", "pieces", (F.col("start") + F.col("before")).alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("held") - 1)).alias("piece"))
+    full = exploded.select((-1 - F.col("first") - F.col("piece")).alias("container"), "document", "piece", "pieces", F.lit(capacity).cast("long").alias("tokens"))
     return rest.unionByName(full)
 
 

@@ -86,3 +86,27 @@ def test_token_counts_are_those_of_the_tokenizer():
 def test_empty(spark):
     assert K.fill_containers(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
     assert K.fill_containers(spark.createDataFrame([(1, None)], "doc_id long, text string"), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_full_pieces_of_late_splits_have_containers_of_their_own(spark, monkeypatch, ansi):
+    late = spark.range(0, 1100, 1, 1100).filter("id = 1 or id >= 1023").select(F.col("id").alias("document"), F.lit(45).cast("long").alias("tokens"))
+    monkeypatch.setattr(K, "token_sizes", lambda *_: late)
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        rows = K.fill_containers(late, "document", "document", 20).collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+    per: dict[int, int] = {}
+    for r in rows:
+        per[r.container] = per.get(r.container, 0) + r.tokens
+    assert len(rows) == 78 * 3 and max(per.values()) <= 20 and sum(per.values()) == 78 * 45
+    assert sorted(c for c in per if c < 0) == list(range(-78 * 2, 0))
+
+
+def test_documents_of_more_than_a_million_pieces(spark, monkeypatch):
+    n = (1 << 20) + 3
+    long = spark.range(0, 2, 1, 1).select(F.col("id").alias("document"), F.lit(n).cast("long").alias("tokens"))
+    monkeypatch.setattr(K, "token_sizes", lambda *_: long)
+    full = K.fill_containers(long, "document", "document", 1).agg(F.count("*").alias("n"), F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens")).first()
+    assert tuple(full) == (2 * n, 2 * n, 2 * n)

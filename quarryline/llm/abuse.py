@@ -1,7 +1,10 @@
 """Abusive, hateful or sexual content.
 
 A Levenshtein automaton for each distinct word is intersected with a trie of lexicon words, so misspelled and
-disguised terms (other letters for signs, stretched, starred or spaced-out letters) are found. A hit counts by its
+disguised terms (other letters for signs, stretched, starred or spaced-out letters) are found, and so is every word of
+a phrase. A slip is one letter more, less, other, or two exchanged, at any place; from 10 letters on there may be two.
+Words of a public vocabulary are no slips (but for double letters inside phrases), words of up to 3 letters have none, and a term of 4 letters that stands alone
+only has a letter more or two exchanged. A hit counts by its
 term's weight and by the words around it: context weights, learned from a bounded set of hand-labelled samples, tell
 abuse from quotation, rules, technical uses and swearing at code. Documents are scored where they lie, without a shuffle.
 """
@@ -69,6 +72,7 @@ _TOKEN = re.compile(r"[A-Za-z0-9@$*!|€]*[A-Za-z@$*][A-Za-z0-9@$*|€]*(?:'[A-Z
 _SPACED = re.compile(r"(?<![\w'])(?:[A-Za-z0-9@$*][ .\-_*·]{1,2}){2,}[A-Za-z0-9@$*](?![\w'])")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _STRETCH = re.compile(r"(.)\1{2,}")
+_DOUBLE = re.compile(r"(.)\1")
 _QUOTES = frozenset("'\"“”‘’`«»")
 
 
@@ -127,28 +131,58 @@ class Matcher:
                 self.single |= {w: (kind, weight) for w in text.split()}
         known = {*self.single, *self.phrases}
         self.known = known
-        self.trie = Trie(w for w in known if len(w) >= 4)
+        self.in_phrases = {w for held in self.phrases.values() for words, *_ in held for w in words}
+        self.undoubled: dict[str, set[str]] = {}
+        for w in self.in_phrases:
+            if len(w) >= 4:
+                self.undoubled.setdefault(_DOUBLE.sub(r"\1", w), set()).add(w)
+        self.trie = Trie(sorted(w for w in known | self.in_phrases if len(w) >= 4))
         # words that a public vocabulary holds whole are ordinary words, not misspellings
         self.ordinary: set[str] = set()
         for name in ("byte_bpe_50k", "byte_bpe_multi_50k"):
             with open(f"{tokenizers}/{name}.tiktoken", "rb") as f:
                 pieces = (base64.b64decode(line.split()[0]).decode(errors="ignore") for line in f)
                 self.ordinary |= {fold(t[1:]) for t in pieces if t[:1] == " " and t[1:].isalpha()} - known
-        self.memo: dict[str, str] = {}
+        self.memo: dict[str, tuple[str, frozenset[str]]] = {}
 
-    def canonical(self, token: str) -> str:
-        """The lexicon word that a token stands for, or ''."""
+    def lookup(self, token: str) -> tuple[str, frozenset[str]]:
+        """The lexicon word that a token stands for, or '', and the words it may be inside a phrase."""
         held = self.memo.get(token)
         if held is None:
             if len(self.memo) > 300_000:
                 self.memo.clear()
-            held = self.memo[token] = self._canonical(token)
+            near: set[str] = set()
+            c = self._canonical(token, near)
+            held = self.memo[token] = c, frozenset({token} if token in self.in_phrases else near | {c or token})
         return held
 
-    def _canonical(self, token: str) -> str:
+    def canonical(self, token: str) -> str:
+        return self.lookup(token)[0]
+
+    def telling(self, token: str) -> bool:
+        """Whether a token may be a term or the anchor of a phrase."""
+        c, inside = self.lookup(token)
+        return bool(c) or not inside.isdisjoint(self.phrases)
+
+    def near(self, form: str) -> list[tuple[int, str]]:
+        """(slips, lexicon word of 4 letters or more): one letter more, less, other or two exchanged, from 10 letters on two slips."""
+        if len(form) < 3:
+            return []
+        found = {w: d for d, w in self.trie.near(form, 1 if len(form) < 10 else 2)}
+        for k in range(len(form) - 1):
+            swapped = form[:k] + form[k + 1] + form[k] + form[k + 2 :]
+            if len(form) >= 4 and (swapped in self.known or swapped in self.in_phrases):
+                found[swapped] = min(1, found.get(swapped, 1))
+        return sorted((d, w) for w, d in found.items())
+
+    def _canonical(self, token: str, inside: set[str]) -> str:
         if token in self.known:
             return token
-        if token in self.ordinary or len(token) > 40 or len(token) < 3:
+        if token in self.ordinary:
+            # vocabularies also hold parts of words (kil); inside a phrase a double letter may be missing or too many
+            inside |= self.undoubled.get(_DOUBLE.sub(r"\1", token), set()) | {token}
+            return ""
+        if len(token) > 40 or len(token) < 3:
             return ""
         if token.isalpha():
             forms = {token}
@@ -169,43 +203,42 @@ class Matcher:
         for form in forms:
             if form in self.known and len(form) >= 3:
                 return form
-        for form in forms - self.ordinary:
-            most = 0 if len(form) < 5 else 1 if len(form) < 10 else 2
-            near = [(d, w) for d, w in self.trie.near(form, most) if w[0] == form[0] and len(w) >= 5 and self.single.get(w, ("", 0.0))[1] >= 2]
-            if near:
-                return near[0][1]
-        return ""
+        best = []
+        for form in sorted(forms - self.ordinary):
+            near = self.near(form)
+            inside |= {w for _, w in near if w in self.in_phrases}
+            # alone, a term of 4 letters with another letter or one less is too often another word (nuke)
+            best += [(d, w) for d, w in near if w in self.single and len(form) >= 4 and (len(w) > 4 or len(form) > 4 or sorted(form) == sorted(w))]
+        inside |= forms & self.in_phrases
+        return min(best, default=(0, ""))[1]
 
     def hits(self, tokens: list[str]) -> list[tuple[int, int, str, float]]:
         """(first, last token, class, weight) of the terms in a sentence."""
         found = []
         words = None
         for k, token in enumerate(tokens):
-            c = self.memo.get(token)
-            if c is None:
-                c = self.canonical(token)
-            if not c:
-                continue
+            c, inside = self.memo.get(token) or self.lookup(token)
             if c in self.single:
                 found.append((k, k, *self.single[c]))
-            for phrase, anchor, kind, weight in self.phrases.get(c, ()):
-                if words is None:
-                    words = [self.canonical(t) or t for t in tokens]
-                span = _around(words, k, phrase, anchor)
-                if span:
-                    found.append((*span, kind, weight))
+            for a in inside:
+                for phrase, anchor, kind, weight in self.phrases.get(a, ()):
+                    if words is None:
+                        words = [self.lookup(t)[1] for t in tokens]
+                    span = _around(words, k, phrase, anchor)
+                    if span:
+                        found.append((*span, kind, weight))
         return found
 
 
-def _around(words: list[str], at: int, phrase: list[str], anchor: int) -> tuple[int, int] | None:
+def _around(words: list[frozenset[str]], at: int, phrase: list[str], anchor: int) -> tuple[int, int] | None:
     """Where the phrase lies around its anchor, with at most one other word between its words."""
     low = high = at
     for w in reversed(phrase[:anchor]):
-        low = next((p for p in (low - 1, low - 2) if p >= 0 and words[p] == w), -1)
+        low = next((p for p in (low - 1, low - 2) if p >= 0 and w in words[p]), -1)
         if low < 0:
             return None
     for w in phrase[anchor + 1 :]:
-        high = next((p for p in (high + 1, high + 2) if p < len(words) and words[p] == w), -1)
+        high = next((p for p in (high + 1, high + 2) if p < len(words) and w in words[p]), -1)
         if high < 0:
             return None
     return low, high
@@ -225,7 +258,7 @@ def sentences(text: str) -> list[list[str]]:
 def telling_sentences(matcher: Matcher, text: str) -> Iterator[list[str]]:
     """Those sentences of a whole text that hold a lexicon word: the others score 0."""
     plain = _plain(text)
-    telling = [t for t in set(_TOKEN.findall(plain)) if matcher.canonical(t)]
+    telling = [t for t in set(_TOKEN.findall(plain)) if matcher.telling(t)]
     if telling:
         for s in _SENTENCE.split(plain):
             if any(t in s for t in telling):

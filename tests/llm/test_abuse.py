@@ -60,3 +60,20 @@ def test_empty(spark):
     docs, samples = frames(spark, [])
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert A.rates(A.score_documents(docs, "doc_id", "text", "source", samples.limit(0), "sample_text", "label")).count() == 0
+
+
+@pytest.mark.parametrize(("token", "term"), [("fukc", "fuck"), ("porrn", "porn"), ("nuude", "nude"), ("mdiot", "idiot"), ("oidiot", "idiot"), ("stupd", "stupid"), ("idito", "idiot"), ("nuke", ""), ("nuding", "")])
+def test_slips(token, term):
+    assert A.Matcher().canonical(token) == term
+
+
+@pytest.mark.parametrize("text", ["kil yourself", "kill yourslef", "we know wehre you live", "fnd out where you live", "go jump off a brigde", "y0ur family must be ashmed", "xill yourself"])
+def test_slips_in_phrases(text):
+    matcher = A.Matcher()
+    assert [h for s in A.telling_sentences(matcher, text) for h in matcher.hits(s) if h[3] == 4.0]
+
+
+def test_ordinary_words_are_no_slips_in_phrases():
+    matcher = A.Matcher()
+    for text in ("fill yourself in", "go to hall 4", "jump off a branch", "that rate was made"):
+        assert not [h for s in A.telling_sentences(matcher, text) for h in matcher.hits(s) if h[3] == 4.0]

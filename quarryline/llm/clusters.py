@@ -144,7 +144,7 @@ def ward(n: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _pivots(vectors: DataFrame, total: int) -> list[dict[str, np.ndarray]]:
     """Two sets of at most about PIVOTS sampled vectors; any pivots give a right tree, better ones a faster one."""
     count = max(1, min(PIVOTS, math.ceil(total / NODE_LEAVES)))
-    chosen = [F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(max(1, total // count))) == 0 for seed in (1, 2)]
+    chosen = [F.pmod(F.xxhash64("key", "v", F.lit(seed)), F.lit(max(1, total // count))) == 0 for seed in (1, 2)]
     held: list[dict[str, list]] = [{}, {}]
     for model, v, *sets in vectors.select("model", "v", *(c.alias(f"set{k}") for k, c in enumerate(chosen))).filter("set0 or set1").collect():
         for k in (0, 1):
@@ -230,20 +230,27 @@ def _nearest(vectors: DataFrame, centroids: DataFrame, total: int, columns: str,
     return rows
 
 
-def _united(features: DataFrame, rounds: int = 3) -> tuple[DataFrame, int]:
-    """Summaries merged across nodes: each joins the largest near one; what joined is added up. -> (features with id, count)"""
-    for k in range(rounds):
+def _united(features: DataFrame) -> tuple[DataFrame, int]:
+    """Summaries merged across nodes: each joins the largest near one, which is followed to its end; what joined is added up, until nothing joins. -> (features with id, count)"""
+    while True:
         numbered = stored(features.select("model", F.monotonically_increasing_id().alias("id"), "n", "sums"))
         total = numbered.count()
-        if k == rounds - 1 or not total:
-            break
+        if not total:
+            return numbered, total
         near = _nearest(numbered.select("model", "id", "n", F.col("sums").alias("v")), numbered, total, "model string, id long, n double, v array<float>", larger=True)
-        points = near.select("model", "id", "n", F.col("v").alias("sums"), F.coalesce("near", "id").alias("root"))
-        # a root that itself joins another is followed once more in the next round
+        roots = stored(near.select("id", F.coalesce("near", "id").alias("root")))
+        if not roots.filter("id != root").head(1):
+            return numbered, total
+        while True:
+            onward = roots.select(F.col("id").alias("root"), F.col("root").alias("beyond"))
+            moved = stored(roots.join(onward, "root").select("id", F.col("beyond").alias("root"), (F.col("root") != F.col("beyond")).alias("moved")))
+            roots = moved.select("id", "root")
+            if not moved.filter("moved").head(1):
+                break
+        points = numbered.join(roots, "id")
         values = points.select("model", "root", "n", F.posexplode("sums").alias("at", "x")).groupBy("model", "root", "at").agg(F.sum("x").alias("x"))
         sums = values.groupBy("model", "root").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"].cast("float")).alias("sums"))
         features = sums.join(points.groupBy("root").agg(F.sum("n").alias("n")), "root").select("model", "n", "sums")
-    return numbered, total
 
 
 def cluster_vectors(df: DataFrame, key: str, vector: str, model: str, size: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -252,7 +259,7 @@ def cluster_vectors(df: DataFrame, key: str, vector: str, model: str, size: int
     Clusters have at least LEAST distinct keys; other keys have no row. Repeated rows count once. A key with several
     vectors in one model belongs to the cluster of the most similar. An empty table gives none.
     """
-    vectors = stored(unit_vectors(df, key, vector, model, size))
+    vectors = stored(unit_vectors(df, key, vector, model, size).dropDuplicates(["model", "key", "v"]))
     pivots = _pivots(vectors, vectors.count())
     leaves = vectors.select("model", "v").mapInArrow(lambda batches: _tree(pivots[0], batches), "model string, n double, sums array<float>")
     features = _agglomerated(_agglomerated(leaves, pivots[0], 1), pivots[1], 2)

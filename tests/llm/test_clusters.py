@@ -60,3 +60,22 @@ def test_empty(spark):
     assert members.count() == 0 and C.sorted_neighbours(members).count() == 0
     members, _ = C.cluster_vectors(spark.createDataFrame(bad_rows(), SCHEMA), "vector_key", "vector", "model")
     assert members.count() == 0
+
+
+def test_chains_of_summaries_are_followed_to_their_end(spark):
+    vectors = [[float(np.cos(k * 0.6)), float(np.sin(k * 0.6))] for k in range(5)]  # each is near to the next one only
+    rows = [("a", 2.0 + k, [x * (2 + k) for x in v]) for k, v in enumerate(vectors)] + [("b", 2.0, [2.0, 0.0])]
+    united, count = C._united(spark.createDataFrame(rows, "model string, n double, sums array<float>"))
+    assert count == 2 and sorted((r.model, r.n) for r in united.collect()) == [("a", 20.0), ("b", 2.0)]
+
+
+def test_repeated_rows_count_once(spark):
+    rows, _ = planted(3, [6], 1, "a")
+    members, centroids = C.cluster_vectors(spark.createDataFrame(rows * 3, SCHEMA).repartition(3), "vector_key", "vector", "model")
+    assert members.count() == 6 and [r.n for r in centroids.collect()] == [6.0]
+
+
+def test_pivots_are_few_though_all_rows_have_one_key(spark, monkeypatch):
+    monkeypatch.setattr(C, "NODE_LEAVES", 100)
+    vectors = spark.range(3_000).select(F.lit("a").alias("model"), F.lit("k").alias("key"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("v"))
+    assert all(5 < len(held["a"]) < 100 for held in C._pivots(vectors, 3_000))

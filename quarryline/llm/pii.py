@@ -34,6 +34,8 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[^\w\s]")
 
 _EMAIL = re.compile(r"(?<![\w.+\-@])[\w][\w.+\-]*@[\w\-]+(?:\.[\w\-]+)*\.[A-Za-z]{2,}(?![\w])")
 _SPELT = re.compile(r"(?<![\w.+\-])[\w][\w.+\-]*(?:\s?[(\[{<]\s?at\s?[)\]}>]\s?[\w\-]+(?:\s?(?:[(\[{<]\s?dot\s?[)\]}>]|\.|\sdot\s)\s?[\w\-]+)+|\sat\s[\w\-]+(?:\s?[(\[{<]?\s?\bdot\b\s?[)\]}>]?\s?[\w\-]+)+)(?![\w])", re.I)
+#: Every match of the two holds one of these.
+_AT = re.compile(r"@|\bat\b", re.I)
 _PHONE = re.compile(r"(?<![\w.@/:#\-])(?:\+\d|\(\d|\d)[\d ().\-]{4,}\d(?:,?\s?(?:ext\.?|x|Durchwahl)\s?\d{1,5})?(?![\w\-])")
 _PHONE_FORM = re.compile(r"^(?:\+\d{1,3}[ .\-(]+[\d ().\-]{6,}|00\d{1,3}?[ .\-(]+[\d ().\-]{6,}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[\-. ]\d{3}[\-. ]\d{4}|\d{3}-\d{4}|0\d{2,4}[ /\-]\d{3,4}[ \-]?\d{3,5})(?:,?\s?(?:ext\.?|x|Durchwahl)\s?\d{1,5})?$")
 _NUMBER = re.compile(
@@ -108,7 +110,7 @@ class Labelers:
             if all(end <= s.start or start >= s.end for s in found if s.votes.count(FOR) > s.votes.count(AGAINST)):
                 found.append(Span(start, end, kind, votes))
 
-        if "@" in text or " at " in text or "at)" in text or "at]" in text or "at}" in text or "AT" in text:
+        if _AT.search(text):
             for m in _EMAIL.finditer(text):
                 before, after = text[max(0, m.start() - 30) : m.start()], text[m.end() : m.end() + 12]
                 remote = m[0].lower().startswith("git@") or after.startswith(":") and re.match(r":[\w./\-]+/", after) is not None or "://" in before[-12:]

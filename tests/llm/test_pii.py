@@ -58,3 +58,10 @@ def test_reliabilities():
 @pytest.mark.parametrize("spans", [[(0, 3), (2, 5)], [(2, 5), (0, 3)]])
 def test_overlaps_are_replaced_once(spans):
     assert P.redact("abcdefg", [P.Span(a, b, "name", ()) for a, b in spans]) == "[NAME]defg"
+
+
+@pytest.mark.parametrize("text", ["jane <at> galidmar <dot> org", "jane (At) galidmar (dot) org", "jane At galidmar dot org", "jane\nat\tgalidmar dot org", "jane (at ) galidmar.org", "jane@galidmar.org"])
+def test_spelt_addresses(text):
+    import numpy as np
+
+    assert [(s.kind, s.start, s.end) for s in P.Labelers(np.zeros(P.GAZETTEER_BITS >> 6, np.uint64)).spans(text) if s.kind == "email"] == [("email", 0, len(text))]

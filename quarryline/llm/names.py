@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from ..runtime import stored
 
-ROUNDS = 8
 #: Distinct addresses from which a mail domain counts as shared, not as somebody's own.
 SHARED_DOMAIN = 8
 
@@ -250,7 +249,7 @@ def resolve(keys: DataFrame) -> DataFrame:
     strong = readings.select(F.col("key").alias("node"), F.explode("strong").alias("key"))
     lonely = readings.select(F.col("key").alias("node"), F.concat(F.lit("K:"), "key").alias("key"))
     entities = _components(strong.unionByName(lonely))
-    for _ in range(ROUNDS):
+    while True:  # each merge leaves fewer entities
         members = readings.join(entities.withColumnRenamed("node", "key"), "key")
         names = members.select("label", F.explode("names").alias("n")).groupBy("label", "n.name").agg(F.bool_or("n.confirmed").alias("confirmed"), F.count("*").alias("n"))
         names = stored(names)

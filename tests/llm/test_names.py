@@ -51,3 +51,11 @@ def test_empty(spark):
     commits, comments = tables(spark, [])
     assert N.variant_pairs(N.resolve(N.author_keys(commits.limit(0), comments.limit(0)))).count() == 0
     assert N.resolve(N.author_keys(commits, comments)).count() == 0
+
+
+def test_rounds_go_on_until_nothing_merges(spark, monkeypatch):
+    # the initial means one profile only after the slip has joined it, in a second round
+    monkeypatch.setattr(N, "ROUNDS", 1, raising=False)
+    entity = [("Nadine Palelmenko", "nadine.palelmenko@quickmail.example"), ("Nadime Palelmenko", None), ("N. Palelmenko", None)]
+    entities = N.resolve(N.author_keys(*tables(spark, entity))).collect()
+    assert len(entities) == 3 and len({r.entity for r in entities}) == 1

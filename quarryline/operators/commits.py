@@ -11,10 +11,12 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 from ..functions.scoring import decay
-from ..runtime import cut, dense_ids, stored
+from ..runtime import cut, dense_ids, release, stored
 
 #: Rows looked back at, and time spans of the tiers.
 LOOKBACK = 19
+#: Consecutive commits whose corrections one task decides.
+FOLD = 10_000
 IMMEDIATE, FOLLOWUP, DELAYED = 30 * 60, 4 * 3600, 7 * 86400
 
 
@@ -192,7 +194,7 @@ def fix_after_candidates(commits: DataFrame) -> DataFrame:
     minutes), followup (same address, 4 hours, a word of correction), delayed (7 days, a plain fix). Marker commits
     (fixup!, squash!, amend!) have none here. Rows are joined on blocks of 19 numbers, so no repository is one task.
     """
-    return _candidates(_numbered(commits))
+    return _candidates(_numbered(commits)).drop("rn")
 
 
 def _candidates(c: DataFrame) -> DataFrame:
@@ -203,38 +205,81 @@ def _candidates(c: DataFrame) -> DataFrame:
     same = F.coalesce(F.col("author_email") == F.col("email0"), F.col("author_email").isNull() & F.col("email0").isNull())
     tier = F.when(same & (F.col("seconds") <= IMMEDIATE), "immediate").when(same & (F.col("seconds") <= FOLLOWUP) & F.lower("subject").rlike(T.FOLLOWUP), "followup").when(F.col("strong"), "delayed")
     pairs = pairs.filter((F.col("seconds") > 0) & (F.col("seconds") <= DELAYED) & F.arrays_overlap("paths", "paths0")).withColumn("tier", tier).filter("tier is not null")
-    return pairs.select("repo_id", F.col("hash").alias("fixup_hash"), "original_hash", (F.col("rn") - F.col("rn0")).alias("distance"), "seconds", "tier")
+    return pairs.select("repo_id", F.col("hash").alias("fixup_hash"), "original_hash", (F.col("rn") - F.col("rn0")).alias("distance"), "seconds", "tier", "rn")
+
+
+def _marked(c: DataFrame) -> DataFrame:
+    """Marker commits with the nearest earlier commit of the named subject: (repo_id, fixup_hash, original_hash, tier, seconds, rn).
+
+    It is looked for within a block of FOLD numbers, then among the last ones of the blocks before, so a subject that
+    most commits share is no one task.
+    """
+    named = c.filter(F.col("subject").rlike(T.MARKER)).select("repo_id", F.regexp_replace("subject", T.MARKER, "").alias("wanted"), "rn", F.lit(0).alias("role"), "hash", "author_date")
+    plain = c.select("repo_id", F.col("subject").alias("wanted"), "rn", F.lit(1).alias("role"), "hash", "author_date").join(named.select("repo_id", "wanted").distinct(), ["repo_id", "wanted"], "left_semi")
+    roles = plain.unionByName(named).withColumn("block", F.floor(F.col("rn") / FOLD))
+    told = F.when(F.col("role") == 1, F.struct("hash", "author_date"))
+    within = W.partitionBy("repo_id", "wanted", "block").orderBy("rn", "role").rowsBetween(W.unboundedPreceding, -1)
+    tails = roles.groupBy("repo_id", "wanted", "block").agg(F.max_by(told, F.when(F.col("role") == 1, F.col("rn"))).alias("tail"))
+    before = tails.withColumn("before", F.last("tail", True).over(W.partitionBy("repo_id", "wanted").orderBy("block").rowsBetween(W.unboundedPreceding, -1)))
+    seen = roles.withColumn("own", F.last(told, True).over(within)).filter("role = 0").join(before.drop("tail"), ["repo_id", "wanted", "block"])
+    seen = seen.withColumn("original", F.coalesce("own", "before")).filter("original is not null")
+    seconds = (F.unix_micros("author_date") - F.unix_micros("original.author_date")) / 1e6
+    return seen.select("repo_id", F.col("hash").alias("fixup_hash"), F.col("original.hash").alias("original_hash"), F.lit(None).cast("string").alias("tier"), seconds.alias("seconds"), "rn")
+
+
+def _folded(pdf):
+    """A block's decisions in order: a commit joins its nearest candidate that is no correction. Rows without rn0 are known corrections."""
+    import pandas as pd
+
+    used = set(pdf.loc[pdf.rn0.isna(), "rn"])
+    chosen, done = [], None
+    asked = pdf[pdf.rn0.notna()].sort_values(["rn", "rn0"], ascending=[True, False])
+    for rn, rn0 in zip(asked.rn.tolist(), asked.rn0.astype("int64").tolist()):
+        if rn != done and rn0 not in used:
+            used.add(rn)
+            chosen.append((rn, rn0))
+            done = rn
+    return pd.DataFrame({"rn": pd.Series([c[0] for c in chosen], dtype="int64"), "rn0": pd.Series([c[1] for c in chosen], dtype="int64")})
+
+
+def _settled(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(rn, rn0): each commit with the candidate that it joins.
+
+    A decision depends on those of at most 19 commits before it. Blocks of FOLD numbers are decided each in one task;
+    corrections among a block's last 19 that a candidate of the next block asks for are handed over, and blocks are
+    decided again until what is handed over stays the same: two or three passes, whatever the length of chains.
+    """
+    block = F.floor(F.col("rn") / FOLD)
+    asked = pairs.select("rn", (F.col("rn") - F.col("distance")).alias("rn0")).withColumn("block", block)
+    wanted = asked.filter(F.floor(F.col("rn0") / FOLD) < F.col("block")).select("block", F.col("rn0").alias("rn")).distinct()
+    beside = lambda used: used.select("rn", (block + 1).alias("block")).join(wanted, ["block", "rn"], "left_semi")
+    given = marks.select("rn", block.alias("block")).unionByName(beside(marks))
+    handed, old = None, None
+    while True:
+        known = given if handed is None else given.unionByName(handed)
+        rows = asked.unionByName(known.select("rn", F.lit(None).cast("long").alias("rn0"), "block"))
+        new = stored(rows.groupBy("block").applyInPandas(_folded, "rn long, rn0 long"))
+        passed = stored(beside(new))
+        if not (passed.head(1) if handed is None else passed.exceptAll(handed).head(1) or handed.exceptAll(passed).head(1)):
+            release(old, handed, passed)
+            return new
+        release(old, handed)
+        handed, old = passed, new
 
 
 def fix_after(commits: DataFrame) -> DataFrame:
     """(repo_id, original_hash, fixup_hashes, tier, seconds): chains of commits that correct an earlier one.
 
-    A commit joins the nearest candidate that is not itself a correction. As that depends on earlier decisions, it is
-    settled in rounds: a commit is decided once all nearer candidates are. Marker commits join the nearest earlier
-    commit with the named subject. A chain's tier is the last in alphabetical order, its time that of the last fix.
+    A commit joins the nearest candidate that is not itself a correction. Marker commits join the nearest earlier commit
+    with the named subject. A chain's tier is the last in alphabetical order, its time that of the last fix.
     """
     c = stored(_numbered(commits))
     pairs = stored(_candidates(c))
-    marker = c.filter(F.col("subject").rlike(T.MARKER)).select("repo_id", F.regexp_replace("subject", T.MARKER, "").alias("wanted"), "rn", F.lit(0).alias("role"), "hash", "author_date")
-    roles = c.select("repo_id", F.col("subject").alias("wanted"), "rn", F.lit(1).alias("role"), "hash", "author_date").join(marker.select("repo_id", "wanted").distinct(), ["repo_id", "wanted"], "left_semi").unionByName(marker)
-    last = F.last(F.when(F.col("role") == 1, F.struct("hash", "author_date")), True).over(W.partitionBy("repo_id", "wanted").orderBy("rn", "role").rowsBetween(W.unboundedPreceding, -1))
-    marked = roles.withColumn("original", last).filter("role = 0 and original is not null")
-    marked = marked.select("repo_id", F.col("hash").alias("fixup_hash"), F.col("original.hash").alias("original_hash"), F.lit(None).cast("string").alias("tier"), ((F.unix_micros("author_date") - F.unix_micros("original.author_date")) / 1e6).alias("seconds"))
-    decided = stored(marked.select("repo_id", F.col("fixup_hash").alias("hash"), F.lit(True).alias("used"), "original_hash", "tier", "seconds"))
-    while True:
-        done = decided.select("repo_id", F.col("hash").alias("original_hash"), "used")
-        open_ = pairs.join(decided.select("repo_id", F.col("hash").alias("fixup_hash")), ["repo_id", "fixup_hash"], "left_anti")
-        waiting = open_.select("repo_id", F.col("fixup_hash").alias("original_hash"), F.lit(True).alias("waits")).distinct()
-        seen = open_.join(done, ["repo_id", "original_hash"], "left").join(waiting, ["repo_id", "original_hash"], "left")
-        state = F.when(F.col("used"), "used").when(F.col("used").isNull() & F.col("waits"), "waits").otherwise("free")
-        first = seen.withColumn("state", state).groupBy("repo_id", "fixup_hash").agg(F.min(F.when(F.col("state") != "used", F.struct("distance", "state", "original_hash", "tier", "seconds"))).alias("f"))
-        settled = first.filter("f is null or f.state = 'free'").select("repo_id", F.col("fixup_hash").alias("hash"), F.col("f").isNotNull().alias("used"), "f.original_hash", "f.tier", "f.seconds")
-        new = stored(settled)
-        if not new.head(1):
-            break
-        decided = stored(decided.unionByName(new))
-    used = decided.filter("used").join(c.select("repo_id", "hash", "rn"), ["repo_id", "hash"])
-    chains = used.groupBy("repo_id", "original_hash").agg(F.array_sort(F.collect_list(F.struct("rn", "hash", "seconds", F.coalesce("tier", F.lit("")).alias("tier")))).alias("f"), F.max("tier").alias("top"))
+    marked = stored(_marked(c))
+    joined = pairs.withColumn("rn0", F.col("rn") - F.col("distance")).join(_settled(pairs, marked.select("rn")), ["rn", "rn0"])
+    used = joined.select(*marked.columns).unionByName(marked)
+    fixes = F.array_sort(F.collect_list(F.struct("rn", F.col("fixup_hash").alias("hash"), "seconds", F.coalesce("tier", F.lit("")).alias("tier"))))
+    chains = used.groupBy("repo_id", "original_hash").agg(fixes.alias("f"), F.max("tier").alias("top"))
     # a chain that a marker opened starts as immediate
     tier = F.when(F.element_at("f", 1)["tier"] == "", F.greatest(F.lit("immediate"), F.coalesce("top", F.lit("")))).otherwise(F.col("top"))
     return chains.select("repo_id", "original_hash", F.transform("f", lambda x: x["hash"]).alias("fixup_hashes"), tier.alias("tier"), F.element_at("f", -1)["seconds"].alias("seconds"))

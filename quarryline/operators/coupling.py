@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import decay, strength
-from ..runtime import stored
+from ..runtime import dense_ids, release, stored
 from .commits import current
 
 MOST_FILES, MIN_SHARED, MIN_CONFIDENCE, MIN_LIFT, HUB_DEGREE = 50, 3.0, 0.25, 1.5, 3
@@ -62,28 +62,47 @@ def related_files(edges: DataFrame, files: list[str], per_file: int = 5) -> Data
     return top.filter(~F.col("dst").isin(files)).groupBy("repo_id", F.col("dst").alias("path")).agg(F.max("score").alias("score"))
 
 
-def modules(pairs: DataFrame, rounds: int = 30) -> DataFrame:
+def modules(pairs: DataFrame) -> DataFrame:
     """(repo_id, module, path): communities of the co-change graph, by weighted label propagation in Spark.
 
-    Every file starts as its own module. In each round half of the files, chosen by a hash that changes with the round,
-    take the label with the largest sum of shared weight among their neighbours (their own on a tie, else the least).
-    It ends when a full pair of rounds changes nothing. Modularity methods need a global order of moves; this one is
-    local, so graphs of any size are shuffled by node. Modules are named by their least file.
+    Every file starts as its own module. A file wants the label with the largest sum of shared weight among its
+    neighbours (the least of equal ones), if that is more than its own label has. In each round those move that come
+    first, by a hash that changes with the round, among their neighbours that want to go elsewhere: so each move adds to
+    the weight inside modules, and it ends without a bound on rounds. Methods that need a global order of moves fit no
+    shuffle; this one is local. Modules are named by their least file.
     """
-    edges = stored(
-        pairs.select("repo_id", F.col("file_a").alias("s"), F.col("file_b").alias("d"), "shared").unionByName(pairs.select("repo_id", F.col("file_b").alias("s"), F.col("file_a").alias("d"), "shared"))
-    )
-    labels = stored(edges.select("repo_id", F.col("s").alias("path")).distinct().withColumn("label", F.col("path")))
-    still = 0
-    for k in range(rounds):
-        near = edges.join(labels.select("repo_id", F.col("path").alias("d"), "label"), ["repo_id", "d"]).groupBy("repo_id", F.col("s").alias("path"), "label").agg(F.sum(F.col("shared").cast("decimal(18,4)")).alias("w"))
+    ends = [pairs.select("repo_id", F.col(a).alias("s"), F.col(b).alias("d"), F.col("shared").cast("decimal(18,4)").alias("shared")) for a, b in (("file_a", "file_b"), ("file_b", "file_a"))]
+    edges = stored(ends[0].unionByName(ends[1]))
+    labels, k = stored(edges.select("repo_id", F.col("s").alias("path")).distinct().withColumn("label", F.col("path"))), 0
+    while True:
+        near = edges.join(labels.select("repo_id", F.col("path").alias("d"), "label"), ["repo_id", "d"]).groupBy("repo_id", F.col("s").alias("path"), "label").agg(F.sum("shared").alias("w"))
         own = labels.select("repo_id", "path", F.col("label").alias("mine"))
-        best = near.join(own, ["repo_id", "path"]).groupBy("repo_id", "path", "mine").agg(F.max("w").alias("most"), F.max(F.when(F.col("label") == F.col("mine"), F.col("w"))).alias("kept"), F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("o"), "label")))[0]["label"].alias("top"))
-        turn = F.pmod(F.xxhash64("path", F.lit(k // 2)), F.lit(2)) == k % 2
-        moved = stored(best.select("repo_id", "path", "mine", F.when(turn & (F.coalesce("kept", F.lit(0)) < F.col("most")), F.col("top")).otherwise(F.col("mine")).alias("label")))
-        labels = moved.select("repo_id", "path", "label")
-        still = 0 if moved.filter("label != mine").head(1) else still + 1
-        if still == 2:
+        sums = near.join(own, ["repo_id", "path"]).groupBy("repo_id", "path").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("best"), F.max(F.when(F.col("label") == F.col("mine"), F.col("w"))).alias("kept"))
+        turn = F.struct(F.md5(F.concat("path", F.lit(f"|{k}"))).alias("h"), "path")
+        wish = stored(sums.filter(-F.col("best.w") > F.coalesce("kept", F.lit(0))).select("repo_id", "path", F.col("best.label").alias("label"), turn.alias("turn")))
+        if not wish.head(1):
+            release(edges, wish)
             break
+        other = edges.join(wish.select("repo_id", F.col("path").alias("d"), F.col("label").alias("away"), F.col("turn").alias("rival")), ["repo_id", "d"])
+        first = other.join(wish.withColumnRenamed("path", "s"), ["repo_id", "s"]).filter("away != label").groupBy("repo_id", F.col("s").alias("path")).agg(F.min("rival").alias("rival"))
+        move = wish.join(first, ["repo_id", "path"], "left").filter("rival is null or turn < rival").select("repo_id", "path", F.col("label").alias("next"))
+        moved = stored(labels.join(move, ["repo_id", "path"], "left").select("repo_id", "path", F.coalesce("next", "label").alias("label")))
+        release(labels, wish)
+        labels, k = moved, k + 1
     named = labels.groupBy("repo_id", "label").agg(F.min("path").alias("module"))
     return labels.join(named, ["repo_id", "label"]).select("repo_id", "module", "path")
+
+
+def module_sizes(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(repo_id, module_id, module, files, internal_coupling_avg): a repository's modules numbered from 0, the largest first.
+
+    internal_coupling_avg is the mean strength of the pairs within a module, 0 without any.
+    """
+    a, b = (found.select("repo_id", F.col("path").alias(f"file_{k}"), F.col("module").alias(f"module_{k}")) for k in "ab")
+    inside = pairs.join(a, ["repo_id", "file_a"]).join(b, ["repo_id", "file_b"]).filter("module_a = module_b")
+    mean = inside.groupBy("repo_id", F.col("module_a").alias("module")).agg((F.sum(F.col("strength").cast("decimal(18,4)")).cast("double") / F.count("*")).alias("mean"))
+    sizes = found.groupBy("repo_id", "module").agg(F.count("*").alias("files")).withColumn("_o", -F.col("files"))
+    numbered = dense_ids(sizes, ["repo_id", "_o", "module"], "n").drop("_o")
+    first = numbered.groupBy("repo_id").agg(F.min("n").alias("first"))
+    rows = numbered.join(first, "repo_id").join(mean, ["repo_id", "module"], "left")
+    return rows.select("repo_id", (F.col("n") - F.col("first")).alias("module_id"), "module", "files", F.round(F.coalesce("mean", F.lit(0.0)), 4).alias("internal_coupling_avg"))

@@ -33,8 +33,12 @@ def fix_after_chains(chains: DataFrame, commits: DataFrame, file: str | None = N
     return _few(rows.orderBy(F.desc("fixups"), "repo_id", "original"), limit, 10, 30)
 
 
-def revert_chains(chains: DataFrame, limit: int | None = None) -> DataFrame:
-    return _few(chains.orderBy(F.desc("depth"), "repo_id", "original_hash").select("repo_id", F.substring("original_hash", 1, 10).alias("original"), "original_subject", "depth", "is_effectively_reverted"), limit, 10, 30)
+def revert_chains(chains: DataFrame, commits: DataFrame, file: str | None = None, limit: int | None = None) -> DataFrame:
+    if file:
+        touched = commits.filter(F.exists("files", lambda f: f["path"] == file)).select("repo_id", F.col("hash").alias("original_hash")).distinct()
+        chains = chains.join(touched, ["repo_id", "original_hash"], "left_semi")
+    rows = chains.select("repo_id", F.substring("original_hash", 1, 10).alias("original"), "original_subject", "depth", "is_effectively_reverted")
+    return _few(rows.orderBy(F.desc("depth"), "repo_id", "original"), limit, 10, 30)
 
 
 def review_comments(classified: DataFrame, file: str | None = None, category: str | None = None, limit: int | None = None) -> DataFrame:
@@ -50,5 +54,17 @@ def doc_snippets(snippets: DataFrame, topic: str | None = None) -> DataFrame:
     return snippets.orderBy("path", "section").select("path", "title", F.substring("content", 1, 500).alias("content")).limit(20)
 
 
-def largest_modules(modules: DataFrame) -> DataFrame:
-    return modules.groupBy("repo_id", "module").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "repo_id", "module")
+def conventions(found: DataFrame, most: int = 8) -> DataFrame:
+    """The outcome of the conventions operator with its eight most used types and scopes, as (name, count) lists."""
+
+    def top(column: str):
+        entries = F.transform(F.map_entries(column), lambda e: F.struct((-e["value"]).alias("o"), e["key"].alias("name"), e["value"].alias("n")))
+        return F.transform(F.slice(F.array_sort(entries), 1, most), lambda e: F.struct(e["name"].alias("name"), e["n"].alias("n")))
+
+    return found.select(
+        "repo_id", "primary_format", F.round("format_adherence", 2).alias("format_adherence"), top("types_used").alias("types_used"), top("scopes_used").alias("scopes_used"), "ticket_format", F.round("ticket_adherence", 2).alias("ticket_adherence"), "detected_rules",
+    )
+
+
+def modules(sizes: DataFrame) -> DataFrame:
+    return sizes.select("repo_id", "module_id", "files", F.round("internal_coupling_avg", 2).alias("internal_coupling_avg")).orderBy(F.desc("files"), "repo_id", "module_id")

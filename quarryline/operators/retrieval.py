@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,22 @@ class PlanningQuery:
         return [p for p in split if p]
 
 
+def normalized_files(root: str, files: list[str]) -> list[str]:
+    """Distinct paths below the root, relative to it and sorted; absolute ones outside of it are left out."""
+    found = set()
+    for file in map(PurePosixPath, files):
+        if not file.is_absolute():
+            found.add(str(file))
+        elif file.is_relative_to(root):
+            found.add(str(file.relative_to(root)))
+    return sorted(found)
+
+
+def note_embedding_text(text: Column, anchors: Column) -> Column:
+    """What is embedded for a note: its text and its anchors."""
+    return F.concat(text, F.lit(" "), F.array_join(F.coalesce(anchors, F.array().cast("array<string>")), " "))
+
+
 def _name(path: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(path, "/+$", ""), r"([^/]*)$", 1)
 
@@ -83,8 +100,8 @@ def rank_notes(notes: DataFrame, query: PlanningQuery, related: DataFrame | None
 
 def planning_brief(notes: DataFrame, query: PlanningQuery, related: DataFrame | None = None, limit: int = 5) -> DataFrame:
     """The best notes of a request, with at most three references each."""
-    best = rank_notes(notes, query, related).orderBy(F.desc("score"), "confidence", "text").limit(limit)
-    return best.select("text", F.slice(F.coalesce("evidence_refs", F.array().cast("array<string>")), 1, 3).alias("refs"), "confidence", "score")
+    best = rank_notes(notes, query, related).orderBy(F.desc(F.round("score", 9)), "confidence", "text", "id").limit(limit)
+    return best.select("id", "text", F.slice(F.coalesce("evidence_refs", F.array().cast("array<string>")), 1, 3).alias("refs"), "confidence", "score")
 
 
 def export_selection(notes: DataFrame, limit: int = 12) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from .vectors import centroids
 
 # Categories of a comment.
 CATEGORIES = ("bug", "security", "performance", "architecture", "convention", "nitpick", "question", "praise")
@@ -127,3 +128,20 @@ def review_patterns(clusters: DataFrame, vectors: DataFrame, comments: DataFrame
     )
     by = by.filter("on_file") if file else by
     return by.select("cluster_id", "size", "files", F.transform("s", lambda x: x["body"]).alias("samples"))
+
+
+def assemble_clusters(members: DataFrame, vectors: DataFrame, least: int = 5) -> DataFrame:
+    """(cluster_id, size, keys, centroid, coherence) from (cluster_id, vector_key) and valid vectors, the noise label -1 left out.
+
+    keys are sorted. Fewer than the least number of distinct keys in all, noise included, give no cluster.
+    """
+    rows = members.filter("cluster_id is not null and vector_key is not null").distinct().join(vectors.select("vector_key", "vector"), "vector_key")
+    enough = rows.agg(F.count_distinct("vector_key").alias("n")).filter(F.col("n") >= least)
+    kept = rows.filter("cluster_id != -1").join(F.broadcast(enough), F.lit(True)).drop("n")  # one row or none
+    keys = kept.groupBy("cluster_id").agg(F.sort_array(F.collect_list("vector_key")).alias("keys"))
+    return centroids(kept, "cluster_id").join(keys, "cluster_id").select("cluster_id", "size", "keys", "centroid", "coherence")
+
+
+def embedding_text(text: Column, model: str) -> Column:
+    """What is embedded for clustering: models of one family expect a prefix that names the task."""
+    return F.concat(F.lit("clustering: "), text) if "nomic" in model.lower() else text

@@ -19,10 +19,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Unset, it is one of our own on a local master and an error on any other."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="spark-")).as_uri())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir is unset: on {sc.master} it has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or Path(tempfile.mkdtemp(prefix="spark-")).as_uri())
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -36,7 +39,25 @@ def stored(df: DataFrame) -> DataFrame:
     """As cut(), but as a compressed columnar table: smaller on disk, and later reads prune columns."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes tables of stored() that nothing reads any more: whatever was made from them is stored itself, or was counted."""
+    for table in tables:
+        path = getattr(table, "_stored_at", None)
+        if path:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether anything has a path of that pattern, on whatever file system it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -56,14 +77,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def dense_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with a column of ids 0, 1, 2 ... in the order of the given columns.
 
-    Rows are range-partitioned and sorted; only one count per partition reaches the driver.
+    Rows are range-partitioned and sorted; only one count per partition reaches the driver, and the first id of each
+    partition is joined as a small table, so the plan doesn't grow with the partitions.
     """
     ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
-    sizes = dict(ranged.groupBy(F.spark_partition_id()).count().collect())
     starts, total = [], 0
-    for k in range(max(sizes, default=-1) + 1):
-        starts.append(total)
-        total += sizes.get(k, 0)
+    for part, n in sorted(ranged.groupBy(F.spark_partition_id()).count().collect()):
+        starts.append((part, total))
+        total += n
+    known = df.sparkSession.createDataFrame(starts, "_part int, _start long")
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    start = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts or [0]]), F.spark_partition_id() + 1)
-    return ranged.withColumn(name, start + within)
+    placed = ranged.withColumns({"_part": F.spark_partition_id(), "_within": within})
+    return placed.join(F.broadcast(known), "_part").withColumn(name, F.col("_start") + F.col("_within")).drop("_part", "_start", "_within")

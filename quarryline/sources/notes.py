@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
+from ..runtime import exists
 
 _SCHEMA = "text string, anchors string, evidence string, confidence string, created_at string"
 
@@ -47,7 +48,28 @@ def fresh(cache: DataFrame, now, hours: float = 24.0) -> DataFrame:
     return young.groupBy("key").agg(F.max_by(F.struct(*cache.columns), "fetched_at").alias("c")).select("c.*")
 
 
+def has_index(spark: SparkSession, path: str) -> bool:
+    """Whether a build left metadata, or notes, under a path."""
+    return any(exists(spark, f"{path}/{part}/_SUCCESS") and bool(spark.read.parquet(f"{path}/{part}").head(1)) for part in ("metadata", "notes"))
+
+
+def load_metadata(spark: SparkSession, path: str) -> DataFrame | None:
+    """The metadata of the build under a path, or None."""
+    return spark.read.parquet(f"{path}/metadata") if exists(spark, f"{path}/metadata/_SUCCESS") else None
+
+
+def vector_key(text, model: str):
+    return F.sha2(F.concat(F.lit(model), F.char(F.lit(0)), text), 256)
+
+
 def cached_vectors(texts: DataFrame, cache: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
     """(hits, misses) of texts (text) in a cache (key, vector), keyed by model and text."""
-    keyed = texts.withColumn("key", F.sha2(F.concat(F.lit(model), F.char(F.lit(0)), F.col("text")), 256))
+    keyed = texts.withColumn("key", vector_key(F.col("text"), model))
     return keyed.join(cache, "key"), keyed.join(cache, "key", "left_anti")
+
+
+def all_cached_vectors(texts: DataFrame, cache: DataFrame, model: str, batch: str) -> DataFrame:
+    """(batch, text, key, vector) of the batches whose texts are all in the cache; a batch with a miss gives no row."""
+    keyed = texts.withColumn("key", vector_key(F.col("text"), model)).join(cache.select("key", "vector"), "key", "left")
+    whole = keyed.groupBy(batch).agg(F.bool_and(F.col("vector").isNotNull()).alias("whole")).filter("whole").select(batch)
+    return keyed.join(whole, batch)

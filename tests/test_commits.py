@@ -3,6 +3,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from quarryline import runtime
 from quarryline.operators import commits as C
 from quarryline.operators import coupling as P
 
@@ -183,3 +184,42 @@ def test_nulls_and_clashing_columns(spark):
     df = spark.createDataFrame([row, (None,) * 11], COMMITS).withColumns({c: F.lit("x") for c in ("w", "paths", "label", "commit_type", "path")})
     assert C.classify(df).count() == 1
     assert C.fix_after(df).count() == C.churn(df, REFERENCE).count() == P.coupling(df, REFERENCE).count() == C.reverts(df).count() == 0
+
+
+@pytest.mark.parametrize("fold", [20, 23, 10_000])
+def test_fixes_are_decided_alike_in_blocks_of_any_size(spark, monkeypatch, fold):
+    """A streak of quick fixes of one file: decisions depend on those before them, over the borders of blocks."""
+    import random
+
+    rng = random.Random(5)
+    log = [commit(k, f"h{k:03d}", day(1 + k // 40, 0, 0) + timedelta(minutes=7 * (k % 40)), rng.choice(["fix typo", "add x", "fixed bug", "fixup! add x"]), [rng.choice("ab")], email=rng.choice(["a@t", "b@t"])) for k in range(120)]
+    df = spark.createDataFrame(log, COMMITS)
+    candidates: dict = {}
+    for r in C.fix_after_candidates(df).collect():
+        candidates.setdefault(r.fixup_hash, []).append((r.distance, r.original_hash))
+    used, expected, subjects = {}, {}, {}
+    for _, _, h, *_, subject, _, _, _ in log:
+        if subject.startswith("fixup! ") and "add x" in subjects:
+            used[h] = subjects["add x"]
+        subjects[subject] = h
+    for _, _, h, *_ in log:
+        near = next((o for _, o in sorted(candidates.get(h, [])) if o not in used), None)
+        if near:
+            used[h] = near
+    for h in sorted(used):
+        expected.setdefault(used[h], []).append(h)
+    monkeypatch.setattr(C, "FOLD", fold)
+    assert {r.original_hash: r.fixup_hashes for r in C.fix_after(df).collect()} == expected
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Fake:
+        master = "spark://host:7077"
+        sparkContext = conf = property(lambda self: self)
+        _jsc = property(lambda self: self)
+        sc = getCheckpointDir = lambda self: self
+        isEmpty = lambda self: True
+        get = lambda self, *a: None
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(Fake())

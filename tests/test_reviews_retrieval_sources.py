@@ -4,13 +4,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as T
+from quarryline.operators import coupling as P
 from quarryline.operators import docs as D
 from quarryline.operators import evidence as E
 from quarryline.operators import retrieval as Q
 from quarryline.operators import reviews as R
 from quarryline.operators import vectors as V
 from quarryline.sources import exports, git_log, notes
+from quarryline.sources import notes as N
 from quarryline.sources.config import BuildConfig, months_of
+from quarryline.sources.documents import read_documents
 
 
 @pytest.mark.parametrize(("body", "trivial"), [("ok", True), ("LGTM", True), ("+1", True), ("ship it", True), ("Looks good to me!", True), ("   ", True), ("## Coverage report of the build", True), ("This lock is taken twice in the loop.", False)])
@@ -161,6 +164,47 @@ def test_evidence(spark):
     hubs = spark.createDataFrame([("r", f"f{k}", k, 1.0) for k in range(40)], "repo_id string, path string, coupled_files long, weight double")
     assert E.hub_files(hubs).first().path == "f39" and E.hub_files(hubs).count() == 10 and E.hub_files(hubs, 99).count() == 30
     modules = spark.createDataFrame([("r", "m", "a"), ("r", "m", "b"), ("r", "n", "c")], "repo_id string, module string, path string")
-    assert [r.files for r in E.largest_modules(modules).collect()] == [2, 1]
+    sizes = P.module_sizes(modules, pairs)
+    assert [(r.module_id, r.files, r.internal_coupling_avg) for r in E.modules(sizes).collect()] == [(0, 2, 0.6), (1, 1, 0.0)]
+    chains = spark.createDataFrame([("r", "h1", "s", ["x"], 1, True), ("r", "h2", "s", ["x", "y"], 2, False)], "repo_id string, original_hash string, original_subject string, revert_hashes array<string>, depth int, is_effectively_reverted boolean")
+    commits = spark.createDataFrame([("r", "h1", [("a",)]), ("r", "h2", None)], "repo_id string, hash string, files array<struct<path:string>>")
+    assert [r.original for r in E.revert_chains(chains, commits).collect()] == ["h2", "h1"] and [r.original for r in E.revert_chains(chains, commits, "a").collect()] == ["h1"]
     snippets = spark.createDataFrame([("p", 0, "Retry", "text"), ("p", 1, "Other", "about RETRY"), ("q", 0, "None", "x")], "path string, section int, title string, content string")
     assert [r.title for r in E.doc_snippets(snippets, "retry").collect()] == ["Retry", "Other"]
+
+
+def test_documents_at_any_depth(spark, tmp_path):
+    for name in ("README.md", "docs/a.md", "docs/x/y/z/w/deep.md", "docs/x/skip.txt", "package.json", "src/other.md"):
+        file = tmp_path / "repo (1)" / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(name)
+    found = {r.path: r.content for r in read_documents(spark, str(tmp_path / "repo (1)")).collect()}
+    assert found == {p: p for p in ("README.md", "docs/a.md", "docs/x/y/z/w/deep.md", "package.json")}
+    assert read_documents(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_normalized_files():
+    assert Q.normalized_files("/r", ["/r/b", "a", "/r/b", "/x/c", "b"]) == ["a", "b"]
+
+
+def test_index_is_found_once_it_is_stored(spark, tmp_path):
+    path = str(tmp_path / "index")
+    assert not N.has_index(spark, path) and N.load_metadata(spark, path) is None
+    notes = spark.createDataFrame([("n", "high"), ("n", "low")], "id string, confidence string").coalesce(1)
+    edges = spark.createDataFrame([("a", "b", "t", 0.1), ("a", "b", "t", 0.2)], "src string, dst string, edge_type string, score double").coalesce(1)
+    N.store_index(notes, edges, spark.createDataFrame([(1,)], "note_count int"), path)
+    assert N.has_index(spark, path) and [tuple(r) for r in N.load_notes(spark, path).collect()] == [("n", "low")] and N.load_metadata(spark, path).first().note_count == 1
+
+
+def test_vectors_of_a_batch_count_only_together(spark):
+    texts = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "a")], "batch string, text string")
+    cache = texts.filter("batch = 'y'").select(N.vector_key(F.col("text"), "m").alias("key"), F.array(F.lit(1.0)).alias("vector"))
+    assert [(r.batch, r.text) for r in N.all_cached_vectors(texts, cache, "m", "batch").collect()] == [("y", "a")]
+
+
+def test_clusters_without_noise(spark):
+    members = spark.createDataFrame([(1, f"k{k}") for k in range(4)] + [(1, "k0"), (-1, "n"), (None, "m"), (2, None), (2, "gone")], "cluster_id long, vector_key string")
+    vectors = spark.createDataFrame([(k, [1.0, 0.0]) for k in ("k0", "k1", "k2", "k3", "n")], "vector_key string, vector array<double>")
+    assert [(r.cluster_id, r["size"], r.keys, r.coherence) for r in R.assemble_clusters(members, vectors).collect()] == [(1, 4, ["k0", "k1", "k2", "k3"], 1.0)]
+    assert R.assemble_clusters(members, vectors, least=6).count() == 0
+    assert R.embedding_text(F.lit("x"), "Nomic-1") is not None

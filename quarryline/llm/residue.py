@@ -1,9 +1,10 @@
 """Template residue and error-page text, by a positive-unlabelled naive Bayes model.
 
-Rules of high precision name trusted positive records; every other record is unlabelled. Expectation-maximization
-over distinct passages (sentences and lines) estimates which passages are residue; a record is residue when such
-passages make up nearly all of its words. The model is one pair of counts per hashed feature, so its size is fixed;
-map tasks add up their share of the counts before the shuffle, and only the added counts reach the driver.
+Rules of high precision name trusted positive records, the seeds; every other record is unlabelled.
+Expectation-maximization over passages (sentences and lines) estimates which passages are residue; the model alone
+decides, on seeds too: a record is residue when such passages make up nearly all of its words. The model is one pair of
+counts per hashed feature, so its size is fixed; map tasks add up their share of the counts before the shuffle, and only
+the added counts reach the driver. Texts are shuffled once, to find repeated records.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from ..runtime import shuffle_partitions, stored
 #: Buckets of hashed features: bounds the model (two doubles each) at any size of the input.
 BUCKETS = 1 << 18
 ROUNDS = 5
-#: Expected share of residue among unlabelled passages at the start.
-PRIOR = 0.02
 #: A passage below these log odds is certainly a remark; at most OTHER of a record's words may lie in such passages.
 CERTAIN = -4.0
 OTHER = 0.2
@@ -47,7 +46,7 @@ _UNFILLED = re.compile(
 _VOID = re.compile(r"\[object Object\]|\b(?:None|null|undefined|NaN|nil)\b|\(null\)|(?<![A-Za-z])N/A(?![A-Za-z])|DD/MM/YYYY|YYYY-MM-DD|MM/DD/YYYY|_{4,}|'\.{3,}'|\.{5,}|\bXXX+(?:-\d+)?\b|\bxxx+\b|\bTB[DA]\b")
 _TAG = re.compile(r"</?(?:div|p|br|span|b|i|em|strong|code|pre|a|ul|ol|li|h[1-6]|html|body|title|center|noscript|table|tr|td|hr|head|details|summary)\b[^>]*>", re.I)
 _TOKEN = re.compile(r"⟦\w+⟧|<!--|-->|- \[ \]|[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[?!:/]")
-_IDENTIFIER = re.compile(r"`[^`\n]*`|\b[A-Za-z]+(?:[-_][A-Za-z]+)*[-_][A-Za-z]+\b(?:\(\))?|\b[a-z]+[A-Z]\w*(?:\(\))?|@[\w-]+")
+_IDENTIFIER = re.compile(r"`[^`\n]*`|\b[A-Za-z]+(?:[-_][A-Za-z]+)+\b(?:\(\))?|\b[a-z]+[A-Z]\w*(?:\(\))?|@[\w-]+")
 _QUOTED = re.compile(r"(?<!\w)['\"“][^'\"”\n]{3,}['\"”](?!\w)")
 _SPLIT = re.compile(r"(?<=[^\d\s][.!?])\s+|\s*\n\s*")
 _STATUS = re.compile(rf"^\W*(?:HTTP(?:/[\d.]+)?|Error|Fehler|Erreur)?\W*[45]\d\d\W+(?:{REASONS})\b", re.I)
@@ -57,102 +56,163 @@ _PAGE = re.compile(r"^\W*(?:Oops!|Whoa there!|Sorry, we can.t show|Something wen
 
 
 _REFERENCE = re.compile(r"\b(?:error )?reference\W{1,3}#?\w*\d[\w.\-]*\W*$", re.I)
+_LETTERS = re.compile(r"[^\W\d_]+")
+_ROW = re.compile(r"\s*([^\w\s])(?:\s*\1){4,}\s*$")
+#: Cheap tests that hold wherever the patterns of fields, void values, quotations and identifiers match.
+_FIELD_SIGN, _QUOTE_SIGN, _NAME_SIGN = re.compile(r"[{\[<%@$«]|__"), re.compile("['\"“]"), re.compile(r"[`\-_@]|[a-z][A-Z]")
+_VOID_SIGN = re.compile(r"[Nn]one|null|undef|NaN|nil|[Oo]bject|N/A|YYYY|____|\.{3}|XXX|xxx|TB[DA]|'\.")
 _LABEL = re.compile(r"^\W*\*\*[^*\n]{2,40}\*\*", re.M)
 
 
-def _repeated(text: str) -> bool:
+def _repeated(words: list[str], text: str) -> bool:
     """Filler that says one thing over and over, or consists of signs only."""
-    words = text.lower().split()
     if len(words) >= 3 and len(set(words)) == 1:
         return True
     parts = [p.strip(" .!").lower() for p in re.split(r"[.!\n]", text) if p.strip(" .!")]
     return len(parts) >= 3 and len(set(parts)) == 1
 
 
-def trusted(text: str) -> bool:
-    """A record that is residue beyond doubt: the positive examples."""
-    plain = _TAG.sub(" ", text).strip()
-    words = re.findall(r"[^\W\d_]+", plain)
-    if not plain or _IDENTIFIER.search(plain) and "`" in plain:
-        return False
-    if len(_UNFILLED.findall(plain)) >= 2 or len(_VOID.findall(plain)) >= max(3, 0.2 * len(words)) or _repeated(plain):
-        return len(words) < 60
-    if len(words) >= 4 and sum(w.lower() in FILLER for w in words) >= 0.7 * len(words):
-        return True
-    if plain.count("<!--") >= 2 or plain.count("- [ ]") >= 2 and plain.startswith("#"):
-        return len(words) < 60
-    if len(_LABEL.findall(plain)) >= 3:
-        return len(words) < 40
-    if _QUOTED.search(plain) or len(words) > 25:
-        return False
-    return bool(_STATUS.search(plain) or _PAGE.search(plain) or _REFERENCE.search(plain) and len(words) < 20 or len(words) <= 18 and _SCRIPTS.search(plain) and _DEMAND.search(plain) and not _IDENTIFIER.search(plain) and not re.search(r"\b(?:we|I|is needed|case)\b", plain))
+def seed(text: str) -> str:
+    """The family of rules that makes a record residue beyond doubt, or "": the positive examples. It decides no record.
+
+    Rules ask for short records, as a long one may hold a remark beside the residue; what they leave out is unlabelled,
+    and the model decides on it. A cheap test of signs goes before each pattern.
+    """
+    plain = _TAG.sub(" ", text).strip() if "<" in text else text.strip()
+    if not plain or "`" in plain and _IDENTIFIER.search(plain):
+        return ""
+    spaced = plain.split()
+    words = _LETTERS.findall(plain)
+    n, lower = len(words), [w.lower() for w in words]
+    filler = sum(w in FILLER for w in lower)
+    if n >= 4 and filler >= 0.7 * n:
+        return "filler"
+    if n < 60:
+        if _FIELD_SIGN.search(plain) and len(fields := _UNFILLED.findall(plain)) >= 2:
+            return f"field {fields[0][0]}"
+        if _VOID_SIGN.search(plain) and len(_VOID.findall(plain)) >= max(3, 0.2 * n):
+            return "void"
+        if _repeated([w.lower() for w in spaced], plain):
+            return "repeated"
+        if plain.count("<!--") >= 2 or plain.startswith("#") and plain.count("- [ ]") >= 2:
+            return "form"
+        if n < 40 and plain.count("**") >= 6 and len(_LABEL.findall(plain)) >= 3:
+            return "label"
+    if n > 25 or _QUOTE_SIGN.search(plain) and _QUOTED.search(plain):
+        return ""
+    if _STATUS.search(plain):
+        return "status"
+    if n < 20 and "reference" in lower and _REFERENCE.search(plain):
+        return "reference"
+    if _PAGE.search(plain):
+        return f"page {lower[0]}" if lower else ""
+    if n <= 18 and _SCRIPTS.search(plain) and (demand := _DEMAND.search(plain)) and not _IDENTIFIER.search(plain) and not re.search(r"\b(?:we|I|is needed|case)\b", plain):
+        return f"scripts {demand[0].lower()}"
+    return ""
 
 
 def passages(text: str) -> list[str]:
     """The sentences and lines of a whole text, markup removed."""
-    return [p for p in _SPLIT.split(_TAG.sub(" ", text).strip()) if p.strip()]
+    plain = _TAG.sub(" ", text).strip() if "<" in text else text.strip()
+    return [p for p in _SPLIT.split(plain) if p and not p.isspace()]
 
 
 def _shaped(passage: str) -> str:
-    s = _UNFILLED.sub(" ⟦field⟧ ", passage)
-    s = _VOID.sub(" ⟦void⟧ ", s)
-    s = _QUOTED.sub(lambda m: " ⟦quote⟧ " + m[0], s)
-    return _IDENTIFIER.sub(" ⟦name⟧ ", s)
+    s = _UNFILLED.sub(" ⟦field⟧ ", passage) if _FIELD_SIGN.search(passage) else passage
+    if _VOID_SIGN.search(s):
+        s = _VOID.sub(" ⟦void⟧ ", s)
+    if _QUOTE_SIGN.search(s):
+        s = _QUOTED.sub(lambda m: " ⟦quote⟧ " + m[0], s)
+    return _IDENTIFIER.sub(" ⟦name⟧ ", s) if _NAME_SIGN.search(s) else s
 
 
-def features(passage: str) -> list[int]:
-    """Buckets of a passage's words, word pairs and shape, each once."""
-    tokens = []
-    for t in _TOKEN.findall(_shaped(passage)):
-        t = t.lower()
-        tokens.append("⟦number⟧" if t.isdigit() else "⟦filler⟧" if t in FILLER and len(t) > 3 else t)
-    kinds = {t for t in tokens if t[0] == "⟦"}
-    found = {*tokens, *(f"{a} {b}" for a, b in zip(["^", *tokens], [*tokens, "$"])), *(f"{k} {min(3, tokens.count(k))}" for k in kinds)}
-    if not any(t[0].isalpha() or t[0] == "⟦" and t != "⟦number⟧" for t in tokens):
-        return []  # signs and numbers say nothing: the prior decides
-    if len(tokens) >= 3 and len(set(tokens)) == 1:
-        found.add("⟦repeat⟧")
-    return sorted({xxhash.xxh32_intdigest(t) % BUCKETS for t in found})
-
-
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        record, place, text, sure = [], [], [], []
-        for rid, body in zip(batch.column("record").to_pylist(), batch.column("body").to_pylist()):
-            ok = trusted(body)
-            for k, p in enumerate(passages(body)):
-                record.append(rid), place.append(k), text.append(p), sure.append(ok)
-        yield pa.RecordBatch.from_arrays([pa.array(record, pa.int64()), pa.array(place, pa.int32()), pa.array(text, pa.string()), pa.array(sure, pa.bool_())], ["record", "place", "passage", "sure"])
+class _Tokens(dict):
+    """Tokens to (hash, 0 for a word, 1 for a sign or number, 2 for a kind of place or quotation); forgets all when it has grown large."""
+
+    def __missing__(self, token: str) -> tuple[int, int]:
+        if len(self) > 500_000:
+            self.clear()
+        name = "⟦number⟧" if token.isdigit() else "⟦filler⟧" if token in FILLER and len(token) > 3 else token
+        kind = 2 if name[0] == "⟦" and name != "⟦number⟧" or name in _SLOTS else 0 if name[0].isalpha() else 1
+        self[token] = held = xxhash.xxh32_intdigest(name), kind, name
+        return held
+
+
+_SLOTS = frozenset(("⟦field⟧", "⟦void⟧", "⟦filler⟧", "<!--", "- [ ]"))
+_KNOWN = _Tokens()
+
+
+def _bucket(feature: str) -> int:
+    return xxhash.xxh32_intdigest(feature) % BUCKETS
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_START, _END = xxhash.xxh32_intdigest("^"), xxhash.xxh32_intdigest("$")
+
+
+def features(passage: str) -> list[int]:
+    """Buckets of a passage's words, word pairs and shape, each once."""
+    tokens = [_KNOWN[t] for t in _TOKEN.findall(_shaped(passage).lower())]
+    kinds = {kind for _, kind, _ in tokens}
+    if not kinds - {1}:
+        row = _ROW.match(passage)  # signs and numbers say nothing but in rows: the prior decides
+        return sorted({_bucket("⟦row⟧"), _bucket(f"⟦row⟧ {row[1]}")}) if row else []
+    row = [t[0] for t in tokens]
+    found = {h % BUCKETS for h in row}
+    if 2 in kinds:
+        names = [t[2] for t in tokens]
+        found.update(_bucket(f"{k} {min(3, names.count(k))}") for k in {*names} if k[0] == "⟦")
+        slots = sum(t in _SLOTS for t in names)
+        if slots:  # what the kinds of unfilled places have in common
+            found.add(_bucket(f"⟦slots⟧ {min(3, slots)} of {min(3, 4 * slots // len(tokens))}"))
+    if len(row) >= 3 and len({*row}) == 1:
+        found.add(_bucket("⟦repeat⟧"))
+    found.update([(x * 0x9E3779B1 + y >> 9) % BUCKETS for x, y in zip([_START, *row], [*row, _END])])
+    return sorted(found)
+
+
+def _featured(without: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each record: whether it is a seed, and its passages' words, numbers of features and features.
+
+    A passage that a task has seen isn't read again.
+    """
+    seen: dict[str, tuple[int, list[int]]] = {}
     for batch in batches:
-        text = batch.column("passage").to_pylist()
-        out = {name: batch.column(name) for name in ("passage", "sure", "open")}
-        out |= {"features": pa.array([features(p) for p in text], pa.list_(pa.int32())), "words": pa.array([max(1, len(p.split())) for p in text], pa.int32())}
-        yield pa.RecordBatch.from_pydict(out)
+        sure, words, sizes, flat = [], [], [], []
+        for body in batch.column("body").to_pylist():
+            family = seed(body)
+            sure.append(family != "" and family not in without)
+            w, n, f = [], [], []
+            for p in passages(body):
+                held = seen.get(p)
+                if held is None:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    held = seen[p] = max(1, len(p.split())), features(p)
+                w.append(held[0]), n.append(len(held[1])), f.extend(held[1])
+            words.append(w), sizes.append(n), flat.append(f)
+        lists = [pa.array(x, pa.list_(pa.int32())) for x in (words, sizes, flat)]
+        yield pa.RecordBatch.from_arrays([batch.column("record"), pa.array(sure, pa.bool_()), *lists], ["record", "sure", "words", "sizes", "features"])
 
 
 def _log_odds(model: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
-    """Of each passage, under the model: row 0 the log odds of each bucket, its last entry the prior."""
-    lists = batch.column("features")
-    flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-    total = np.r_[0.0, np.cumsum(model[flat])]
-    return total[offsets[1:]] - total[offsets[:-1]] + model[-1]
+    """Of each passage of a batch, under the model: the log odds of each bucket, its last entry the prior."""
+    total = np.r_[0.0, np.cumsum(model[batch.column("features").flatten().to_numpy()])]
+    ends = np.cumsum(batch.column("sizes").flatten().to_numpy())
+    return total[ends] - total[np.r_[0, ends[:-1]]] + model[-1] if len(ends) else np.zeros(0)
 
 
 def _expected(model: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The task's share of the M step: expected counts of each bucket among residue and other passages."""
     counts = np.zeros((2, BUCKETS + 1))
     for batch in batches:
-        sure, opened = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("sure", "open"))
+        sizes = batch.column("sizes")
+        sure = np.repeat(batch.column("sure").to_numpy(zero_copy_only=False).astype(float), np.diff(sizes.offsets.to_numpy()))
         p = np.zeros(len(sure)) if model is None else 1 / (1 + np.exp(-np.clip(_log_odds(model, batch), -30, 30)))
-        weight = [sure + opened * p, opened * (1 - p)]
-        lists = batch.column("features")
-        flat, n = lists.values.to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
-        for k in (0, 1):
-            counts[k, :-1] += np.bincount(flat, np.repeat(weight[k], n), BUCKETS)
-            counts[k, -1] += weight[k].sum()
+        residue = np.where(sure > 0, 1.0, p)
+        flat, n = batch.column("features").flatten().to_numpy(), sizes.flatten().to_numpy()
+        for k, weight in enumerate((residue, 1 - residue)):
+            counts[k, :-1] += np.bincount(flat, np.repeat(weight, n), BUCKETS)
+            counts[k, -1] += weight.sum()
     used = np.flatnonzero(counts.sum(0))
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[0, used]), pa.array(counts[1, used])], ["bucket", "residue", "other"])
 
@@ -168,42 +228,42 @@ def _fitted(rows: list) -> np.ndarray:
     return np.r_[np.log(rate[0] / rate[1]), np.log(share / (1 - share))]
 
 
-def fit(parts: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Expectation-maximization over (features, sure, open): passages of trusted records, and numbers of others."""
-    spark, model = parts.sparkSession, None
+def fit(records: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    """Expectation-maximization over the passages of all records: those of seeds are residue, those of others are unlabelled."""
+    spark, model = records.sparkSession, None
     for _ in range(rounds):
         held = spark.sparkContext.broadcast(model)
-        step = parts.select("features", "sure", "open").mapInArrow(lambda batches, held=held: _expected(held.value, batches), "bucket int, residue double, other double")
+        step = records.select("sure", "sizes", "features").mapInArrow(lambda batches, held=held: _expected(held.value, batches), "bucket int, residue double, other double")
         model = _fitted(step.groupBy("bucket").agg(F.sum("residue"), F.sum("other")).collect())
     return model
 
 
-def score_records(records: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, log_odds, other, trusted): the sum over a record's passages, the share of words in certain remarks.
+def _decided(model: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record's sum of log odds over its passages, and the share of its words in passages that are certainly remarks."""
+    for batch in batches:
+        odds, words = _log_odds(model, batch), batch.column("words").flatten().to_numpy().astype(float)
+        ends = batch.column("words").offsets.to_numpy()
+        ends = ends - ends[0]
+        sums = [np.r_[0.0, np.cumsum(x)] for x in (odds, words, np.where(odds < CERTAIN, words, 0.0))]
+        total, all_words, remarks = (x[ends[1:]] - x[ends[:-1]] for x in sums)
+        yield pa.RecordBatch.from_arrays([batch.column("record"), pa.array(total), pa.array(remarks / np.maximum(all_words, 1))], ["record", "log_odds", "other"])
+
+
+def score_records(records: DataFrame, key: str, body: str, without: frozenset[str] = frozenset()) -> DataFrame:
+    """(key, log_odds, other): the sum over a record's passages, the share of words in certain remarks.
 
     Null and blank bodies have no passage and give no row; repeated rows of a key are taken once (the least body);
-    other columns are ignored. An empty table gives no row.
+    other columns are ignored. An empty table gives no row. without: families of seeds that are left unlabelled, to
+    measure what the model finds of kinds that no rule names.
     """
     n = shuffle_partitions(records.sparkSession)
     keyed = records.filter(F.col(body).rlike(r"\S") & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("record"), F.col(body).alias("body"))
     bodies = keyed.repartition(n, "record").groupBy("record").agg(F.min("body").alias("body"))
-    split = stored(bodies.mapInArrow(_split, "record long, place int, passage string, sure boolean"))
-    counted = split.groupBy("passage").agg(F.count(F.when(F.col("sure"), 1)).alias("sure"), F.count(F.when(~F.col("sure"), 1)).alias("open"))
-    distinct = counted.repartition(n, "passage")
-    parts = stored(distinct.mapInArrow(_featured, "passage string, sure long, open long, features array<int>, words int"))
-    held = records.sparkSession.sparkContext.broadcast(fit(parts))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("passage"), batch.column("words"), pa.array(_log_odds(held.value, batch))], ["passage", "words", "log_odds"])
-
-    scores = parts.select("passage", "words", "features").mapInArrow(scored, "passage string, words int, log_odds double")
-    remark = F.when(F.col("log_odds") < CERTAIN, F.col("words")).otherwise(0)
-    by = split.join(scores, "passage").groupBy("record")
-    return by.agg(F.sum("log_odds").alias("log_odds"), (F.sum(remark) / F.sum("words")).alias("other"), F.bool_or("sure").alias("trusted")).withColumnRenamed("record", key)
+    rows = stored(bodies.mapInArrow(lambda batches: _featured(without, batches), "record long, sure boolean, words array<int>, sizes array<int>, features array<int>"))
+    held = records.sparkSession.sparkContext.broadcast(fit(rows))
+    return rows.select("record", "words", "sizes", "features").mapInArrow(lambda batches: _decided(held.value, batches), "record long, log_odds double, other double").withColumnRenamed("record", key)
 
 
 def find_residue(records: DataFrame, key: str, body: str) -> DataFrame:
-    """Keys of the records that are residue as a whole."""
-    scores = score_records(records, key, body)
-    return scores.filter(F.col("trusted") | (F.col("log_odds") > 0) & (F.col("other") <= OTHER)).select(key)
+    """Keys of the records that are residue as a whole, as the model decides."""
+    return score_records(records, key, body).filter((F.col("log_odds") > 0) & (F.col("other") <= OTHER)).select(key)

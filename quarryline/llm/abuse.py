@@ -1,12 +1,13 @@
 """Abusive, hateful or sexual content.
 
-A Levenshtein automaton for each distinct word is intersected with a trie of lexicon words, so misspelled and
-disguised terms (other letters for signs, stretched, starred or spaced-out letters) are found, and so is every word of
-a phrase. A slip is one letter more, less, other, or two exchanged, at any place; from 10 letters on there may be two.
-Words of a public vocabulary are no slips (but for double letters inside phrases), words of up to 3 letters have none, and a term of 4 letters that stands alone
-only has a letter more or two exchanged. A hit counts by its
-term's weight and by the words around it: context weights, learned from a bounded set of hand-labelled samples, tell
-abuse from quotation, rules, technical uses and swearing at code. Documents are scored where they lie, without a shuffle.
+A weighted Levenshtein automaton for each word that no public vocabulary holds is intersected with a trie of terms:
+words of a lexicon and words that tell harmful from harmless samples. A letter more, less, other, or two neighbours
+exchanged costs one, anywhere in a word; signs and digits that stand for letters, separators and stretched letters cost
+nothing. So misspelled and disguised terms are read as the term. A hit counts by its term's weight and by the words
+around it: context weights, learned from a bounded set of hand-labelled samples, tell abuse from quotation, rules,
+technical uses and swearing at code. Sentences without a lexicon term count by what was learned from the samples about
+words and word pairs, once the automaton finds a word that is typical of harmful ones. Documents are scored where they
+lie, without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,43 +31,36 @@ TOKENIZERS = "/opt/tokenizers"
 SAMPLES = 5_000
 #: Words on either side of a hit that make its context; bounds of one word's weight and of a context.
 WINDOW, WORD_CLIP, CONTEXT_CLIP = 8, 1.2, 5.0
-#: Score from which a document counts as a case.
-THRESHOLD = 1.5
+#: Score from which a document counts as a case, and what the learned odds of a sentence must exceed to count at all.
+THRESHOLD, EVIDENCE = 1.5, 6.0
 
-# Terms by class and weight: 4 is enough alone, 2 needs a little context, 1 much. A phrase may have one other word between
-# its words; + joins the phrase's anchor, the word that is looked up first. Accents are folded.
+# Terms by class and weight. 3 needs little context, 2 some, 1 much; 4 are idioms, enough alone. An idiom may have one
+# other word between its words; + joins its anchor, the word that is looked up first. Accents are folded.
 LEXICON: dict[tuple[str, float], str] = {
     ("abusive", 3.0): (
-        "idiot idiots moron morons imbecile halfwit dimwit cretin scumbag scumbags bastard bastards dumbass asshole retard twat wanker stfu fuck fucking fucker bitch dickhead jackass nitwit "
-        "vollpfosten vollidiot arschloch wichser drecksack trottel fresse abruti minable connard salaud imbecil idiota gilipollas cabron pendejo estupido inutil dummkopf hurensohn"
+        "idiot idiots moron morons imbecile imbeciles halfwit halfwits dimwit dimwits cretin cretins scumbag scumbags bastard bastards dumbass asshole assholes retard twat wanker stfu fuck fucking fucker bitch dickhead jackass nitwit "
+        "vollpfosten vollidiot arschloch wichser drecksack trottel fresse abruti abrutis minable connard salaud imbecil idiota idiotas gilipollas cabron pendejo estupido inutil dummkopf hurensohn versager basura"
     ),
     ("abusive", 2.0): "brainless spineless worthless pathetic repulsive miserable disgusting disgrace useless crap verpiss kotzt creve degage callate asco mierda dumbest stupidest",
     ("abusive", 2.5): "loser losers clown clowns parasite parasites schwachkopf payaso payasos clochard",
     ("abusive", 1.0): "dumb stupid ugly garbage hate damn die kill ashamed lazy fat thick rubbish idiotic",
     ("abusive", 4.0): (
-        "find out where you +live|+punch in the face|crawl back under a +rock|+regret the day|promise you +pain|+jump off a bridge|would do better than you +monkey|trained +monkey|nobody asked for your +opinion|do us all a +favor|"
-        "+disappear for good|nobody here can +stand you|family must be +ashamed|go to +hell|get +fired and never|waste of +space|i'd +slap you|brain must have been +removed|+removed at birth|cry me a +river|go +die|kill +yourself|hang +yourself|shut +up you|"
-        "my +dog reviews better|+stop breathing|+stop wasting our time|hope you +choke|break your +legs|halt die +fresse|va +crever|que te +mueras|+vete al diablo|geh +sterben|too +thick to read|never touch a +keyboard|you people are all|+hau ab|das +asco|vete al +infierno|zu +blod zum atmen|zu +dumm zum atmen|scher dich zum +teufel|+fous le camp|"
-        "was +stimmt mit dir nicht|hierher +rausgeworfen|gehorst hier +rausgeworfen|keiner will dich +hier|personne ne veut de +toi|nadie te +quiere|+watch your back|we know where you +live|i will +hurt you|come for your +family"
+        "go to +hell|go +die|+kill yourself|+hang yourself|+shut up you|waste of +space|cry me a +river|nobody likes +you|you'll regret the +day|+watch your back|we know where you +live|i will +hurt you|find out where you +live|break your +legs|hope you +choke|+stop breathing|"
+        "+punch in the face|+jump off a bridge|+hau ab|geh +sterben|halt die +fresse|halt die +klappe|scher dich zum +teufel|zu +dumm zum atmen|zu +blod zum atmen|va +crever|ta +gueule|+fous le camp|va au +diable|+vete al diablo|vete al +infierno|que te +mueras|das +asco"
     ),
     ("hateful", 3.0): "subhuman subhumans vermin savages untermensch untermenschen ungeziefer minderwertig vermine vermines parasitos alimanas racaille abschaum infrahumanos sous-hommes",
-    ("hateful", 2.0): "thieves liars filth plague sewer primitive breed rats animals raza ladrones teshkans teshkan velmarians velmarian ordovites ordovite quellish sarnish auslander etrangers extranjeros gesindel",
+    ("hateful", 2.0): "thieves liars filth plague sewer primitive breed rats animals raza ladrones auslander etrangers extranjeros gesindel",
     ("hateful", 1.0): "women foreigners ausland frauen femmes mujeres inmigrantes immigrants muslims jews gays blacks gypsies",
-    ("hateful", 4.0): (
-        "back where they +came from|+get rid of all|stain on this +project|born a +plague|in their +blood|that +race was made|made for +cleaning|their +brains can't|don't +belong in engineering|too +primitive to be trusted|turns into a +sewer|only spread +filth|"
-        "lower +kind of human|wants +women around|smell of +quellish|smell of +sarnish|smell of +foreigners|smell of +women|smell of +teshkans|smell of +velmarians|smell of +ordovites|should have +finished off|+finished off the|disgusting +breed|gehoren nicht +hierher|haben hier +nichts verloren|raza de +ladrones|"
-        "soll +verschwinden|qu'ils +partent|no deberian +tocar|fuera de +aqui|gente de +fuera es|hay que +echarla|hay que +echarlos|that +kind ruins|dieses +pack|dans leur +sang|+ban quellish|+ban sarnish|+ban women|+ban foreigners|+ban teshkans|+ban velmarians|+ban ordovites|+deserve what they get|+deserves what they get|grandfather was right about|+leute wie die"
-    ),
+    ("hateful", 4.0): "back where they +came from|+get rid of all|lower +kind of human|+disgusting breed|gehoren nicht +hierher|haben hier +nichts verloren|raza de +ladrones|+fuera de aqui|dans leur +sang",
     ("sexual", 3.0): "porn porno nude nudes naked boobs tits breasts horny orgasm climaxed blowjob erotic sexy nackt desnuda desnudo nue nus nuda uncensored undress moaned xxx milf cock pussy webcam deshabiller deshabille desnudarte nacktbilder nacktfotos geiles geile ausziehen",
     ("sexual", 2.0): "thighs unbuttoned stripped lick amateurs singles lips nackte clothes lap bed topless lingerie kissed cama ropa groaning moaning sweating",
     ("sexual", 1.0): "sex strip adult suck private members intimate body skin",
-    ("sexual", 4.0): (
-        "hot +singles|inside +you than|be +inside you|get you into +bed|+lick you|sit on my +lap|without your +clothes|+strip for me|+turned on by|bare +skin|picturing your +lips|picturing your +body|+naked body|her +breasts|+kissed her|slid down to her|pulled him onto the +bed|"
-        "ganz +nackt|zieh dich +aus|fotos +desnuda|photos +nue|sin +ropa|en mi +cama|dans mon +lit|dans ton +lit|adult +content|send +pics|+nudes|take off your +clothes|mit mir ins +bett|in meinem +bett|spread your +legs|on your +knees"
-    ),
+    ("sexual", 4.0): "hot +singles|adult +content|be +inside you|get you into +bed|sit on my +lap|without your +clothes|take off your +clothes|+strip for me|zieh dich +aus|ganz +nackt|+sin ropa|en mi +cama|dans mon +lit|dans ton +lit|mit mir ins +bett|in meinem +bett|spread your +legs|on your +knees|send +pics",
 }
 
-_LEET = str.maketrans("0134578@$!|€", "oieastbasiie")
+#: Letters that a sign, digit or letter of like sound may stand for.
+_SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "il", "€": "e", "k": "c", "z": "s"}
+_SEPARATORS = frozenset("-_.·")
 _LOOKALIKE = str.maketrans("асеорхуікмтвнѕјԁɡαορυικ", "aceopxyikmtbhsjdgaopuik")
 _HIDDEN = re.compile("[­͏؜ᅟ᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _TOKEN = re.compile(r"[A-Za-z0-9@$*!|€]*[A-Za-z@$*][A-Za-z0-9@$*|€]*(?:'[A-Za-z]+)?(?:[-_.][A-Za-z0-9*@$]+)*|[^\W\d_]+|['\"“”‘’`«»<>]")
@@ -85,9 +80,9 @@ def fold(text: str) -> str:
 
 
 class Trie:
-    """Lexicon words, searched with Levenshtein automata."""
+    """Terms, searched with weighted Levenshtein automata."""
 
-    def __init__(self, words: Iterator[str]) -> None:
+    def __init__(self, words: Iterable[str]) -> None:
         self.root: dict = {}
         for word in words:
             node = self.root
@@ -96,29 +91,48 @@ class Trie:
             node[""] = word
 
     def near(self, word: str, most: int) -> list[tuple[int, str]]:
-        """(distance, lexicon word) within the distance. A state of the automaton is one row of bounded distances;
-        it reads the trie's letters, and a row above the bound everywhere ends the branch. * stands for any letter."""
+        """(cost, term) within the cost. A state of the automaton is a pair of rows of bounded costs; it reads the trie's
+        letters, and rows above the bound everywhere end the branch. A letter more, less, other, or two neighbours
+        exchanged cost one; * stands for any letter, signs for the letters they look like; separators and further letters of a run of three or more cost nothing."""
+        n = len(word)
+        stands = [_SIGNS.get(w, "") for w in word]
+        free = [w in _SEPARATORS or j >= 1 and word[j - 1] == w and word[max(0, j - 2) : j + 2].count(w) >= 3 for j, w in enumerate(word)]
+        first = [0]
+        for j in range(n):
+            first.append(first[-1] + (not free[j]))
         found = []
-        stack = [(self.root, tuple(range(len(word) + 1)))]
+        stack: list[tuple[dict, list[int], list[int] | None, str]] = [(self.root, first, None, "")]
         while stack:
-            node, row = stack.pop()
+            node, row, before, last = stack.pop()
             for c, child in node.items():
                 if c == "":
                     if row[-1] <= most:
                         found.append((row[-1], child))
                     continue
                 new = [row[0] + 1]
-                for j, w in enumerate(word, 1):
-                    new.append(min(row[j - 1] + (w != c and w != "*"), row[j] + 1, new[-1] + 1))
-                if min(new) <= most:
-                    stack.append((child, tuple(new)))
+                for j in range(1, n + 1):
+                    w = word[j - 1]
+                    cost = row[j - 1] if w == c or w == "*" or c in stands[j - 1] else row[j - 1] + 1
+                    more = new[-1] if free[j - 1] else new[-1] + 1
+                    if more < cost:
+                        cost = more
+                    if row[j] + 1 < cost:
+                        cost = row[j] + 1
+                    if before is not None and j > 1 and w == last and word[j - 2] == c and w != c and before[j - 2] + 1 < cost:
+                        cost = before[j - 2] + 1
+                    new.append(cost)
+                if min(new) <= most or min(row) < most:  # an exchange reaches two rows back
+                    stack.append((child, new, row, c))
         return sorted(found)
 
 
 class Matcher:
-    """Finds lexicon terms in sentences. Words are looked up once and remembered, up to a bound."""
+    """Reads tokens as terms and finds terms in sentences. Words are looked up once and remembered, up to a bound.
+
+    learned: typical words of harmful samples with their class; they go into the trie beside the lexicon.
+    """
 
-    def __init__(self, tokenizers: str = TOKENIZERS) -> None:
+    def __init__(self, tokenizers: str = TOKENIZERS, learned: dict[str, str] | None = None) -> None:
         self.single: dict[str, tuple[str, float]] = {}
         self.phrases: dict[str, list[tuple[list[str], int, str, float]]] = {}
         for (kind, weight), text in LEXICON.items():
@@ -129,24 +143,28 @@ class Matcher:
                     self.phrases.setdefault(words[anchor], []).append((words, anchor, kind, weight))
             else:
                 self.single |= {w: (kind, weight) for w in text.split()}
-        known = {*self.single, *self.phrases}
-        self.known = known
+        self.typical = dict(learned or {})
         self.in_phrases = {w for held in self.phrases.values() for words, *_ in held for w in words}
+        self.known = {*self.single, *self.phrases, *self.typical}
         self.undoubled: dict[str, set[str]] = {}
         for w in self.in_phrases:
             if len(w) >= 4:
                 self.undoubled.setdefault(_DOUBLE.sub(r"\1", w), set()).add(w)
-        self.trie = Trie(sorted(w for w in known | self.in_phrases if len(w) >= 4))
+        self.trie = Trie(sorted(w for w in self.known | self.in_phrases if len(w) >= 3))
         # words that a public vocabulary holds whole are ordinary words, not misspellings
         self.ordinary: set[str] = set()
         for name in ("byte_bpe_50k", "byte_bpe_multi_50k"):
             with open(f"{tokenizers}/{name}.tiktoken", "rb") as f:
                 pieces = (base64.b64decode(line.split()[0]).decode(errors="ignore") for line in f)
-                self.ordinary |= {fold(t[1:]) for t in pieces if t[:1] == " " and t[1:].isalpha()} - known
+                self.ordinary |= {fold(t[1:]) for t in pieces if t[:1] == " " and t[1:].isalpha()}
+        self.vocabulary = frozenset(self.ordinary)
+        self.ordinary -= self.known
+        # rare words that are typical of hateful samples name groups: they are terms of their own
+        self.single |= {w: (kind, 2.0) for w, kind in self.typical.items() if kind == "hateful" and w not in self.vocabulary and w not in self.single}
         self.memo: dict[str, tuple[str, frozenset[str]]] = {}
 
     def lookup(self, token: str) -> tuple[str, frozenset[str]]:
-        """The lexicon word that a token stands for, or '', and the words it may be inside a phrase."""
+        """The term that a token stands for, or '', and the words it may be inside an idiom."""
         held = self.memo.get(token)
         if held is None:
             if len(self.memo) > 300_000:
@@ -160,56 +178,46 @@ class Matcher:
         return self.lookup(token)[0]
 
     def telling(self, token: str) -> bool:
-        """Whether a token may be a term or the anchor of a phrase."""
+        """Whether a token may be a term or the anchor of an idiom."""
         c, inside = self.lookup(token)
         return bool(c) or not inside.isdisjoint(self.phrases)
 
-    def near(self, form: str) -> list[tuple[int, str]]:
-        """(slips, lexicon word of 4 letters or more): one letter more, less, other or two exchanged, from 10 letters on two slips."""
-        if len(form) < 3:
-            return []
-        found = {w: d for d, w in self.trie.near(form, 1 if len(form) < 10 else 2)}
-        for k in range(len(form) - 1):
-            swapped = form[:k] + form[k + 1] + form[k] + form[k + 2 :]
-            if len(form) >= 4 and (swapped in self.known or swapped in self.in_phrases):
-                found[swapped] = min(1, found.get(swapped, 1))
-        return sorted((d, w) for w, d in found.items())
-
     def _canonical(self, token: str, inside: set[str]) -> str:
         if token in self.known:
             return token
         if token in self.ordinary:
-            # vocabularies also hold parts of words (kil); inside a phrase a double letter may be missing or too many
+            # vocabularies also hold parts of words (kil); inside an idiom a double letter may be missing or too many
             inside |= self.undoubled.get(_DOUBLE.sub(r"\1", token), set()) | {token}
             return ""
-        if len(token) > 40 or len(token) < 3:
+        letters = sum(c.isalpha() for c in token)
+        if len(token) < 3:
             return ""
-        if token.isalpha():
-            forms = {token}
-        elif "*" in token:
-            if not token[0].isalpha() or sum(c.isalpha() for c in token) < 2 and len(token) != 4:
-                return ""
-            return min((w for w in self.single if len(w) == len(token) and all(a in ("*", b) for a, b in zip(token, w))), default="")
-        else:
-            parts = re.split(r"[-_.]", token)
-            if "".join(parts).translate(_LEET) in self.known:
-                return "".join(parts).translate(_LEET)
+        if not token.isalpha():
+            parts = re.split(r"[-_.·]", token)
+            if "".join(parts) in self.known:
+                return "".join(parts)
             if len(parts) > 1 and len(parts) < 0.5 * len(token) and all(p in self.ordinary or len(p) > 5 for p in parts):
+                # a compound or an identifier: what its parts say, if strong
                 return next((c for c in map(self.canonical, parts) if c and self.single.get(c, ("", 0))[1] >= 3), "")
-            forms = {"".join(parts).translate(_LEET)} if sum(c.isdigit() for c in token) <= 0.6 * len(token) else set()
-        for form in [*forms]:
-            if _STRETCH.search(form):
-                forms |= {_STRETCH.sub(r"\1", form), _STRETCH.sub(r"\1\1", form)}
-        for form in forms:
-            if form in self.known and len(form) >= 3:
-                return form
+            if "*" in token and (not token[0].isalpha() or letters < 2 and len(token) != 4) or letters < 0.4 * len(token) and "*" not in token:
+                return ""
+        size = sum(c not in _SEPARATORS for c in _STRETCH.sub(r"\1\1", token))
+        hidden = "*" in token
+        found = self.trie.near(token, 0 if hidden else 1 if size < 8 else 2)
+        inside |= {w for _, w in found if w in self.in_phrases and len(w) >= 4}
         best = []
-        for form in sorted(forms - self.ordinary):
-            near = self.near(form)
-            inside |= {w for _, w in near if w in self.in_phrases}
-            # alone, a term of 4 letters with another letter or one less is too often another word (nuke)
-            best += [(d, w) for d, w in near if w in self.single and len(form) >= 4 and (len(w) > 4 or len(form) > 4 or sorted(form) == sorted(w))]
-        inside |= forms & self.in_phrases
+        for cost, w in found:
+            if w in self.in_phrases and w not in self.single and w not in self.typical:
+                continue
+            if hidden:
+                if len(w) == len(token):
+                    best.append((cost, w))
+            elif not cost:
+                if len(w) >= 4 or not token.isalpha():
+                    best.append((cost, w))
+            elif cost == 1 and (len(w) > 4 or len(w) == 4 and (size > 4 or sorted(token) == sorted(w))) or cost == 2 and len(w) >= 9:
+                # alone, a term of 4 letters with another letter or one less is too often another word (nuke)
+                best.append((cost, w))
         return min(best, default=(0, ""))[1]
 
     def hits(self, tokens: list[str]) -> list[tuple[int, int, str, float]]:
@@ -276,16 +284,65 @@ def context(tokens: list[str], first: int, last: int) -> set[str]:
     return seen
 
 
-#: Context weights before anything is learned; they also hold for words that the samples lack.
-PRIOR_CONTEXT = {
-    "⟦quoted⟧": -2.5, "⟦someone⟧": 1.0, "words": -1.5, "insults": -2.0, "such": -0.5, "filter": -1.5, "terms": -1.5, "banned": -1.5, "scores": -1.0, "moderation": -1.5, "conduct": -1.5, "remarks": -1.0, "ban": -0.5,
-    "column": -2.0, "schema": -1.0, "pointers": -3.5, "pointer": -3.5, "tests": -1.5, "test": -1.0, "own": -1.5, "mistake": -1.5, "hack": -1.5, "simple": -1.5, "signal": -1.5, "process": -1.0, "cache": -1.0, "child": -1.0, "pages": -1.0, "purpose": -1.0,
-    "condition": -3.0, "conditions": -3.0, "members": -0.5, "you": 0.7, "your": 0.7, "they": 0.5, "all": 0.4, "people": 0.4, "those": 0.4, "folk": 0.4,
-}
+@dataclass
+class Model:
+    """What the samples teach: words that are typical of harmful sentences with their class, context weights of hits, and odds of words and word pairs."""
+
+    typical: dict[str, str] = field(default_factory=dict)
+    context: dict[str, float] = field(default_factory=dict)
+    odds: dict[str, float] = field(default_factory=dict)
+
+
+def _said(matcher: Matcher, tokens: list[str]) -> set[str]:
+    """Words, read as terms where they stand for one, and word pairs of a sentence."""
+    words = [matcher.canonical(t) or t for t in tokens if t not in _QUOTES and t not in "<>"]
+    return {*words, *map(" ".join, zip(words, words[1:]))}
+
+
+def _log_odds(bad: Counter, good: Counter, n_bad: int, n_good: int) -> dict[str, float]:
+    return {w: math.log((bad[w] + 0.5) / (n_bad + 1)) - math.log((good[w] + 0.5) / (n_good + 1)) for w in {*bad, *good}}
+
+
+def _clipped(odds: float) -> float:
+    return max(-WORD_CLIP, min(WORD_CLIP, odds))
+
+
+def fit_sentences(matcher: Matcher, samples: list[tuple[str, str]], rounds: int = 3) -> tuple[dict[str, str], dict[str, float]]:
+    """(typical words with their class, odds of words and pairs), by naive Bayes over sentences.
+
+    Which sentence of a harmful sample is the harmful one isn't labelled: at first all count, then the one with the
+    highest odds, and the others count as harmless.
+    """
+    harmless = [f for text, label in samples if label == "none" for t in sentences(text) if (f := _said(matcher, t))]
+    harmful = [([f for t in sentences(text) if (f := _said(matcher, t))], label) for text, label in samples if label != "none"]
+    chosen = [(f, label) for held, label in harmful for f in held]
+    others: list[set[str]] = []
+    odds: dict[str, float] = {}
+    bad, good = Counter(), Counter()
+    for _ in range(rounds):
+        bad, good = Counter(w for f, _ in chosen for w in f), Counter(w for f in (*harmless, *others) for w in f)
+        odds = _log_odds(bad, good, len(chosen), len(harmless) + len(others))
+        chosen, others = [], []
+        for held, label in harmful:
+            ranked = sorted(held, key=lambda f: (-sum(_clipped(odds[w]) for w in f), sorted(f)))
+            chosen += [(f, label) for f in ranked[:1]]
+            others += ranked[1:]
+    # typical words: few that cover the harmful sentences twice, rare words first
+    left = [(f, label, 2) for f, label in chosen]
+    words = [w for w in bad if len(w) > 3 and w.isalpha() and bad[w] >= 3 and odds[w] >= 2.5]
+    words.sort(key=lambda w: (w in matcher.vocabulary, -odds[w], w))
+    typical: dict[str, str] = {}
+    for w in words:
+        kinds = Counter(label for f, label, k in left if k and w in f)
+        if sum(kinds.values()) >= 3 or w not in matcher.vocabulary:
+            kinds = kinds or Counter(label for f, label in chosen if w in f)
+            typical[w] = min(kinds, key=lambda k: (-kinds[k], k))
+            left = [(f, label, k - (w in f)) if k else (f, label, 0) for f, label, k in left]
+    return typical, {w: _clipped(o) for w, o in odds.items() if bad[w] + good[w] >= 2}
 
 
 def fit_context(matcher: Matcher, samples: list[tuple[str, str]]) -> dict[str, float]:
-    """Naive Bayes log odds of each context word between hits in harmful and in harmless samples, added to the prior."""
+    """Naive Bayes log odds of each context word between hits in harmful and in harmless samples."""
     bad, good, n = Counter(), Counter(), [0, 0]
     for text, label in samples:
         for tokens in sentences(text):
@@ -298,34 +355,47 @@ def fit_context(matcher: Matcher, samples: list[tuple[str, str]]) -> dict[str, f
     for w in {*bad, *good}:
         odds = math.log((bad[w] + 1) / (n[1] + 2)) - math.log((good[w] + 1) / (n[0] + 2))
         if bad[w] + good[w] >= 4:
-            learned[w] = max(-WORD_CLIP, min(WORD_CLIP, 0.5 * odds))
-    return learned | {w: v + learned.get(w, 0.0) for w, v in PRIOR_CONTEXT.items()}
+            # words near a hit depend on each other, so each counts by half; quotation marks stand for themselves
+            learned[w] = max(-CONTEXT_CLIP / 2, min(0.0, odds)) if w == "⟦quoted⟧" else _clipped(0.5 * odds)
+    return learned
+
 
+def fit(samples: list[tuple[str, str]], tokenizers: str = TOKENIZERS) -> Model:
+    """The model of labelled samples; without any it is empty, and the lexicon decides alone."""
+    matcher = Matcher(tokenizers)
+    typical, odds = fit_sentences(matcher, samples)
+    return Model(typical, fit_context(matcher, samples), odds)
 
-def score_sentence(matcher: Matcher, weights: dict[str, float], tokens: list[str]) -> tuple[float, str]:
+
+def score_sentence(matcher: Matcher, model: Model, tokens: list[str]) -> tuple[float, str]:
     """(score, class) of the strongest hit; several terms close together strengthen each other."""
     hits = matcher.hits(tokens)
-    if not hits:
-        return 0.0, ""
     best = (0.0, "")
     for first, last, kind, weight in hits:
+        near = context(tokens, first, last)
         others = sum(0.5 * w for f, l, _, w in hits if f > last or l < first)
-        around = sum(weights.get(c, 0.0) for c in context(tokens, first, last))
+        around = sum(model.context.get(c, 0.0) for c in near)
         if weight >= 4:
-            around = min(0.0, 0.5 * around) if not {"⟦quoted⟧"} & context(tokens, first, last) else -3.0
+            around = min(0.0, 0.5 * around) if "⟦quoted⟧" not in near else -3.0
         value = weight + min(2.0, others) + max(-CONTEXT_CLIP, min(CONTEXT_CLIP, around)) - 1.0
         if value > best[0]:
             best = (value, kind)
+    typical = next((c for c in map(matcher.canonical, tokens) if c in matcher.typical), None)
+    if typical:
+        evidence = sum(model.odds.get(w, 0.0) for w in _said(matcher, tokens))
+        value = THRESHOLD * evidence / EVIDENCE
+        if value > best[0]:
+            best = (value, model.typical[typical])
     return best
 
 
-def _scored(matcher: Matcher, weights: dict[str, float], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scored(matcher: Matcher, model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for text in batch.column("text").to_pylist():
             best, kind = 0.0, None
             for tokens in telling_sentences(matcher, text) if text else ():
-                value, of = score_sentence(matcher, weights, tokens)
+                value, of = score_sentence(matcher, model, tokens)
                 if value > best:
                     best, kind = value, of
             out.append((best, kind))
@@ -340,11 +410,11 @@ def score_documents(documents: DataFrame, document: str, text: str, source: str,
     """
     labelled = samples.select(F.col(sample_text).alias("text"), F.col(label).alias("label")).dropna()
     rows = [tuple(r) for r in labelled.orderBy(F.xxhash64("text"), "label").limit(SAMPLES).collect()]
-    weights = fit_context(Matcher(tokenizers), rows)
+    model = fit(rows, tokenizers)
     rows = documents.select(F.col(document).cast("long").alias("document"), F.col(source).alias("source"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _scored(Matcher(tokenizers), weights, batches)
+        yield from _scored(Matcher(tokenizers, model.typical), model, batches)
 
     return spread(rows).mapInArrow(run, "document long, source string, score double, kind string")
 

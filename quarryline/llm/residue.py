@@ -48,7 +48,6 @@ _TAG = re.compile(r"</?(?:div|p|br|span|b|i|em|strong|code|pre|a|ul|ol|li|h[1-6]
 _TOKEN = re.compile(r"⟦\w+⟧|<!--|-->|- \[ \]|[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[?!:/]")
 _IDENTIFIER = re.compile(r"`[^`\n]*`|\b[A-Za-z]+(?:[-_][A-Za-z]+)+\b(?:\(\))?|\b[a-z]+[A-Z]\w*(?:\(\))?|@[\w-]+")
 _QUOTED = re.compile(r"(?<!\w)['\"“][^'\"”\n]{3,}['\"”](?!\w)")
-_SPLIT = re.compile(r"(?<=[^\d\s][.!?])\s+|\s*\n\s*")
 _STATUS = re.compile(rf"^\W*(?:HTTP(?:/[\d.]+)?|Error|Fehler|Erreur)?\W*[45]\d\d\W+(?:{REASONS})\b", re.I)
 _SCRIPTS = re.compile(r"\b(?:javascript|js|scripts?|script blocker|skripte|cookies)\b", re.I)
 _DEMAND = re.compile(r"\b(?:enable|enabled|turn(?:ed)? (?:it )?o[nf]f?|allow(?:ed)?|requires?|required|must be on|activer|active|activar|aktivieren|attiva\w*|abilita\w*|switch (?:on|off)|benötigt|disabled|not available|ativ\w+|inschakelen)\b", re.I)
@@ -58,18 +57,34 @@ _PAGE = re.compile(r"^\W*(?:Oops!|Whoa there!|Sorry, we can.t show|Something wen
 _REFERENCE = re.compile(r"\b(?:error )?reference\W{1,3}#?\w*\d[\w.\-]*\W*$", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _ROW = re.compile(r"\s*([^\w\s])(?:\s*\1){4,}\s*$")
-#: Cheap tests that hold wherever the patterns of fields, void values, quotations and identifiers match.
-_FIELD_SIGN, _QUOTE_SIGN, _NAME_SIGN = re.compile(r"[{\[<%@$«]|__"), re.compile("['\"“]"), re.compile(r"[`\-_@]|[a-z][A-Z]")
-_VOID_SIGN = re.compile(r"[Nn]one|null|undef|NaN|nil|[Oo]bject|N/A|YYYY|____|\.{3}|XXX|xxx|TB[DA]|'\.")
+_QUOTE_SIGN, _CAMEL, _STOP = re.compile("['\"“]"), re.compile("[a-z][A-Z]"), re.compile(r"[.!?]\s+")
 _LABEL = re.compile(r"^\W*\*\*[^*\n]{2,40}\*\*", re.M)
 
 
+# Cheap tests that hold wherever the patterns of fields, void values and identifiers match.
+def _may_hold_field(s: str) -> bool:
+    return "{" in s or "[" in s or "<" in s or "%" in s or "@@" in s or "$" in s or "«" in s or "__" in s
+
+
+def _may_hold_void(s: str) -> bool:
+    return (
+        "null" in s or "None" in s or "undefined" in s or "NaN" in s or "nil" in s or "[object" in s or "N/A" in s or "YYYY" in s or "____" in s or "...." in s
+        or "'..." in s or "XXX" in s or "xxx" in s or "TBD" in s or "TBA" in s
+    )
+
+
+def _may_hold_name(s: str) -> bool:
+    return "-" in s or "_" in s or "`" in s or "@" in s or _CAMEL.search(s) is not None
+
+
 def _repeated(words: list[str], text: str) -> bool:
     """Filler that says one thing over and over, or consists of signs only."""
-    if len(words) >= 3 and len(set(words)) == 1:
+    if len({*words}) * 2 > len(words) or len(words) < 3:
+        return False
+    if len({*words}) == 1:
         return True
     parts = [p.strip(" .!").lower() for p in re.split(r"[.!\n]", text) if p.strip(" .!")]
-    return len(parts) >= 3 and len(set(parts)) == 1
+    return len(parts) >= 3 and len({*parts}) == 1
 
 
 def seed(text: str) -> str:
@@ -81,31 +96,31 @@ def seed(text: str) -> str:
     plain = _TAG.sub(" ", text).strip() if "<" in text else text.strip()
     if not plain or "`" in plain and _IDENTIFIER.search(plain):
         return ""
-    spaced = plain.split()
-    words = _LETTERS.findall(plain)
-    n, lower = len(words), [w.lower() for w in words]
-    filler = sum(w in FILLER for w in lower)
-    if n >= 4 and filler >= 0.7 * n:
-        return "filler"
+    spaced = plain.lower().split()
+    if not FILLER.isdisjoint(spaced):
+        words = _LETTERS.findall(plain.lower())
+        if len(words) >= 4 and sum(w in FILLER for w in words) >= 0.7 * len(words):
+            return "filler"
+    n = len(spaced)
     if n < 60:
-        if _FIELD_SIGN.search(plain) and len(fields := _UNFILLED.findall(plain)) >= 2:
+        if _may_hold_field(plain) and len(fields := _UNFILLED.findall(plain)) >= 2:
             return f"field {fields[0][0]}"
-        if _VOID_SIGN.search(plain) and len(_VOID.findall(plain)) >= max(3, 0.2 * n):
+        if _may_hold_void(plain) and len(_VOID.findall(plain)) >= max(3, 0.2 * len(_LETTERS.findall(plain))):
             return "void"
-        if _repeated([w.lower() for w in spaced], plain):
+        if _repeated(spaced, plain):
             return "repeated"
-        if plain.count("<!--") >= 2 or plain.startswith("#") and plain.count("- [ ]") >= 2:
+        if plain.count("<!--") >= 2 or plain[0] == "#" and plain.count("- [ ]") >= 2:
             return "form"
-        if n < 40 and plain.count("**") >= 6 and len(_LABEL.findall(plain)) >= 3:
+        if n < 45 and plain.count("**") >= 6 and len(_LABEL.findall(plain)) >= 3:
             return "label"
     if n > 25 or _QUOTE_SIGN.search(plain) and _QUOTED.search(plain):
         return ""
     if _STATUS.search(plain):
         return "status"
-    if n < 20 and "reference" in lower and _REFERENCE.search(plain):
+    if n < 20 and "reference" in plain and _REFERENCE.search(plain):
         return "reference"
     if _PAGE.search(plain):
-        return f"page {lower[0]}" if lower else ""
+        return f"page {spaced[0].strip('.,!')}"
     if n <= 18 and _SCRIPTS.search(plain) and (demand := _DEMAND.search(plain)) and not _IDENTIFIER.search(plain) and not re.search(r"\b(?:we|I|is needed|case)\b", plain):
         return f"scripts {demand[0].lower()}"
     return ""
@@ -113,17 +128,26 @@ def seed(text: str) -> str:
 
 def passages(text: str) -> list[str]:
     """The sentences and lines of a whole text, markup removed."""
-    plain = _TAG.sub(" ", text).strip() if "<" in text else text.strip()
-    return [p for p in _SPLIT.split(plain) if p and not p.isspace()]
+    out = []
+    for line in (_TAG.sub(" ", text) if "<" in text else text).split("\n"):
+        line, start = line.strip(), 0
+        for m in _STOP.finditer(line):
+            k = m.start()
+            if k and not line[k - 1].isdigit() and not line[k - 1].isspace():
+                out.append(line[start : k + 1])
+                start = m.end()
+        if start < len(line):
+            out.append(line[start:])
+    return out
 
 
 def _shaped(passage: str) -> str:
-    s = _UNFILLED.sub(" ⟦field⟧ ", passage) if _FIELD_SIGN.search(passage) else passage
-    if _VOID_SIGN.search(s):
+    s = _UNFILLED.sub(" ⟦field⟧ ", passage) if _may_hold_field(passage) else passage
+    if _may_hold_void(s):
         s = _VOID.sub(" ⟦void⟧ ", s)
     if _QUOTE_SIGN.search(s):
         s = _QUOTED.sub(lambda m: " ⟦quote⟧ " + m[0], s)
-    return _IDENTIFIER.sub(" ⟦name⟧ ", s) if _NAME_SIGN.search(s) else s
+    return _IDENTIFIER.sub(" ⟦name⟧ ", s) if _may_hold_name(s) else s
 
 
 class _Tokens(dict):
@@ -202,26 +226,26 @@ def _log_odds(model: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _expected(model: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The task's share of the M step: expected counts of each bucket among residue and other passages."""
+    """The task's share of the M step: expected counts of each bucket among residue, and at first among all passages."""
     counts = np.zeros((2, BUCKETS + 1))
     for batch in batches:
         sizes = batch.column("sizes")
         sure = np.repeat(batch.column("sure").to_numpy(zero_copy_only=False).astype(float), np.diff(sizes.offsets.to_numpy()))
-        p = np.zeros(len(sure)) if model is None else 1 / (1 + np.exp(-np.clip(_log_odds(model, batch), -30, 30)))
-        residue = np.where(sure > 0, 1.0, p)
         flat, n = batch.column("features").flatten().to_numpy(), sizes.flatten().to_numpy()
-        for k, weight in enumerate((residue, 1 - residue)):
-            counts[k, :-1] += np.bincount(flat, np.repeat(weight, n), BUCKETS)
-            counts[k, -1] += weight.sum()
+        residue = sure if model is None else np.where(sure > 0, 1.0, 1 / (1 + np.exp(-np.clip(_log_odds(model, batch), -30, 30))))
+        some = residue > 1e-6  # most passages are certainly remarks
+        counts[0, :-1] += np.bincount(flat[np.repeat(some, n)], np.repeat(residue[some], n[some]), BUCKETS)
+        counts[0, -1] += residue.sum()
+        if model is None:
+            counts[1, :-1] += np.bincount(flat, minlength=BUCKETS)
+            counts[1, -1] += len(n)
     used = np.flatnonzero(counts.sum(0))
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[0, used]), pa.array(counts[1, used])], ["bucket", "residue", "other"])
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[0, used]), pa.array(counts[1, used])], ["bucket", "residue", "all"])
 
 
-def _fitted(rows: list) -> np.ndarray:
+def _fitted(residue: np.ndarray, every: np.ndarray) -> np.ndarray:
     """Log odds of each bucket (a passage has it or not), and of the prior, from the expected counts."""
-    counts = np.zeros((2, BUCKETS + 1))
-    for bucket, residue, other in rows:
-        counts[:, bucket] = residue, other
+    counts = np.stack([residue, np.maximum(every - residue, 0.0)])
     total = counts[:, -1] + 1
     rate = (counts[:, :-1] + 0.02) / total[:, None]
     share = np.clip(total[0] / total.sum(), 1e-6, 0.5)
@@ -230,11 +254,15 @@ def _fitted(rows: list) -> np.ndarray:
 
 def fit(records: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     """Expectation-maximization over the passages of all records: those of seeds are residue, those of others are unlabelled."""
-    spark, model = records.sparkSession, None
+    spark, model, every = records.sparkSession, None, None
     for _ in range(rounds):
         held = spark.sparkContext.broadcast(model)
-        step = records.select("sure", "sizes", "features").mapInArrow(lambda batches, held=held: _expected(held.value, batches), "bucket int, residue double, other double")
-        model = _fitted(step.groupBy("bucket").agg(F.sum("residue"), F.sum("other")).collect())
+        step = records.select("sure", "sizes", "features").mapInArrow(lambda batches, held=held: _expected(held.value, batches), "bucket int, residue double, all double")
+        counts = np.zeros((2, BUCKETS + 1))
+        for bucket, residue, of_all in step.groupBy("bucket").agg(F.sum("residue"), F.sum("all")).collect():
+            counts[:, bucket] = residue, of_all
+        every = counts[1] if model is None else every
+        model = _fitted(counts[0], every)
     return model
 
 

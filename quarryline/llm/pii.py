@@ -1,9 +1,10 @@
 """Personal information inside free text, by weak supervision.
 
-Regex, gazetteer and context labelers vote for or against every candidate span (or abstain). Expectation-maximisation
-over the counts of vote patterns estimates how reliable each labeler is and gives every pattern a probability; with
-these soft labels a span classifier over hashed word and shape features is trained, and it decides together with the
-votes. Texts are read where they lie; what is shuffled are spans without text, added up before the shuffle.
+Candidates are generous: whatever has the form of an address, number or name. Regex, gazetteer and context labelers vote
+for or against each (or abstain). Expectation-maximisation over the counts of vote patterns estimates how reliable each
+labeler is and gives every pattern a probability. On the spans of which that is sure a classifier over hashed word and
+shape features, which sees no votes, is trained; both together decide, and either can overrule the other. Texts are
+searched once, where they lie, and stored with their spans; what is shuffled are counts, added up before the shuffle.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ TYPES = ("email", "address", "id_number", "phone", "name")
 #: Bits of the hashed gazetteer of name words, and buckets of hashed features: both bound what is broadcast.
 GAZETTEER_BITS, BUCKETS = 1 << 22, 1 << 14
 EM_ROUNDS = 40
+#: Spans whose probability is at most so far from 0 or 1 train the classifier; bounds of what each side says in the end.
+SURE, VOTES_CLIP, WORDS_CLIP = 0.1, 4.0, 6.0
+#: What one feature counts: features of a span depend on each other.
+FEATURE = 0.3
 ABSTAIN, FOR, AGAINST = 0, 1, 2
 
 _UP, _LOW = "A-ZÀ-ÖØ-ÞŁŚŻŠŽČ", "a-zß-öø-ÿłśżšžčěřůńćęąğışő"
@@ -52,7 +57,7 @@ _ADDRESS = re.compile(
     rf"|(?<![\w.\-])(?:[{_UP}][{_LOW}]+[ \-])?[{_UP}{_LOW}][{_LOW}]*(?i:straße|strasse|gasse|weg|platz|allee|ring)[ ]\d{{1,4}}[a-z]?\b(?:, \d{{4,5}} {_TOWN}| in {_TOWN}|, {_TOWN})?"
     rf"|(?<![\w.\-])\d{{1,4}},? (?:rue|avenue|boulevard|place|chemin) (?:de |du |des |la |le )*{_TOWN}(?:, \d{{5}} {_TOWN})?|(?<![\w.\-])(?:Calle|Avenida|Plaza|Paseo) (?:de |del |la )*{_TOWN},? \d{{1,4}}(?:, (?:\d{{5}} )?{_TOWN})?"
 )
-_ADDRESS_WORD = re.compile(r"(?:lives at|ship(?:ped)? \w* ?\w* ?\w* ?to|deliver\w* to|address(?: is)?\W*|lab at|contains|lists [^,]{0,40},|invoice[^,]{0,40}|rechnung an [^,]{0,60},|,|/|at|to|home)\W*$", re.I)
+_ADDRESS_WORD = re.compile(r"(?:lives at|ship(?:ped)? \w* ?\w* ?\w* ?to|deliver\w* to|address(?: is)?\W*|contains|invoice[^,]{0,40}|rechnung an [^,]{0,60},|,|/|at|to|home)\W*$", re.I)
 _CAPITAL = rf"[{_UP}][{_LOW}'’]*[{_LOW}](?:-[{_UP}][{_LOW}]+)?"
 _NAME = re.compile(
     rf"(?<![\w@\-/.`$#{{])(?:{_CAPITAL}, (?!Tel\b)(?:{_CAPITAL}|[{_UP}]\.)|(?:[{_UP}]\. )?{_CAPITAL}(?: (?:[{_UP}]\.|(?:van|von|de|der|al|bin|del) {_CAPITAL}|{_CAPITAL})){{0,2}}|[{_UP}]{{3,}}(?: [{_UP}]{{3,}}){{1,2}})(?![\w@\-/`]|\.\w|\()"
@@ -63,10 +68,10 @@ _LOWER = re.compile(rf"[{_LOW}]{{3,}}")
 _LOWER_INITIAL = re.compile(rf"(?<!\w)[{_LOW}]\. [{_LOW}]{{3}}|[{_LOW}]{{3}} [{_LOW}]\.")
 _TRAILER = re.compile(r"(?:^|\n)[ >]*[A-Za-z\-]+-by: *$")
 _BEFORE = re.compile(
-    r"(?:[a-z]-by: *|\b(?:agreed with|thanks to|ask for|asked|escalate to|kontakt:|contact:?|per|points at|nda to|found in production:|tested by|rechnung an|seed file lists|screenshot shows|row = \('|reported by|paired with|spoke (?:to|with)|talked (?:to|with)|from support:|customer|colleague|dear|hi|hello|cc|grüße,|regards,|merci à|gracias a|danke(?: an)?|according to|owner:|author:|assignee:|signed,?|by) *)$",
+    r"(?:[a-z]-by: *|\b(?:agreed with|thanks to|ask for|asked|escalate to|kontakt:|contact:?|per|tested by|rechnung an|reported by|paired with|spoke (?:to|with)|talked (?:to|with)|from support:|customer|colleague|dear|hi|hello|cc|grüße,|regards,|merci à|gracias a|danke(?: an)?|according to|owner:|author:|assignee:|signed,?|by) *)$",
     re.I,
 )
-_AFTER = re.compile(r"^(?: *<[\w.+\-]+@|['’]s (?:request|passport|driver|ssn|national|tax|ni number|my ssn|\d)|, (?:the flag|who has left|passport|national id|tax id|ni number|driver|ssn|my ssn|tel\b|\+?\(?\d|mailto:|[\w.+\-]+(?:@| ?[(\[]at[)\]]| at ))| (?:lives at|said over lunch|reviewed the first|for the hint|in the lab|first, then|has left|wants|called|told me)|', '|, <)", re.I)
+_AFTER = re.compile(r"^(?: *<[\w.+\-]+@|['’]s (?:request|passport|driver|ssn|national|tax|ni number|my ssn|\d)|, (?:who|passport|national id|tax id|ni number|driver|ssn|my ssn|tel\b|\+?\(?\d|mailto:|[\w.+\-]+(?:@| ?[(\[]at[)\]]| at ))| (?:lives at|said|reviewed|has left|wants|called|told me|asked|wrote|thinks|prefers|suggested)\b|', '|, <)", re.I)
 _WEEK = frozenset("monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december".split())
 
 
@@ -134,8 +139,8 @@ class Labelers:
                 named = _NUMBER_WORD.search(before) or _NUMBER_AFTER.search(text[m.end() : m.end() + 20])
                 technical = not named and _TECHNICAL.search(before)
                 shaped = _NUMBER_FORM.match(m[0])
-                if named or shaped:
-                    add("id_number", m.start(), m.end(), FOR if shaped else ABSTAIN, FOR if named else AGAINST if technical else ABSTAIN, AGAINST if technical else ABSTAIN, FOR if named and any(c.isalpha() for c in m[0]) or shaped and not technical else ABSTAIN)
+                bare = m[0].isdigit()
+                add("id_number", m.start(), m.end(), FOR if shaped else AGAINST if bare else ABSTAIN, FOR if named else AGAINST if technical else ABSTAIN, AGAINST if technical else ABSTAIN, FOR if named and any(c.isalpha() for c in m[0]) or shaped and not technical else ABSTAIN if named else AGAINST)
             for m in _PHONE.finditer(text):
                 start, end = m.start(), m.end()
                 n = sum(c.isdigit() for c in re.split(r"(?:ext|x|Durchwahl)", m[0])[0])
@@ -169,16 +174,14 @@ class Labelers:
         while len(words) > 1 and words[0].lower() in self.ordinary and not self.listed(words[0]) and words[0][1:].islower() and re.match(r"[^\W\d_]+ ", text[start:end]):
             start += len(words.pop(0)) + 1  # a sentence's first word before a name
         long = [w for w in words if len(w) > 1]
-        if not long or all(w.lower() in _WEEK for w in long):
-            return
-        listed = [self.listed(w) for w in long]
+        if not long or all(w.lower() in _WEEK for w in long) or len({w.lower() for w in long}) < len(long):
+            return  # nobody has the same name twice
         usual = [w.lower() in self.ordinary for w in long]
-        if all(usual) and not all(listed):
-            return
+        listed = [self.listed(w) for w in long]
         before, after = text[max(0, start - 40) : start], text[end : end + 40]
         cue, follows = _BEFORE.search(before), _AFTER.search(after)
-        if len(long) == 1 and not cue and not follows and (not listed[0] or usual[0]):
-            return
+        if all(usual) and not any(listed) and not cue and not follows:
+            return  # ordinary words that nothing speaks for
         code = re.search(r"[`$]\w*$|(?:section|the|a|an|of|in|from|with|every|our)\s$", before, re.I)
         add(
             "name", start, end, FOR if all(listed) else ABSTAIN if any(listed) else AGAINST, FOR if cue else ABSTAIN, FOR if follows else ABSTAIN,
@@ -189,7 +192,8 @@ class Labelers:
         shape = re.sub(r"[A-ZÀ-Þ]+", "A", re.sub(r"[a-zß-ÿ]+", "a", re.sub(r"\d", "0", text[s.start : s.end])))[:24]
         before = [w.lower() for w in _WORD.findall(text[max(0, s.start - 40) : s.start])[-3:]]
         after = [w.lower() for w in _WORD.findall(text[s.end : s.end + 30])[:2]]
-        found = [f"s {shape}", f"v {s.votes}", *(f"b{k} {w}" for k, w in enumerate(reversed(before))), *(f"a{k} {w}" for k, w in enumerate(after)), "b " + " ".join(before[-2:])]
+        opens = s.start == 0 or text[max(0, s.start - 8) : s.start].rstrip(" >*_-")[-1:] in (".", "!", "?", "\n", "")
+        found = [f"s {shape}", f"o {opens} {' ' in text[s.start : s.end]}", *(f"b{k} {w}" for k, w in enumerate(reversed(before))), *(f"a{k} {w}" for k, w in enumerate(after)), "b " + " ".join(before[-2:])]
         return sorted({xxhash.xxh32_intdigest(f"{s.kind} {f}") % BUCKETS for f in found})
 
 
@@ -218,22 +222,38 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = EM_ROUNDS) -> d
     return dict(zip(keys, p.tolist()))
 
 
+#: Names of organisations and of accounts that nobody in person has; their words are left out of the gazetteer.
+ORGANISATION = r"(?i)\b(?:the|team|gmbh|ltd|llc|inc|ag|kg|corp|bot|your|name|user|root|admin\w*|unknown|nobody|ci|build\w*|no-?reply|test)\b"
+_PATTERNS = 3**5
+
+
+def _code(votes: tuple[int, ...]) -> int:
+    return sum(v * 3**k for k, v in enumerate(votes))
+
+
+def _votes(code: int) -> tuple[int, ...]:
+    return tuple(code // 3**k % 3 for k in range(5))
+
+
 @dataclass
 class Model:
-    """What EM and training give: pattern probabilities by type, and log odds by feature bucket."""
+    """What EM and training give: log odds by type and vote pattern, and by type and feature bucket."""
 
-    patterns: dict[str, dict[tuple[int, ...], float]]
+    patterns: np.ndarray
     weights: np.ndarray
 
-    def accepts(self, s: Span) -> bool:
-        p = min(max(self.patterns.get(s.kind, {}).get(s.votes, 0.5), 1e-6), 1 - 1e-6)
-        trained = float(self.weights[s.features].sum()) if s.features else 0.0
-        return math.log(p / (1 - p)) + 0.5 * max(-6.0, min(6.0, trained)) > 0
+    def accepts(self, kinds: np.ndarray, votes: np.ndarray, sizes: np.ndarray, features: np.ndarray) -> np.ndarray:
+        """Of each span whether it is a case; sizes: its number of features."""
+        total = np.r_[0.0, np.cumsum(self.weights[np.repeat(kinds, sizes), features])]
+        ends = np.cumsum(sizes)
+        words = total[ends] - total[ends - sizes]
+        return np.clip(self.patterns[kinds, votes], -VOTES_CLIP, VOTES_CLIP) + np.clip(words, -WORDS_CLIP, WORDS_CLIP) > 0
 
 
 def gazetteer(names: DataFrame, name: str) -> np.ndarray:
-    """A fixed-size bit set of the words of all names, added up in Spark; at most GAZETTEER_BITS / 64 rows are collected."""
-    words = names.select(F.explode(F.split(F.lower(name), r"[^\p{L}]+")).alias("w")).filter(F.length("w") >= 3).distinct()
+    """A fixed-size bit set of the words of all people's names, added up in Spark; at most GAZETTEER_BITS / 64 rows are collected."""
+    people = names.filter(~F.col(name).rlike(ORGANISATION))
+    words = people.select(F.explode(F.split(F.lower(name), r"[^\p{L}]+")).alias("w")).filter(F.length("w") >= 3).distinct()
     h = F.pmod(F.xxhash64("w"), F.lit(GAZETTEER_BITS))
     packed = words.select(F.shiftright(h, 6).alias("at"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(w), {GAZETTEER_BITS}) & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
     bits = np.zeros(GAZETTEER_BITS >> 6, np.uint64)
@@ -242,28 +262,73 @@ def gazetteer(names: DataFrame, name: str) -> np.ndarray:
     return bits
 
 
-def train(bodies: DataFrame, labelers) -> Model:
-    """Votes of all spans are counted by pattern, EM turns counts into probabilities, and features are weighted by them."""
+_LISTS = ("starts", "ends", "kinds", "votes", "sizes", "features")
+
+
+def search(bodies: DataFrame, labelers) -> DataFrame:
+    """(source_table, record_key, body) with the spans of each body: their ends, types, votes as a number, and features."""
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = labelers()
+        known, at = labelers(), {k: i for i, k in enumerate(TYPES)}
         for batch in batches:
-            out = [s for text in batch.column("body").to_pylist() for s in known.spans(text)]
-            yield pa.RecordBatch.from_arrays([pa.array([s.kind for s in out], pa.string()), pa.array([list(s.votes) for s in out], pa.list_(pa.int32())), pa.array([s.features for s in out], pa.list_(pa.int32()))], ["kind", "votes", "features"])
-
-    spans = stored(bodies.select("body").mapInArrow(voted, "kind string, votes array<int>, features array<int>"))
-    counts: dict[str, dict[tuple[int, ...], int]] = {}
-    for kind, votes, n in spans.groupBy("kind", "votes").count().collect():
-        counts.setdefault(kind, {})[tuple(votes)] = n
-    patterns = {kind: estimate(c) for kind, c in counts.items()}
-    rows = [(kind, list(v), p) for kind, c in patterns.items() for v, p in c.items()]
-    soft = bodies.sparkSession.createDataFrame(rows, "kind string, votes array<int>, p double")
-    labelled = spans.join(F.broadcast(soft), ["kind", "votes"]).withColumn("bucket", F.explode("features"))
-    sums = np.full((2, BUCKETS), 0.5)
-    for bucket, good, bad in labelled.groupBy("bucket").agg(F.sum("p"), F.sum(1 - F.col("p"))).collect():
-        sums[:, bucket] += good, bad
-    weights = np.log(sums[0] / sums[1])
-    return Model(patterns, np.clip(weights, -3, 3) * 0.5)
+            found = [known.spans(text) for text in batch.column("body").to_pylist()]
+            columns = (
+                [[s.start for s in x] for x in found], [[s.end for s in x] for x in found], [[at[s.kind] for s in x] for x in found], [[_code(s.votes) for s in x] for x in found],
+                [[len(s.features) for s in x] for x in found], [[f for s in x for f in s.features] for x in found],
+            )
+            kept = ["source_table", "record_key", "body"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, pa.list_(pa.int32())) for c in columns)], [*kept, *_LISTS])
+
+    return bodies.select("source_table", "record_key", "body").mapInArrow(voted, "source_table string, record_key string, body string, " + ", ".join(f"{c} array<int>" for c in _LISTS))
+
+
+def _flat(batch: pa.RecordBatch, *columns: str) -> list[np.ndarray]:
+    return [batch.column(c).flatten().to_numpy() for c in columns]
+
+
+def train(spans: DataFrame) -> Model:
+    """Vote patterns are counted, EM turns counts into probabilities, and of the spans that it is sure of features are weighted.
+
+    A weight is shrunk towards none where a class has few spans, so a type without cases or without others has none.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(TYPES) * _PATTERNS, np.int64)
+        for batch in batches:
+            kinds, votes = _flat(batch, "kinds", "votes")
+            total += np.bincount(kinds * _PATTERNS + votes, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
+
+    counts: dict[int, dict[tuple[int, ...], int]] = {}
+    for at, n in spans.select("kinds", "votes").mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n")).collect():
+        counts.setdefault(at // _PATTERNS, {})[_votes(at % _PATTERNS)] = n
+    soft = np.full((len(TYPES), _PATTERNS), 0.5)
+    for kind, held in counts.items():
+        for votes, p in estimate(held).items():
+            soft[kind, _code(votes)] = min(max(p, 1e-6), 1 - 1e-6)
+    sent = spans.sparkSession.sparkContext.broadcast(soft)
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, len(TYPES) * (BUCKETS + 1)))
+        for batch in batches:
+            kinds, votes, sizes, features = _flat(batch, "kinds", "votes", "sizes", "features")
+            p = sent.value[kinds, votes]
+            sure = (p < SURE) | (p > 1 - SURE)
+            for k, weight in enumerate((p * sure, (1 - p) * sure)):
+                total[k] += np.bincount(kinds * (BUCKETS + 1) + BUCKETS, weight, total.shape[1])
+                total[k] += np.bincount(np.repeat(kinds, sizes) * (BUCKETS + 1) + features, np.repeat(weight, sizes), total.shape[1])
+        at = np.flatnonzero(total.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[0, at]), pa.array(total[1, at])], ["at", "good", "bad"])
+
+    sums = np.zeros((2, len(TYPES) * (BUCKETS + 1)))
+    for at, good, bad in spans.select("kinds", "votes", "sizes", "features").mapInArrow(weighed, "at long, good double, bad double").groupBy("at").agg(F.sum("good"), F.sum("bad")).collect():
+        sums[:, at] = good, bad
+    sums = sums.reshape(2, len(TYPES), BUCKETS + 1)
+    share = sums[:, :, -1:] + 1
+    share = share / share.sum(0)
+    weights = np.log(sums[0, :, :-1] + share[0]) - np.log(sums[1, :, :-1] + share[1]) - np.log(share[0] / share[1])
+    return Model(np.log(soft / (1 - soft)), np.clip(weights, -3, 3) * FEATURE)
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -276,32 +341,44 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[at:]
 
 
+def _decided(records: DataFrame, names: DataFrame, name: str, tokenizers: str, texts: bool) -> DataFrame:
+    bodies = spread(records.filter(F.col("body").rlike(r"\S")).select("source_table", "record_key", "body"))
+    bits = records.sparkSession.sparkContext.broadcast(gazetteer(names, name))
+    spans = stored(search(bodies, lambda: Labelers(bits.value, tokenizers)))
+    model = records.sparkSession.sparkContext.broadcast(train(spans))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, ends, kinds, votes, sizes, features = _flat(batch, *_LISTS) if texts else [None, None, *_flat(batch, *_LISTS[2:])]
+            good = model.value.accepts(kinds, votes, sizes, features)
+            cuts = batch.column("kinds").offsets.to_numpy()
+            cuts = (cuts - cuts[0]).tolist()
+            types, bodies = [], []
+            for k, (low, high) in enumerate(zip(cuts, cuts[1:])):
+                at = [i for i in range(low, high) if good[i]]
+                types.append(sorted({TYPES[kinds[i]] for i in at}))
+                if texts:
+                    text = batch.column("body")[k].as_py()
+                    bodies.append(redact(text, [Span(int(starts[i]), int(ends[i]), TYPES[kinds[i]], ()) for i in at]) if at else text)
+            out = [batch.column("source_table"), batch.column("record_key"), pa.array(types, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(bodies, pa.string())] if texts else out, ["source_table", "record_key", "types", "redacted"][: 3 + texts])
+
+    columns = ("source_table", "record_key", "body", *_LISTS) if texts else ("source_table", "record_key", *_LISTS[2:])
+    return spans.select(*columns).mapInArrow(found, "source_table string, record_key string, types array<string>" + ", redacted string" * texts)
+
+
+def find_types(records: DataFrame, names: DataFrame, name: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """(source_table, record_key, types) as find_pii gives, without reading the texts again."""
+    return _decided(records, names, name, tokenizers, False)
+
+
 def find_pii(records: DataFrame, names: DataFrame, name: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     """(source_table, record_key, types, redacted): each row's types of personal data, and its text with placeholders.
 
     records: (source_table, record_key, body). Null and blank bodies give no row; repeated rows stay. names has a
-    column of people's names, for the gazetteer; nulls in it are ignored.
+    column of people's names, for the gazetteer; nulls and names of organisations in it are ignored.
     """
-    bodies = spread(records.filter(F.col("body").rlike(r"\S")).select("source_table", "record_key", "body"))
-    spark = records.sparkSession
-    bits = spark.sparkContext.broadcast(gazetteer(names, name))
-
-    def labelers() -> Labelers:
-        return Labelers(bits.value, tokenizers)
-
-    model = spark.sparkContext.broadcast(train(bodies, labelers))
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = labelers()
-        for batch in batches:
-            types, texts = [], []
-            for text in batch.column("body").to_pylist():
-                kept = [s for s in known.spans(text) if model.value.accepts(s)]
-                types.append(sorted({s.kind for s in kept}))
-                texts.append(redact(text, kept) if kept else text)
-            yield pa.RecordBatch.from_arrays([batch.column("source_table"), batch.column("record_key"), pa.array(types, pa.list_(pa.string())), pa.array(texts, pa.string())], ["source_table", "record_key", "types", "redacted"])
-
-    return bodies.select("source_table", "record_key", "body").mapInArrow(found, "source_table string, record_key string, types array<string>, redacted string")
+    return _decided(records, names, name, tokenizers, True)
 
 
 def bodies_of(commits: DataFrame, comments: DataFrame) -> DataFrame:

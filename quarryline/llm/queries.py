@@ -62,17 +62,15 @@ full_pair as (select p.repo_id, path_a, path_b, n.n, a.c n_a, b.c n_b, joint fro
   join single a on a.repo_id = p.repo_id and a.path = path_a join single b on b.repo_id = p.repo_id and b.path = path_b)
 """
 
-def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    commits, comments = read(spark, sf_dir, "commits"), read(spark, sf_dir, "review_comments")
-    return pii.find_pii(pii.bodies_of(commits, comments), commits, "author_name")
-
-
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pii(spark, sf_dir).select("source_table", "record_key", F.explode("types").alias("pii_type")).distinct()
+    commits, comments = read(spark, sf_dir, "commits"), read(spark, sf_dir, "review_comments")
+    found = pii.find_types(pii.bodies_of(commits, comments), commits, "author_name")
+    return found.select("source_table", "record_key", F.explode("types").alias("pii_type")).distinct()
 
 
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pii(spark, sf_dir).filter(F.size("types") > 0)
+    commits, comments = read(spark, sf_dir, "commits"), read(spark, sf_dir, "review_comments")
+    rows = pii.find_pii(pii.bodies_of(commits, comments), commits, "author_name").filter(F.size("types") > 0)
     return rows.groupBy("source_table", "record_key").agg(F.min("redacted").alias("body"))
 
 

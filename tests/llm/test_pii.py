@@ -65,3 +65,46 @@ def test_spelt_addresses(text):
     import numpy as np
 
     assert [(s.kind, s.start, s.end) for s in P.Labelers(np.zeros(P.GAZETTEER_BITS >> 6, np.uint64)).spans(text) if s.kind == "email"] == [("email", 0, len(text))]
+
+
+def test_words_overrule_votes_and_votes_overrule_words(spark):
+    """Spans of an undecided vote pattern are told apart by their words; a sure pattern needs no known word."""
+    yes, no, open_, other = P._code((1, 1, 0, 0, 0)), P._code((2, 0, 0, 2, 0)), P._code((1, 0, 0, 2, 0)), 4
+    rows = [(other, yes, [1, 2, 11, 12, 13])] * 60 + [(other, no, [3, 4, 14, 15, 16])] * 60 + [(other, open_, [1, 9])] * 5 + [(other, open_, [3, 9])] * 5 + [(1, yes, [5])] * 20
+    df = spark.createDataFrame([([k], [v], [len(f)], f) for k, v, f in rows], "kinds array<int>, votes array<int>, sizes array<int>, features array<int>").repartition(3)
+    import numpy as np
+
+    model = P.train(df)
+    asked = [(other, open_, [1, 2, 11, 12, 13]), (other, open_, [3, 4, 14, 15, 16]), (other, yes, [77]), (other, no, [77]), (1, yes, [78])]
+    ok = model.accepts(np.array([a[0] for a in asked]), np.array([a[1] for a in asked]), np.array([len(a[2]) for a in asked]), np.array([f for a in asked for f in a[2]]))
+    assert ok.tolist() == [True, False, True, False, True]
+    assert not model.weights[1, 20:].any()  # a type without other spans: words that it lacks say nothing
+
+
+@pytest.mark.parametrize("left_out", range(5))
+def test_recall_without_one_labeler(spark, monkeypatch, left_out):
+    """One labeler that always abstains costs few cases: the others and the words stand in."""
+    spans = P.Labelers.spans
+
+    def without(self, text):
+        found = spans(self, text)
+        for s in found:
+            s.votes = tuple(0 if k == left_out else v for k, v in enumerate(s.votes))
+        return found
+
+    monkeypatch.setattr(P.Labelers, "spans", without)
+    names = spark.createDataFrame([(n,) for n in NAMES], "author_name string")
+    bits = P.gazetteer(names, "author_name")
+    known = P.Labelers(bits)
+    found = [(body, types, known.spans(body)) for body, types, _ in BODIES * 4]
+    at = {k: i for i, k in enumerate(P.TYPES)}
+    rows = [([at[s.kind] for s in x], [P._code(s.votes) for s in x], [len(s.features) for s in x], [f for s in x for f in s.features]) for _, _, x in found]
+    model = P.train(spark.createDataFrame(rows, "kinds array<int>, votes array<int>, sizes array<int>, features array<int>"))
+    import numpy as np
+
+    right = wanted = 0
+    for (_, types, _), (kinds, votes, sizes, features) in zip(found, rows):
+        ok = model.accepts(*(np.array(x, int) for x in (kinds, votes, sizes, features))) if kinds else []
+        got = {P.TYPES[k] for k, good in zip(kinds, ok) if good}
+        right, wanted = right + len(got & types), wanted + len(types)
+    assert right >= 0.9 * wanted

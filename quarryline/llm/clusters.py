@@ -158,8 +158,15 @@ def _node(x: np.ndarray, pivots: np.ndarray | None) -> np.ndarray:
     return np.zeros(len(x), np.int32) if pivots is None else (x @ pivots.T).argmax(1).astype(np.int32)
 
 
-def _agglomerated(features: DataFrame, pivots: dict[str, np.ndarray], least: int) -> DataFrame:
-    """Features are shuffled by node and agglomerated there."""
+def _sides(x: np.ndarray, pivot: np.ndarray | None, bits: int, seed: int) -> np.ndarray:
+    """A part of a heavy node: on which sides of random planes through its pivot a vector lies."""
+    planes = np.random.default_rng(seed).normal(size=(x.shape[1], bits)).astype(np.float32)
+    return ((x if pivot is None else x - pivot) @ planes > 0) @ (1 << np.arange(bits))
+
+
+def _agglomerated(features: DataFrame, pivots: dict[str, np.ndarray], least: int, seed: int = 0) -> DataFrame:
+    """Features are shuffled by node and agglomerated there. A node with more than NODE_LEAVES features is split into
+    parts by random planes, so no group grows with the data though the number of pivots is bounded."""
 
     def node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,23 +176,36 @@ def _agglomerated(features: DataFrame, pivots: dict[str, np.ndarray], least: int
                 out[models == m] = _node(x[models == m], pivots.get(m))
             yield batch.append_column("node", pa.array(out))
 
+    placed = stored(features.mapInArrow(node, "model string, n double, sums array<float>, node int"))
+    # at most two rows for each pivot reach the driver
+    heavy = {(r["model"], r["node"]): math.ceil(math.log2(r["count"] / NODE_LEAVES)) for r in placed.groupBy("model", "node").count().filter(F.col("count") > NODE_LEAVES).collect()}
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, models, out = batch.column("node").to_numpy(), batch.column("model").to_pylist(), np.zeros(batch.num_rows, np.int64)
+            for m, k in {*zip(models, nodes.tolist())} & {*heavy}:
+                at = np.flatnonzero((nodes == k) & (np.array(models) == m))
+                own = pivots.get(m)
+                out[at] = _sides(_units(_matrix(batch.column("sums").take(pa.array(at)))), None if own is None else own[k], heavy[m, k], 1000 * seed + k)
+            yield batch.append_column("part", pa.array(out))
+
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         n, sums = pdf.n.to_numpy(), np.stack(pdf.sums.to_numpy()).astype(np.float64)
         order = np.lexsort([*sums.T[:3], -n])  # the same result in whatever order rows arrive
         n, sums = n[order], sums[order]
-        for k in range(0, len(n), 2 * NODE_LEAVES):  # in parts of bounded size, then what is left together
-            part = ward(n[k : k + 2 * NODE_LEAVES], sums[k : k + 2 * NODE_LEAVES])
-            done = part if not k else (np.r_[done[0], part[0]], np.r_[done[1], part[1]])
-        n, sums = ward(*done) if len(n) > 2 * NODE_LEAVES else done
+        done = [ward(n[k : k + 2 * NODE_LEAVES], sums[k : k + 2 * NODE_LEAVES]) for k in range(0, len(n), 2 * NODE_LEAVES)]
+        n, sums = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+        if len(done) > 1 and len(n) <= 2 * NODE_LEAVES:
+            n, sums = ward(n, sums)  # beyond that, what is left is united by the exact search of all summaries
         keep = n >= least
         return pd.DataFrame({"model": pdf.model.iloc[0], "n": n[keep], "sums": pd.Series(list(sums[keep].astype(np.float32)), dtype=object)})
 
-    placed = features.mapInArrow(node, "model string, n double, sums array<float>, node int")
-    return placed.groupBy("model", "node").applyInPandas(merged, "model string, n double, sums array<float>")
+    parts = placed.mapInArrow(part, "model string, n double, sums array<float>, node int, part long") if heavy else placed.withColumn("part", F.lit(0).cast("long"))
+    return parts.groupBy("model", "node", "part").applyInPandas(merged, "model string, n double, sums array<float>")
 
 
 def _nearest(vectors: DataFrame, centroids: DataFrame, total: int, columns: str, larger: bool) -> DataFrame:
-    """Each row with its most similar centroid (id, similarity) of its model, or with its largest near one.
+    """Each row with its most similar centroid (id, similarity) of its model, or with its largest near one; of equal ones the least id.
 
     Centroids are broadcast in blocks of at most BLOCK; a pass over the rows for each keeps the best so far.
     """
@@ -207,8 +227,8 @@ def _nearest(vectors: DataFrame, centroids: DataFrame, total: int, columns: str,
                 if not batch.num_rows:
                     continue
                 models, x = np.array(batch.column("model").to_pylist()), _units(_matrix(batch.column("v")))
-                near, score, similarity = (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("near", "score", "similarity"))
-                near = np.nan_to_num(near.astype(float), nan=-1).astype(np.int64)
+                near = pc.fill_null(batch.column("near"), -1).to_numpy(zero_copy_only=False).copy()
+                score, similarity = (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("score", "similarity"))
                 for m in np.unique(models):
                     if m not in sent.value:
                         continue
@@ -217,10 +237,11 @@ def _nearest(vectors: DataFrame, centroids: DataFrame, total: int, columns: str,
                     for lo in range(0, len(at), 128):
                         part = at[lo : lo + 128]
                         s = x[part] @ c.T
-                        rank = np.where(s >= MERGE, n[None] - ids[None] * 1e-12, -1.0) if larger else s
-                        best = rank.argmax(1)
+                        rank = np.where(s >= MERGE, n[None], -1.0) if larger else s
+                        best = rank.argmax(1)  # ids are sorted: of equal ranks the least id
                         value = rank[np.arange(len(part)), best]
-                        better = value > score[part]
+                        better = (value > score[part]) | (value == score[part]) & (ids[best] < near[part])
+                        better &= value >= 0 if larger else True
                         near[part[better]], score[part[better]] = ids[best[better]], value[better]
                         similarity[part[better]] = s[np.arange(len(part)), best][better]
                 out = [batch.column(c) for c in batch.schema.names if c not in ("near", "score", "similarity")]
@@ -262,7 +283,7 @@ def cluster_vectors(df: DataFrame, key: str, vector: str, model: str, size: int
     vectors = stored(unit_vectors(df, key, vector, model, size).dropDuplicates(["model", "key", "v"]))
     pivots = _pivots(vectors, vectors.count())
     leaves = vectors.select("model", "v").mapInArrow(lambda batches: _tree(pivots[0], batches), "model string, n double, sums array<float>")
-    features = _agglomerated(_agglomerated(leaves, pivots[0], 1), pivots[1], 2)
+    features = _agglomerated(_agglomerated(leaves, pivots[0], 1), pivots[1], 2, seed=1)
     centroids, count = _united(features)
     assigned = _nearest(vectors, centroids, count, "model string, key string, v array<float>", larger=False)
     near = assigned.filter(F.col("similarity") >= ASSIGN).select("model", "key", F.col("near").alias("cluster"), "similarity")

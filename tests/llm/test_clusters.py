@@ -79,3 +79,31 @@ def test_pivots_are_few_though_all_rows_have_one_key(spark, monkeypatch):
     monkeypatch.setattr(C, "NODE_LEAVES", 100)
     vectors = spark.range(3_000).select(F.lit("a").alias("model"), F.lit("k").alias("key"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("v"))
     assert all(5 < len(held["a"]) < 100 for held in C._pivots(vectors, 3_000))
+
+
+def test_the_largest_near_summary_wins_whatever_the_ids(spark):
+    """Ids of a late partition are large; a summary that isn't near must not win for them, and a larger one must."""
+    late = 400 << 33
+    rows = [("a", late, 2.0, [1.0, 0.0, 0.0]), ("a", late + 1, 3.0, [0.9, 0.1, 0.0]), ("a", late + 2, 900.0, [0.0, 0.0, 1.0]), ("a", late + 3, 3.0, [0.9, 0.1, 0.01]), ("a", (900 << 33) + 7, 2.0, [0.0, -1.0, 0.0])]
+    df = spark.createDataFrame(rows, "model string, id long, n double, sums array<float>")
+    for block in (40_000, 1):
+        C.BLOCK, kept = block, C.BLOCK
+        try:
+            near = C._nearest(df.select("model", "id", F.col("sums").alias("v")), df, 5, "model string, id long, v array<float>", larger=True)
+            assert {r.id - late: r.near - late for r in near.collect()} == {0: 1, 1: 1, 2: 2, 3: 1, (500 << 33) + 7: (500 << 33) + 7}
+        finally:
+            C.BLOCK = kept
+
+
+def test_heavy_nodes_are_split(spark, monkeypatch):
+    """All vectors near one pivot: the node is agglomerated in parts of bounded size, and clusters still come out whole."""
+    monkeypatch.setattr(C, "NODE_LEAVES", 40)
+    monkeypatch.setattr(C, "_pivots", lambda vectors, total: [{}, {}])
+    rows, truth = planted(5, [40, 60, 9, 30, 5, 8] * 6, 300, "a")
+    members, _ = C.cluster_vectors(spark.createDataFrame(rows, SCHEMA).repartition(4), "vector_key", "vector", "model")
+    found: dict = {}
+    for r in members.collect():
+        found.setdefault(r.cluster, []).append(r.key)
+    assert sorted(sorted(k) for k in found.values()) == sorted(truth)
+    x = C._units(np.random.default_rng(2).normal(size=(4000, 64)).astype(np.float32))
+    assert max(np.bincount(C._sides(x, None, 4, 7))) < 600

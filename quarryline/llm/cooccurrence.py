@@ -2,8 +2,10 @@
 
 Items get 32-bit ids, so a pair is one 64-bit code. Each map task turns its baskets into codes and writes them
 as sorted runs with run lengths; the shuffle moves runs to the partition of their code; Spark's external sort
-merges (and spills) the runs there; one streaming pass adds the lengths of equal neighbours. Nothing is held per
-group: a basket of any size is cut into blocks, and a frequent pair arrives as one row per run.
+merges (and spills) the runs there; one streaming pass adds the lengths of equal neighbours. A basket of up to BLOCK
+items is one row; a larger one never is: its items are dealt out to blocks of about BLOCK items, each a row of its own,
+and each pair of blocks is joined in the shuffle, so a basket of any size is spread over tasks. A frequent pair arrives
+as one row per run.
 """
 
 from __future__ import annotations
@@ -15,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, dense_ids
+from ..runtime import cut, dense_ids, stored
 
 #: Renamed paths up to which the map of newest paths is broadcast; it is counted first, and a larger one is joined by shuffle.
 FEW_RENAMES = 100_000
 
-#: Items of a basket that are paired within one row; larger baskets become pairs of blocks.
+#: Items of a basket that are one row; larger baskets become blocks of about as many.
 BLOCK = 256
+#: Ids of a slice of scopes that are coded together.
+SLICE = 1 << 31
 #: Codes that a map task sorts at once, 8 bytes each.
 RUN = 2_000_000
 
@@ -41,7 +45,8 @@ def _codes(left: pa.ListArray, right: pa.ListArray) -> Iterator[np.ndarray]:
             yield ((block[:, i] << 32) | block[:, j]).ravel()
     other, ends = right.values.to_numpy(zero_copy_only=False), right.offsets.to_numpy()
     for r in np.flatnonzero(~lone):
-        yield ((flat[offsets[r] : offsets[r + 1]][:, None] << 32) | other[ends[r] : ends[r + 1]][None, :]).ravel()
+        a, b = flat[offsets[r] : offsets[r + 1]][:, None], other[ends[r] : ends[r + 1]][None, :]
+        yield ((np.minimum(a, b) << 32) | np.maximum(a, b)).ravel()
 
 
 def _run(codes: list[np.ndarray]) -> pa.RecordBatch:
@@ -83,22 +88,27 @@ def _run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([carried], pa.int64())], ["code", "joint"])
 
 
-def count_pairs(baskets: DataFrame) -> DataFrame:
-    """(items array<long>, sorted, distinct, below 2^31) -> (id_a, id_b, joint), each pair of a basket, id_a < id_b."""
-    small = baskets.filter(F.size("items").between(2, BLOCK)).select(F.col("items").alias("left"), F.lit(None).cast("array<long>").alias("right"))
-    large = baskets.filter(F.size("items") > BLOCK).select("items", F.ceil(F.size("items") / BLOCK).cast("int").alias("blocks"))
-    part = lambda k: F.slice("items", F.col(k) * BLOCK + 1, F.lit(BLOCK))
-    large = (
-        large.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("j", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)))
-        .select(part("i").alias("left"), F.when(F.col("i") != F.col("j"), part("j")).alias("right"))
-        .repartition(F.xxhash64("left", "right"))
-    )
-    runs = small.unionByName(large).mapInArrow(_sorted_runs, "code long, length int")
+def _counted(rows: DataFrame) -> DataFrame:
+    """(left, right) -> (id_a, id_b, joint): the pairs within left where right is null, else those of left and right."""
+    runs = rows.mapInArrow(_sorted_runs, "code long, length int")
     counted = runs.repartition("code").sortWithinPartitions("code").mapInArrow(_run_lengths, "code long, joint long")
     return counted.select(F.shiftright("code", 32).alias("id_a"), F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).alias("id_b"), "joint")
 
 
+def blocks_of(items: DataFrame) -> DataFrame:
+    """(scope, basket, size, id) of large baskets -> (left, right): each block of a basket by itself and with each other one.
+
+    size is at least the basket's number of items; an item's block follows from its id. Repeated rows count once.
+    """
+    count = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = items.withColumns({"blocks": count, "block": F.pmod(F.xxhash64("id"), count).cast("int")})
+    held = placed.groupBy("scope", "basket", "blocks", "block").agg(F.sort_array(F.collect_set("id")).alias("items"))
+    alone = held.select(F.col("items").alias("left"), F.lit(None).cast("array<long>").alias("right"))
+    i = held.filter("block < blocks - 1").select("scope", "basket", F.col("block").alias("i"), F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("j"), F.col("items").alias("left"))
+    j = held.filter("block > 0").select("scope", "basket", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("items").alias("right"))
+    return alone.unionByName(i.join(j, ["scope", "basket", "i", "j"]).select("left", "right"))
+
+
 def items_together(records: DataFrame, scope: str, basket: str, item: str, *, min_item: int = 1, min_joint: int = 1) -> DataFrame:
     """Pairs of items of one scope with their joint count and its excess over chance.
 
@@ -109,16 +119,33 @@ def items_together(records: DataFrame, scope: str, basket: str, item: str, *, mi
     each cell (the continuity correction), so it is finite when a cell is empty. An empty table gives no row.
     """
     records = records.select(F.col(scope).alias("scope"), F.col(basket).alias("basket"), F.col(item).alias("item")).filter("scope is not null and basket is not null")
-    n = records.groupBy("scope").agg(F.count_distinct("basket").alias("n"))
+    baskets = records.groupBy("scope", "basket").agg(F.count("item").alias("size"))  # repeated rows make it no smaller
+    n = baskets.groupBy("scope").agg(F.count("*").alias("n"))
+    large = stored(baskets.filter(F.col("size") > BLOCK))
     touched = records.filter("item is not null").distinct()
-    least = max(min_item, min_joint)
-    items = dense_ids(touched.groupBy("scope", "item").agg(F.count("*").alias("n_item")).filter(F.col("n_item") >= least), ["scope", "item"], "id")
-    top = items.agg(F.max("id")).first()[0]
-    if top is not None and top >= 1 << 31:
-        raise ValueError(f"{top + 1} items with at least {least} baskets don't fit in 31 bits; raise min_item")
-    # repeated rows fall away in collect_set, so the pair branch needs no distinct of its own
-    baskets = records.join(items.select("scope", "item", "id"), ["scope", "item"]).groupBy("scope", "basket").agg(F.sort_array(F.collect_set("id")).alias("items"))
-    pairs = count_pairs(baskets).filter(F.col("joint") >= min_joint)
+    items = dense_ids(touched.groupBy("scope", "item").agg(F.count("*").alias("n_item")).filter(F.col("n_item") >= max(min_item, min_joint)), ["scope", "item"], "id")
+    # codes hold ids from the first scope of their slice on, so there may be any number of items, below 2^31 of one scope
+    firsts = items.groupBy("scope").agg(F.min("id").alias("first"), F.count("*").alias("held"))
+    slices, most = firsts.agg(F.coalesce(F.floor(F.max("first") / SLICE) + 1, F.lit(0)), F.coalesce(F.max("held"), F.lit(0))).first()
+    if most > SLICE:
+        raise ValueError(f"a scope has {most} items; a pair code holds {SLICE}")
+    named = records.join(items.select("scope", "item", "id"), ["scope", "item"])
+    many = large.count()
+    pairs = None
+    for k in range(max(1, slices)):
+        rows = named
+        if slices > 1:
+            rows = named.join(firsts.filter(F.floor(F.col("first") / SLICE) == k).select("scope"), "scope").withColumn("id", F.col("id") - k * SLICE)
+        if many:
+            few = F.broadcast(large) if many <= FEW_RENAMES else large
+            rows = rows.join(few, ["scope", "basket"], "left")
+            parts = blocks_of(rows.filter("size is not null").select("scope", "basket", "size", "id"))
+            rows = rows.filter("size is null")
+        # repeated rows fall away in collect_set, so the pair branch needs no distinct of its own
+        small = rows.groupBy("scope", "basket").agg(F.sort_array(F.collect_set("id")).alias("left")).filter(F.size("left") > 1).select("left", F.lit(None).cast("array<long>").alias("right"))
+        part = _counted(small.unionByName(parts) if many else small).select((F.col("id_a") + k * SLICE).alias("id_a"), (F.col("id_b") + k * SLICE).alias("id_b"), "joint")
+        pairs = part if pairs is None else pairs.unionByName(part)
+    pairs = pairs.filter(F.col("joint") >= min_joint)
     a = items.select("scope", F.col("id").alias("id_a"), F.col("item").alias("item_a"), F.col("n_item").alias("n_a"))
     b = items.select(F.col("id").alias("id_b"), F.col("item").alias("item_b"), F.col("n_item").alias("n_b"))
     both = pairs.join(a, "id_a").join(b, "id_b").join(n, "scope")

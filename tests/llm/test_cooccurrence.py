@@ -10,9 +10,10 @@ from quarryline.llm import cooccurrence as X
 from ..fixtures import COMMITS, commit, day
 
 
-@pytest.mark.parametrize("block", [4, 256])
-def test_pairs_against_counting(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "few"), [(4, 100_000), (4, 0), (256, 100_000)])
+def test_pairs_against_counting(spark, monkeypatch, block, few):
     monkeypatch.setattr(X, "BLOCK", block)
+    monkeypatch.setattr(X, "FEW_RENAMES", few)
     rng = random.Random(1)
     baskets = [("s", f"b{k}", item) for k in range(60) for item in rng.sample(range(30), rng.choice([0, 1, 2, 5, 17]))]
     df = spark.createDataFrame([(s, b, f"i{i:02}") for s, b, i in baskets] + [("s", "empty", None), ("s", "b0", None), (None, "b", "x"), ("s", None, "x")], "sc string, ba string, it string")
@@ -45,3 +46,26 @@ def test_renames_cycles_and_extra_columns(spark):
 def test_empty(spark):
     assert X.file_pairs(spark.createDataFrame([], COMMITS)).count() == 0
     assert X.file_pairs(spark.createDataFrame([(None,) * 11], COMMITS)).count() == 0
+
+
+def test_a_large_basket_is_no_one_row(spark, monkeypatch):
+    """A commit of 3,000 files: its blocks hold few items each, and each pair comes out once."""
+    monkeypatch.setattr(X, "BLOCK", 100)
+    df = spark.range(3_000).select(F.lit("s").alias("scope"), F.lit("b").alias("basket"), F.col("id").cast("string").alias("item"))
+    rows = X.blocks_of(df.select("scope", "basket", F.lit(3_000).cast("long").alias("size"), F.col("item").cast("long").alias("id")))
+    assert rows.count() == 30 * 31 // 2 and rows.agg(F.max(F.size("left"))).first()[0] < 200
+    pairs = X.items_together(df, "scope", "basket", "item")
+    assert tuple(pairs.agg(F.count("*"), F.min("joint"), F.max("joint"), F.min("n_a")).first()) == (3_000 * 2_999 // 2, 1, 1, 1)
+
+
+def test_items_beyond_a_slice_of_ids(spark, monkeypatch):
+    monkeypatch.setattr(X, "SLICE", 5)
+    df = spark.createDataFrame([(f"s{s}", f"b{b}", f"i{i}") for s in range(7) for b in range(3) for i in range(s % 5 + 1) if i != b], "scope string, basket string, item string")
+    sets: dict = {}
+    for r in df.collect():
+        sets.setdefault((r.scope, r.basket), set()).add(r.item)
+    expected = Counter((s, *p) for (s, _), items in sets.items() for p in combinations(sorted(items), 2))
+    assert {(r.scope, r.item_a, r.item_b): r.joint for r in X.items_together(df, "scope", "basket", "item").collect()} == dict(expected)
+    with pytest.raises(ValueError, match="items"):
+        monkeypatch.setattr(X, "SLICE", 3)
+        X.items_together(df, "scope", "basket", "item")

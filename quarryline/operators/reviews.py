@@ -122,10 +122,18 @@ def review_patterns(clusters: DataFrame, vectors: DataFrame, comments: DataFrame
     member = clusters.select("cluster_id", F.explode("comments").alias("vector_key")).filter("cluster_id is not null").distinct()
     keys = vectors.select("vector_key", "comment_id").dropDuplicates(["vector_key"])
     rows = member.join(keys, "vector_key").select("cluster_id", "comment_id").distinct().join(current_comments(comments).select("comment_id", "file_path", "body"), "comment_id")
-    rank = rows.withColumn("r", F.row_number().over(W.partitionBy("cluster_id").orderBy("comment_id")))  # a cluster is as long as its list
-    by = rank.groupBy("cluster_id").agg(
-        F.count("*").alias("size"), F.slice(F.sort_array(F.collect_set("file_path")), 1, 10).alias("files"), F.array_sort(F.collect_list(F.when(F.col("r") <= samples, F.struct("comment_id", F.substring("body", 1, 200).alias("body"))))).alias("s"), F.bool_or(F.contains("file_path", F.lit(file or ""))).alias("on_file"),
-    )
+
+    def first(df: DataFrame, column: str, most: int) -> DataFrame:
+        """The first rows of each cluster, taken from parts of it first, so a cluster of any size is spread over tasks."""
+        for part in ((F.pmod(F.xxhash64(column), F.lit(64)),), ()):
+            df = df.withColumn("r", F.row_number().over(W.partitionBy("cluster_id", *part).orderBy(column))).filter(F.col("r") <= most)
+        return df
+
+    listed = lambda c: F.array_sort(F.collect_list(c))
+    by = rows.groupBy("cluster_id").agg(F.count("*").alias("size"), F.bool_or(F.contains("file_path", F.lit(file or ""))).alias("on_file"))
+    files = first(rows.select("cluster_id", "file_path").filter("file_path is not null").distinct(), "file_path", 10).groupBy("cluster_id").agg(listed("file_path").alias("files"))
+    few = first(rows, "comment_id", samples).groupBy("cluster_id").agg(listed(F.struct("comment_id", F.substring("body", 1, 200).alias("body"))).alias("s"))
+    by = by.join(few, "cluster_id").join(files, "cluster_id", "left").withColumn("files", F.coalesce("files", F.array().cast("array<string>")))
     by = by.filter("on_file") if file else by
     return by.select("cluster_id", "size", "files", F.transform("s", lambda x: x["body"]).alias("samples"))
 

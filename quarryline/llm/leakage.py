@@ -4,7 +4,8 @@ Test items are partitioned by size. For each size class every document is cut in
 class's items, overlapping by half, so that a MinHash of a window and of an item can meet although the document is
 far longer than the item. The number of hash functions of a class follows from its sizes and the least containment
 to be found (the conversion of containment into Jaccard similarity for the class's largest size). Items whose minimum
-equals a window's minimum under one function are candidates; exact shared shingles and their order decide.
+equals a window's minimum under one function are candidates; exact shared shingles and their order decide. Items of fewer
+words than a stretch must have are looked up as a whole, exactly.
 Documents aren't shuffled: each task holds the signatures of one block of items, and blocks have a fixed size.
 """
 
@@ -30,8 +31,9 @@ SHINGLE, SEED = 5, 3
 ITEM_BLOCK = 20_000
 #: Ratio of the largest to the smallest item of a size class.
 CLASS_RATIO = 1.5
-#: Least share of an item's shingles within one window that is to be found, and the chance to miss it.
-CONTAINMENT, MISS, MOST_HASHES = 0.08, 0.01, 128
+#: Least share of an item's shingles within one window that is to be found, and the chance to miss it; the hash functions
+#: of a class follow from them (142 for one of full width).
+CONTAINMENT, MISS = 0.08, 0.01
 #: Share of an item's words that a document must hold in one or two stretches, words between seeds of one stretch,
 #: least share of a stretch's words that must agree, and least words of a stretch.
 SHARE, GAP, DENSE, LEAST_STRETCH = 0.5, 10, 0.6, 6
@@ -40,7 +42,7 @@ CHUNK_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W_]+")
 _MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|\[(?=[^\]\n]*\]\()|\]\([^)\s]*\)|[­​-‏⁠﻿]")
-_ODD = np.random.default_rng(20240607).integers(1, 1 << 32, (MOST_HASHES, 2), dtype=np.uint32) | 1
+_ODD = np.random.default_rng(20240607).integers(1, 1 << 32, (1024, 2), dtype=np.uint32) | 1
 
 
 class _Hashes(dict):
@@ -84,19 +86,24 @@ class ItemBlock:
     n_words: list[int]
     all_seeds: np.ndarray
     classes: list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]  # half a window; by hash function: sorted minima, items
+    short: dict[int, dict[int, list[int]]]  # of items too short for a stretch: number of words, hash of all words, items
 
 
 def index_items(items: list[tuple[int, str]]) -> ItemBlock:
     cache = _Hashes()
     hashes = {i: np.array([cache[w] for w in words(text)], np.uint64) for i, text in items}
-    kept = sorted((i for i in hashes if len(hashes[i]) >= SHINGLE), key=lambda i: len(hashes[i]))
+    kept = sorted((i for i in hashes if len(hashes[i]) >= LEAST_STRETCH), key=lambda i: len(hashes[i]))
+    short: dict[int, dict[int, list[int]]] = {}
+    for i, h in hashes.items():
+        if 0 < len(h) < LEAST_STRETCH:
+            short.setdefault(len(h), {}).setdefault(int(_rolled(h, len(h))[0]), []).append(i)
     sizes = [len(hashes[i]) - SHINGLE + 1 for i in kept]
     classes, at = [], 0
     while at < len(kept):
         end = next((k for k in range(at, len(kept)) if sizes[k] > CLASS_RATIO * sizes[at]), len(kept))
         half = max(1, (sizes[end - 1] + 1) // 2)
         jaccard = CONTAINMENT * sizes[at] / (2 * half + sizes[at])
-        functions = min(MOST_HASHES, math.ceil(math.log(MISS) / math.log(1 - jaccard)))
+        functions = math.ceil(math.log(MISS) / math.log(1 - jaccard))
         shingles = [(_rolled(hashes[kept[k]], SHINGLE)[: sizes[k]] >> np.uint64(32)).astype(np.uint32) for k in range(at, end)]
         tables = []
         for j in range(functions):
@@ -106,7 +113,7 @@ def index_items(items: list[tuple[int, str]]) -> ItemBlock:
         classes.append((half, tables))
         at = end
     seeds = [_rolled(hashes[i], SEED)[: len(hashes[i]) - SEED + 1] for i in kept]
-    return ItemBlock(kept, seeds, [len(hashes[i]) for i in kept], np.unique(np.concatenate([*seeds, np.zeros(0, np.uint64)])), classes)
+    return ItemBlock(kept, seeds, [len(hashes[i]) for i in kept], np.unique(np.concatenate([*seeds, np.zeros(0, np.uint64)])), classes, short)
 
 
 def _candidates(block: ItemBlock, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
@@ -196,13 +203,19 @@ def _search(block: ItemBlock, least: float, batches: Iterator[pa.RecordBatch]) -
             share = held_share(block.seeds[k], block.n_words[k], places[low:high], seeds[places[low:high]])
             if share >= least:
                 found.append((ids[d], block.ids[k], share))
+        for n, held in block.short.items():
+            whole = _rolled(hashes, n)
+            at = np.flatnonzero(np.isin(whole, np.array([*held], np.uint64)))
+            d = np.searchsorted(ends, at, "right")
+            inside = at + n <= ends[d]
+            found += sorted({(ids[k], i, 1.0) for p, k in zip(at[inside].tolist(), d[inside].tolist()) for i in held[int(whole[p])]})
         return pa.RecordBatch.from_pylist([dict(zip(("document", "item", "share"), f)) for f in found], schema=pa.schema({"document": pa.int64(), "item": pa.int64(), "share": pa.float64()}))
 
     for batch in batches:
         ids, parts, held = [], [], 0
         for i, text in zip(batch.column("document").to_pylist(), batch.column("text").to_pylist()):
             ws = words(text)
-            if len(ws) < SHINGLE:
+            if not ws:
                 continue
             ids.append(i), parts.append(np.array([cache[w] for w in ws], np.uint64))
             held += len(ws)
@@ -216,8 +229,8 @@ def _search(block: ItemBlock, least: float, batches: Iterator[pa.RecordBatch]) -
 def find_leaks(documents: DataFrame, document: str, text: str, items: DataFrame, item: str, item_text: str, share: float = SHARE) -> DataFrame:
     """(document, item, share): documents holding at least that share of an item's words in order, in one or two stretches.
 
-    Null and empty texts and items of fewer than five words give no row; repeated rows give one row; other columns are
-    ignored. Items are collected in blocks of ITEM_BLOCK for one pass over the documents each.
+    An item of fewer than six words must occur whole. Null and empty texts and items without words give no row; repeated
+    rows give one row; other columns are ignored. Items are collected in blocks of ITEM_BLOCK for one pass over the documents each.
     """
     spark = documents.sparkSession
     items = items.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text")).filter("item is not null and text is not null").distinct()

@@ -74,3 +74,19 @@ def test_held_share_needs_order():
     assert share(item) == 1.0
     assert share(item[30:] + ["x"] * 30 + item[:30]) == 0.5
     assert share(item[:20] + ["x"] * 30 + item[40:]) == 40 / 60
+
+
+def test_short_items_are_looked_up_whole(spark):
+    docs = spark.createDataFrame([(1, "Answer: the quick, brown FOX."), (2, "the quick"), (3, "brown fox"), (4, "quick brown the fox"), (5, "fox"), (6, "the quick brown foxes")], "doc_id long, text string")
+    tests = spark.createDataFrame([(1, "the quick brown fox"), (2, "Fox"), (3, "quick brown"), (4, "!"), (5, "fox the")], "item_id long, item_text string")
+    found = {(r.document, r["item"]) for r in L.find_leaks(docs.coalesce(1), "doc_id", "text", tests, "item_id", "item_text").collect()}
+    assert found == {(1, 1), (1, 2), (3, 2), (4, 2), (5, 2), (1, 3), (4, 3), (6, 3)}
+
+
+def test_hash_functions_meet_the_chance_to_miss():
+    block = L.index_items([(k, " ".join(passage(random.Random(k), n))) for k, n in enumerate(range(60, 160))])
+    sizes = sorted(n - L.SHINGLE + 1 for n in block.n_words)
+    for half, tables in block.classes:
+        least, sizes = sizes[0], [s for s in sizes if s > L.CLASS_RATIO * sizes[0]]
+        assert (1 - L.CONTAINMENT * least / (2 * half + least)) ** len(tables) <= L.MISS
+    assert not sizes and max(len(t) for _, t in block.classes) > 128

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, spread, stored
+from ..runtime import cut, release, spread, stored
 
 #: Cosine similarity of two features' centroids from which they may be one cluster, and of a vector to its cluster.
 MERGE, ASSIGN = 0.8, 0.75
@@ -253,8 +253,10 @@ def _nearest(vectors: DataFrame, centroids: DataFrame, total: int, columns: str,
 
 def _united(features: DataFrame) -> tuple[DataFrame, int]:
     """Summaries merged across nodes: each joins the largest near one, which is followed to its end; what joined is added up, until nothing joins. -> (features with id, count)"""
+    old: tuple[DataFrame, ...] = ()
     while True:
         numbered = stored(features.select("model", F.monotonically_increasing_id().alias("id"), "n", "sums"))
+        release(*old)
         total = numbered.count()
         if not total:
             return numbered, total
@@ -265,10 +267,12 @@ def _united(features: DataFrame) -> tuple[DataFrame, int]:
         while True:
             onward = roots.select(F.col("id").alias("root"), F.col("root").alias("beyond"))
             moved = stored(roots.join(onward, "root").select("id", F.col("beyond").alias("root"), (F.col("root") != F.col("beyond")).alias("moved")))
-            roots = moved.select("id", "root")
+            release(roots)
+            roots = moved
             if not moved.filter("moved").head(1):
                 break
-        points = numbered.join(roots, "id")
+        old = numbered, roots
+        points = numbered.join(roots.select("id", "root"), "id")
         values = points.select("model", "root", "n", F.posexplode("sums").alias("at", "x")).groupBy("model", "root", "at").agg(F.sum("x").alias("x"))
         sums = values.groupBy("model", "root").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"].cast("float")).alias("sums"))
         features = sums.join(points.groupBy("root").agg(F.sum("n").alias("n")), "root").select("model", "n", "sums")

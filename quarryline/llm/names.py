@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stored
+from ..runtime import release, stored
 
 #: Distinct addresses from which a mail domain counts as shared, not as somebody's own.
 SHARED_DOMAIN = 8
@@ -214,16 +214,19 @@ def _components(edges: DataFrame) -> DataFrame:
     Labels spread over keys as minima, which are added up before the shuffle, so a key of any size is one row per task.
     """
     edges = stored(edges.distinct())
-    labels = stored(edges.groupBy("node").agg(F.first("node").alias("label")))
+    held = stored(edges.groupBy("node").agg(F.first("node").alias("label")))
     while True:
+        labels = held.select("node", "label")
         by_key = edges.join(labels, "node").groupBy("key").agg(F.min("label").alias("least"))
         near = edges.join(by_key, "key").groupBy("node").agg(F.min("least").alias("near"))
         spread = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), "label")
         onward = spread.select(F.col("node").alias("next"), F.col("next").alias("beyond"))
         moved = stored(spread.join(onward, "next", "left").select("node", F.least("next", F.coalesce("beyond", "next")).alias("label"), F.col("label").alias("before")))
-        labels = moved.select("node", "label")
+        release(held)
+        held = moved
         if not moved.filter("label != before").head(1):
-            return labels
+            release(edges)
+            return moved.select("node", "label")
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,12 +260,14 @@ def resolve(keys: DataFrame) -> DataFrame:
         words = names.select("label", F.split("name", r"\|").alias("w"))
         forms = words.select("label", F.explode(F.array(F.struct(F.col("w")[0].alias("given"), F.col("w")[1].alias("surname")), F.struct(F.col("w")[1].alias("given"), F.col("w")[0].alias("surname")))).alias("f"))
         meant = forms.select("label", F.explode(F.array(F.concat(F.lit("P:"), F.substring("f.given", 1, 1), F.lit("|"), "f.surname"), F.concat(F.lit("S:"), "f.surname"), F.concat(F.lit("C:"), "f.given", "f.surname"))).alias("form"))
-        owners = meant.groupBy("form").agg(F.min("label").alias("target"), F.max("label").alias("other")).filter("target = other")
+        owners_of = stored(meant.groupBy("form").agg(F.min("label").alias("target"), F.max("label").alias("other")))
+        owners = owners_of.filter("target = other").select("form", "target", F.col("target").alias("other"))
         partial = members.select("label", F.explode("partial").alias("form")).join(names.select("label").distinct(), "label", "left_anti").distinct()
         offers = partial.join(owners, "form").groupBy("label").agg(F.min("target").alias("target"), F.max("target").alias("other")).filter("target = other").select("label", "target")
         # partial profiles that no full one explains belong together if they have the same initial and surname
-        orphans = partial.filter("form like 'P:%'").join(meant.select("form").distinct(), "form", "left_anti").groupBy("form").agg(F.min("label").alias("target"), F.collect_set("label").alias("labels"))
-        offers = offers.unionByName(orphans.select(F.explode("labels").alias("label"), "target").filter("label != target"))
+        orphans = partial.filter("form like 'P:%'").join(owners_of.select("form"), "form", "left_anti").select("form", "label")
+        first = orphans.groupBy("form").agg(F.min("label").alias("target"))
+        offers = offers.unionByName(orphans.join(first, "form").select("label", "target").filter("label != target"))
         # typing slips: in each block all names are compared with the best founded one
         blocks = stored(names.mapInArrow(_blocked, "label string, name string, confirmed boolean, n long, block string"))
         hubs = blocks.groupBy("block").agg(F.max(F.struct("confirmed", "n", "label", "name")).alias("hub"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most")
@@ -270,11 +275,15 @@ def resolve(keys: DataFrame) -> DataFrame:
         near = compared.mapInArrow(_verified, "label string, name string, target string, hub_name string")
         typed = near.groupBy("label").agg(F.min("target").alias("target"), F.max("target").alias("other")).filter("target = other").select("label", "target")
         merges = stored(offers.unionByName(typed).distinct())
+        release(blocks, owners_of)
         if not merges.head(1):
+            release(names, merges)
             break
         joined = _components(merges.select(F.col("label").alias("node"), "target").select(F.explode(F.array("node", "target")).alias("node"), F.concat_ws("\x1f", "node", "target").alias("key")))
         joined = joined.select(F.col("node").alias("label"), F.col("label").alias("united"))
-        entities = stored(entities.join(joined, "label", "left").select("node", F.coalesce("united", "label").alias("label")))
+        united = stored(entities.join(joined, "label", "left").select("node", F.coalesce("united", "label").alias("label")))
+        release(names, merges, entities)
+        entities = united
     return entities.select(F.col("node").alias("key"), F.col("label").alias("entity"))
 
 

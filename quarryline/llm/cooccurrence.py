@@ -92,7 +92,7 @@ def _counted(rows: DataFrame) -> DataFrame:
     """(left, right) -> (id_a, id_b, joint): the pairs within left where right is null, else those of left and right."""
     runs = rows.mapInArrow(_sorted_runs, "code long, length int")
     counted = runs.repartition("code").sortWithinPartitions("code").mapInArrow(_run_lengths, "code long, joint long")
-    return counted.select(F.shiftright("code", 32).alias("id_a"), F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).alias("id_b"), "joint")
+    return counted.select(F.shiftrightunsigned("code", 32).alias("id_a"), F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).alias("id_b"), "joint")
 
 
 def blocks_of(items: DataFrame) -> DataFrame:
@@ -119,9 +119,9 @@ def items_together(records: DataFrame, scope: str, basket: str, item: str, *, mi
     each cell (the continuity correction), so it is finite when a cell is empty. An empty table gives no row.
     """
     records = records.select(F.col(scope).alias("scope"), F.col(basket).alias("basket"), F.col(item).alias("item")).filter("scope is not null and basket is not null")
-    baskets = records.groupBy("scope", "basket").agg(F.count("item").alias("size"))  # repeated rows make it no smaller
+    baskets = stored(records.groupBy("scope", "basket").agg(F.count("item").alias("size")))  # repeated rows make it no smaller
     n = baskets.groupBy("scope").agg(F.count("*").alias("n"))
-    large = stored(baskets.filter(F.col("size") > BLOCK))
+    large = baskets.filter(F.col("size") > BLOCK)
     touched = records.filter("item is not null").distinct()
     items = dense_ids(touched.groupBy("scope", "item").agg(F.count("*").alias("n_item")).filter(F.col("n_item") >= max(min_item, min_joint)), ["scope", "item"], "id")
     # codes hold ids from the first scope of their slice on, so there may be any number of items, below 2^31 of one scope
@@ -129,21 +129,20 @@ def items_together(records: DataFrame, scope: str, basket: str, item: str, *, mi
     slices, most = firsts.agg(F.coalesce(F.floor(F.max("first") / SLICE) + 1, F.lit(0)), F.coalesce(F.max("held"), F.lit(0))).first()
     if most > SLICE:
         raise ValueError(f"a scope has {most} items; a pair code holds {SLICE}")
-    named = records.join(items.select("scope", "item", "id"), ["scope", "item"])
     many = large.count()
+    few = F.broadcast(large) if many <= FEW_RENAMES else large
+    ordinary = records.join(few.select("scope", "basket"), ["scope", "basket"], "left_anti") if many else records
     pairs = None
     for k in range(max(1, slices)):
-        rows = named
+        ids = items.select("scope", "item", "id")
         if slices > 1:
-            rows = named.join(firsts.filter(F.floor(F.col("first") / SLICE) == k).select("scope"), "scope").withColumn("id", F.col("id") - k * SLICE)
-        if many:
-            few = F.broadcast(large) if many <= FEW_RENAMES else large
-            rows = rows.join(few, ["scope", "basket"], "left")
-            parts = blocks_of(rows.filter("size is not null").select("scope", "basket", "size", "id"))
-            rows = rows.filter("size is null")
+            ids = ids.join(firsts.filter(F.floor(F.col("first") / SLICE) == k).select("scope"), "scope").withColumn("id", F.col("id") - k * SLICE)
         # repeated rows fall away in collect_set, so the pair branch needs no distinct of its own
-        small = rows.groupBy("scope", "basket").agg(F.sort_array(F.collect_set("id")).alias("left")).filter(F.size("left") > 1).select("left", F.lit(None).cast("array<long>").alias("right"))
-        part = _counted(small.unionByName(parts) if many else small).select((F.col("id_a") + k * SLICE).alias("id_a"), (F.col("id_b") + k * SLICE).alias("id_b"), "joint")
+        small = ordinary.join(ids, ["scope", "item"]).groupBy("scope", "basket").agg(F.sort_array(F.collect_set("id")).alias("left"))
+        rows = small.filter(F.size("left") > 1).select("left", F.lit(None).cast("array<long>").alias("right"))
+        if many:
+            rows = rows.unionByName(blocks_of(records.join(few, ["scope", "basket"]).join(ids, ["scope", "item"]).select("scope", "basket", "size", "id")))
+        part = _counted(rows).select((F.col("id_a") + k * SLICE).alias("id_a"), (F.col("id_b") + k * SLICE).alias("id_b"), "joint")
         pairs = part if pairs is None else pairs.unionByName(part)
     pairs = pairs.filter(F.col("joint") >= min_joint)
     a = items.select("scope", F.col("id").alias("id_a"), F.col("item").alias("item_a"), F.col("n_item").alias("n_a"))

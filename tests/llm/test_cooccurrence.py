@@ -69,3 +69,9 @@ def test_items_beyond_a_slice_of_ids(spark, monkeypatch):
     with pytest.raises(ValueError, match="items"):
         monkeypatch.setattr(X, "SLICE", 3)
         X.items_together(df, "scope", "basket", "item")
+
+
+def test_codes_hold_ids_of_32_bits(spark):
+    high = (1 << 32) - 1
+    rows = spark.createDataFrame([([5, 1 << 31, high], None), ([high - 1], [3, high])], "left array<long>, right array<long>")
+    assert {tuple(r) for r in X._counted(rows).collect()} == {(5, 1 << 31, 1), (5, high, 1), (1 << 31, high, 1), (3, high - 1, 1), (high - 1, high, 1)}

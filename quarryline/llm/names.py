@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from ..runtime import release, stored
 
-#: Distinct addresses from which a mail domain counts as shared, not as somebody's own.
-SHARED_DOMAIN = 8
+#: Share of a domain's keys whose typed name holds the domain's first word, from which it is somebody's own; one with a single
+#: address is too. A share, unlike a number of addresses, is alike at every size of the input.
+OWN_DOMAIN = 0.2
+_ACCENTS, _PLAIN = "äáàâãåéèêëíìîïöóòôõøúùûüçćčñńšśžżźłßğışřůěęąý", "aaaaaaeeeeiiiioooooouuuucccnnsszzzlsgisrueeay"
 
 # Short forms of given names, by the full form.
 _SHORT = {
@@ -246,8 +248,10 @@ def resolve(keys: DataFrame) -> DataFrame:
     """
     domain = F.lower(F.element_at(F.split(F.col("email"), "@"), -1))
     keys = keys.distinct().withColumn("domain", domain)
-    crowds = keys.filter("email is not null").groupBy("domain").agg(F.count_distinct(F.lower("email")).alias("n"))
-    known = keys.join(crowds, "domain", "left").select("key", "name", "email", "login", (F.coalesce("n", F.lit(0)) < SHARED_DOMAIN).alias("own"))
+    host, typed = F.regexp_extract("domain", r"^([^.\-]+)", 1), F.regexp_replace(F.translate(F.lower("name"), _ACCENTS, _PLAIN), "[^a-z]", "")
+    named = F.avg(F.when((host != "") & F.contains(typed, host), 1.0).otherwise(0.0))
+    owned = keys.filter("email is not null").groupBy("domain").agg(((named >= OWN_DOMAIN) | (F.min(F.lower("email")) == F.max(F.lower("email")))).alias("own"))
+    known = keys.join(owned, "domain", "left").select("key", "name", "email", "login", F.coalesce("own", F.lit(True)).alias("own"))
     readings = stored(known.mapInArrow(_read, "key string, strong array<string>, names array<struct<name:string,confirmed:boolean>>, partial array<string>"))
     strong = readings.select(F.col("key").alias("node"), F.explode("strong").alias("key"))
     lonely = readings.select(F.col("key").alias("node"), F.concat(F.lit("K:"), "key").alias("key"))

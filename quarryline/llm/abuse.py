@@ -12,7 +12,6 @@ lie, without a shuffle.
 
 from __future__ import annotations
 
-import base64
 import math
 import re
 import unicodedata
@@ -25,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import spread
+from .vocabulary import TOKENIZERS, load, whole_words
 
-TOKENIZERS = "/opt/tokenizers"
 #: Labelled samples that the context weights are fitted on at most.
 SAMPLES = 5_000
 #: Words on either side of a hit that make its context; bounds of one word's weight and of a context.
@@ -132,7 +131,7 @@ class Matcher:
     learned: typical words of harmful samples with their class; they go into the trie beside the lexicon.
     """
 
-    def __init__(self, tokenizers: str = TOKENIZERS, learned: dict[str, str] | None = None) -> None:
+    def __init__(self, vocabularies: dict[str, bytes] | None = None, learned: dict[str, str] | None = None) -> None:
         self.single: dict[str, tuple[str, float]] = {}
         self.phrases: dict[str, list[tuple[list[str], int, str, float]]] = {}
         for (kind, weight), text in LEXICON.items():
@@ -152,11 +151,7 @@ class Matcher:
                 self.undoubled.setdefault(_DOUBLE.sub(r"\1", w), set()).add(w)
         self.trie = Trie(sorted(w for w in self.known | self.in_phrases if len(w) >= 3))
         # words that a public vocabulary holds whole are ordinary words, not misspellings
-        self.ordinary: set[str] = set()
-        for name in ("byte_bpe_50k", "byte_bpe_multi_50k"):
-            with open(f"{tokenizers}/{name}.tiktoken", "rb") as f:
-                pieces = (base64.b64decode(line.split()[0]).decode(errors="ignore") for line in f)
-                self.ordinary |= {fold(t[1:]) for t in pieces if t[:1] == " " and t[1:].isalpha()}
+        self.ordinary = {fold(w) for w in whole_words(vocabularies or load())}
         self.vocabulary = frozenset(self.ordinary)
         self.ordinary -= self.known
         # rare words that are typical of hateful samples name groups: they are terms of their own
@@ -360,9 +355,9 @@ def fit_context(matcher: Matcher, samples: list[tuple[str, str]]) -> dict[str, f
     return learned
 
 
-def fit(samples: list[tuple[str, str]], tokenizers: str = TOKENIZERS) -> Model:
+def fit(samples: list[tuple[str, str]], vocabularies: dict[str, bytes] | None = None) -> Model:
     """The model of labelled samples; without any it is empty, and the lexicon decides alone."""
-    matcher = Matcher(tokenizers)
+    matcher = Matcher(vocabularies)
     typical, odds = fit_sentences(matcher, samples)
     return Model(typical, fit_context(matcher, samples), odds)
 
@@ -410,11 +405,13 @@ def score_documents(documents: DataFrame, document: str, text: str, source: str,
     """
     labelled = samples.select(F.col(sample_text).alias("text"), F.col(label).alias("label")).dropna()
     rows = [tuple(r) for r in labelled.orderBy(F.xxhash64("text"), "label").limit(SAMPLES).collect()]
-    model = fit(rows, tokenizers)
+    vocabularies = load(tokenizers)
+    sent = documents.sparkSession.sparkContext.broadcast((vocabularies, fit(rows, vocabularies)))
     rows = documents.select(F.col(document).cast("long").alias("document"), F.col(source).alias("source"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _scored(Matcher(tokenizers, model.typical), model, batches)
+        held, model = sent.value
+        yield from _scored(Matcher(held, model.typical), model, batches)
 
     return spread(rows).mapInArrow(run, "document long, source string, score double, kind string")
 

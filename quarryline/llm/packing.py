@@ -9,7 +9,6 @@ would. Then gaps are updated and the next round begins. Only sizes and ids are s
 
 from __future__ import annotations
 
-import base64
 import math
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -19,23 +18,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import spread, stored
+from .vocabulary import TOKENIZERS, load, ranks
 
-TOKENIZERS = "/opt/tokenizers"
 #: Tokens in a container.
 CAPACITY = 2_048
 #: Kinds of rows after a sweep.
 MATCHED, ITEM_LEFT, GAP_LEFT = 0, 1, 2
 
 
-def token_counter(tokenizers: str = TOKENIZERS) -> Callable[[str], int]:
+def token_counter(vocabularies: dict[str, bytes] | None = None) -> Callable[[str], int]:
     """Counts the tokens of a whole text in the byte-level vocabulary of 50,257. Pieces between which nothing merges are counted once and remembered."""
     import regex
     import tiktoken
 
     pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    with open(f"{tokenizers}/byte_bpe_50k.tiktoken", "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encoding = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    encoding = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks(vocabularies or load()), special_tokens={})
     pieces, memo = regex.compile(pattern), {}
 
     def count(text: str) -> int:
@@ -57,8 +54,10 @@ def token_counter(tokenizers: str = TOKENIZERS) -> Callable[[str], int]:
 def token_sizes(documents: DataFrame, document: str, text: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     """(document, tokens) for every row; null and empty texts have 0 tokens."""
 
+    sent = documents.sparkSession.sparkContext.broadcast(load(tokenizers))
+
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = token_counter(tokenizers)
+        count = token_counter(sent.value)
         for batch in batches:
             sizes = [count(t) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("document"), pa.array(sizes, pa.int64())], ["document", "tokens"])

@@ -9,7 +9,6 @@ searched once, where they lie, and stored with their spans; what is shuffled are
 
 from __future__ import annotations
 
-import base64
 import math
 import re
 from collections.abc import Iterator
@@ -22,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import spread, stored
+from .vocabulary import TOKENIZERS, load, whole_words
 
-TOKENIZERS = "/opt/tokenizers"
 TYPES = ("email", "address", "id_number", "phone", "name")
 #: Bits of the hashed gazetteer of name words, and buckets of hashed features: both bound what is broadcast.
 GAZETTEER_BITS, BUCKETS = 1 << 22, 1 << 14
@@ -87,14 +86,10 @@ class Span:
 class Labelers:
     """Finds candidate spans and lets the labelers vote."""
 
-    def __init__(self, bits: np.ndarray, tokenizers: str = TOKENIZERS) -> None:
+    def __init__(self, bits: np.ndarray, vocabularies: dict[str, bytes] | None = None) -> None:
         self.bits = bits
         self.memo: dict[str, bool] = {}
-        self.ordinary: set[str] = set()
-        for name in ("byte_bpe_50k", "byte_bpe_multi_50k"):
-            with open(f"{tokenizers}/{name}.tiktoken", "rb") as f:
-                pieces = (base64.b64decode(line.split()[0]).decode(errors="ignore") for line in f)
-                self.ordinary |= {t[1:] for t in pieces if t[:1] == " " and t[1:].isalpha() and t[1:].islower()}
+        self.ordinary = {w for w in whole_words(vocabularies or load()) if w.islower()}
 
     def listed(self, word: str) -> bool:
         """Whether the gazetteer has the word."""
@@ -343,8 +338,8 @@ def redact(text: str, spans: list[Span]) -> str:
 
 def _decided(records: DataFrame, names: DataFrame, name: str, tokenizers: str, texts: bool) -> DataFrame:
     bodies = spread(records.filter(F.col("body").rlike(r"\S")).select("source_table", "record_key", "body"))
-    bits = records.sparkSession.sparkContext.broadcast(gazetteer(names, name))
-    spans = stored(search(bodies, lambda: Labelers(bits.value, tokenizers)))
+    sent = records.sparkSession.sparkContext.broadcast((gazetteer(names, name), load(tokenizers)))
+    spans = stored(search(bodies, lambda: Labelers(*sent.value)))
     model = records.sparkSession.sparkContext.broadcast(train(spans))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,9 @@ import sys
 from pathlib import Path
 
 import __spark_entry__ as entry
+from quarryline.plans import build
+from quarryline.sources import notes as notes_source
+from quarryline.sources.config import BuildConfig
 from quarryline.streaming import commit_stream, distinct_commits, windowed_churn
 
 from .fixtures import sample
@@ -32,3 +35,16 @@ def test_stream(spark, tmp_path):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_build_stores_an_index(spark, tmp_path):
+    path = str(tmp_path / "index")
+    comments = spark.createDataFrame([(1, "Why does the retry loop never stop here?", "ana"), (2, "LGTM", "ana")], "comment_id long, body string, author string")
+    documents = spark.createDataFrame([("README.md", "# Run\nuv run app\n"), ("Makefile", "all:\n\tmake x\n")], "path string, content string")
+    notes = spark.createDataFrame([("n1", "high"), ("n1", "low"), ("n2", "low")], "id string, confidence string").coalesce(1)
+    out = build.build(sample(spark), comments, documents, notes, path, "2026-01-10 00:00:00", BuildConfig(min_shared_commits=1.5))
+    stored = notes_source.load_metadata(spark, path).first()
+    assert (stored.total_commits_analyzed, stored.comment_count, stored.snippet_count, stored.note_count) == (5, 1, 2, 2)
+    assert notes_source.has_index(spark, path) and notes_source.load_notes(spark, path).count() == 2
+    assert spark.read.parquet(f"{path}/edges").count() == out["edges"].count() > 0
+    assert build.recent(sample(spark), "2026-03-03 12:00:00", 2).count() == 1

@@ -4,7 +4,8 @@ As many containers as the tokens need at least are open from the start. In each
 gaps of the containers are range-sorted together by size and swept upwards: a gap takes the largest document that lies
 before it, which is the best fit. A task sweeps its range with a stack; documents and gaps left over are matched
 between ranges by rank, from one pair of counts per range on the driver, so a round gives what one sweep over all rows
-would. Then gaps are updated and the next round begins. Only sizes and ids are shuffled, never texts.
+would. Then gaps are updated and the next round begins. The rounds of a small rest, of bounded size, are the same sweeps
+within one task. Only sizes and ids are shuffled, never texts.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .vocabulary import TOKENIZERS, load, ranks
 
 #: Tokens in a container.
 CAPACITY = 2_048
+#: Rows up to which what is left, when it is a tenth of the items at most, is swept to its end in one task.
+LAST = 50_000
 #: Kinds of rows after a sweep.
 MATCHED, ITEM_LEFT, GAP_LEFT = 0, 1, 2
 
@@ -65,9 +68,40 @@ def token_sizes(documents: DataFrame, document: str, text: str, tokenizers: str
     return spread(documents.select(F.col(document).cast("long").alias("document"), F.col(text).alias("text"))).mapInArrow(sized, "document long, tokens long")
 
 
+_SWEPT = pa.schema({"kind": pa.int32(), "item": pa.int64(), "size": pa.int64(), "bin": pa.int64(), "gap": pa.int64(), "rank": pa.int64()})
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _SWEPT)] if out else [pa.array([], t.type) for t in _SWEPT], schema=_SWEPT)
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sweeps of a small rest, one after the other, until nothing fits. Gaps left are those at the end."""
+    items: list[tuple[int, int]] = []
+    gaps: list[tuple[int, int]] = []
+    for batch in batches:
+        for size, kind, i in zip(batch.column("size").to_pylist(), batch.column("kind").to_pylist(), batch.column("id").to_pylist()):
+            (gaps if kind else items).append((size, i))
+    out, matched = [], True
+    while matched and items:
+        matched, stack, left = False, [], []
+        for size, kind, i in sorted([(s, 0, i) for s, i in items] + [(s, 1, i) for s, i in gaps]):
+            if kind == 0:
+                stack.append((size, i))
+            elif stack:
+                taken, item = stack.pop()
+                out.append((MATCHED, item, taken, i, size, 0))
+                left.append((size - taken, i))
+                matched = True
+            else:
+                left.append((size, i))
+        items, gaps = stack, left
+    out += [(ITEM_LEFT, i, size, None, None, k) for k, (size, i) in enumerate(sorted(items, reverse=True))]
+    yield _rows(out + [(GAP_LEFT, None, None, i, size, k) for k, (size, i) in enumerate(sorted(gaps))])
+
+
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One range of (size, kind, id), sorted upwards. -> matched pairs, items left (rank 0 is the largest), gaps left (in order)."""
-    schema = pa.schema({"kind": pa.int32(), "item": pa.int64(), "size": pa.int64(), "bin": pa.int64(), "gap": pa.int64(), "rank": pa.int64()})
     stack: list[tuple[int, int]] = []
     gaps = 0
     for batch in batches:
@@ -81,10 +115,9 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 out.append((GAP_LEFT, None, None, i, size, gaps))
                 gaps += 1
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)] if out else [pa.array([], t.type) for t in schema], schema=schema)
+        yield _rows(out)
     left = [(ITEM_LEFT, i, size, None, None, k) for k, (i, size) in enumerate(reversed(stack))]
-    if left:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*left), schema)], schema=schema)
+    yield _rows(left)
 
 
 def _between_ranges(items: dict[int, int], gaps: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
@@ -109,14 +142,15 @@ def _between_ranges(items: dict[int, int], gaps: dict[int, int]) -> list[tuple[i
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(item, size) with 0 < size <= capacity -> (item, size, bin). Items are distinct; bins are numbered from 0."""
     spark = items.sparkSession
-    total, large = items.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count_if(F.col("size") * 2 > capacity)).first()
+    total, large, count = items.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count_if(F.col("size") * 2 > capacity), F.count("*")).first()
     opened = max(math.ceil(total / capacity), large)
     rows = items.select("size", F.lit(0).alias("kind"), F.col("item").alias("id"))
     bins = spark.range(opened).select(F.lit(capacity).cast("long").alias("size"), F.lit(1).alias("kind"), "id")
-    placed = []
+    placed, last = [], False
     while True:
-        events = rows.unionByName(bins).repartitionByRange("size", "kind", "id").sortWithinPartitions("size", "kind", "id")
-        swept = stored(events.mapInArrow(_sweep, "kind int, item long, size long, bin long, gap long, rank long").withColumn("part", F.spark_partition_id()))
+        events = rows.unionByName(bins)
+        events = events.coalesce(1) if last else events.repartitionByRange("size", "kind", "id").sortWithinPartitions("size", "kind", "id")
+        swept = stored(events.mapInArrow(_finish if last else _sweep, "kind int, item long, size long, bin long, gap long, rank long").withColumn("part", F.spark_partition_id()))
         counts = swept.groupBy("part", "kind").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"), F.min("size").alias("least")).collect()
         left = {r["part"]: r["n"] for r in counts if r["kind"] == ITEM_LEFT}
         segments = _between_ranges(left, {r["part"]: r["n"] for r in counts if r["kind"] == GAP_LEFT})
@@ -136,9 +170,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         placed.append(taken.select("item", "size", "bin"))
         if matched == sum(r["n"] for r in counts if r["kind"] != GAP_LEFT):
             break
-        free = taken.select("bin", (F.col("gap") - F.col("size")).alias("gap")).unionByName(unfilled)
+        free = unfilled if last else taken.select("bin", (F.col("gap") - F.col("size")).alias("gap")).unionByName(unfilled)
+        waits = sum(r["n"] for r in counts if r["kind"] != GAP_LEFT) - matched
+        rest = waits + matched + sum(r["n"] for r in counts if r["kind"] == GAP_LEFT)
         least = min(r["least"] for r in counts if r["kind"] == ITEM_LEFT)
-        if not matched:
+        ended, last = last or not matched, waits * 10 <= count and rest <= LAST
+        if ended:
             # nothing fits any more: new containers take runs of what is left, cut by the running sum of sizes
             before, start = {}, 0
             for r in sorted((r for r in counts if r["kind"] == ITEM_LEFT), key=lambda r: -r["part"]):

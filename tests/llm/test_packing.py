@@ -27,8 +27,9 @@ def sweep(sizes, capacity):
     return len(gaps), 0
 
 
-@pytest.mark.parametrize("spread", [False, True])
-def test_pack_is_one_sweep_over_all(spark, spread):
+@pytest.mark.parametrize(("spread", "last"), [(False, 50_000), (True, 50_000), (True, 0)])
+def test_pack_is_one_sweep_over_all(spark, monkeypatch, spread, last):
+    monkeypatch.setattr(K, "LAST", last)
     rng = random.Random(7)
     sizes = [rng.choice([1, 2, 3, 5, 8, 13, 40, 60, 61, 100]) for _ in range(400)]
     spark.conf.set("spark.sql.adaptive.enabled", str(not spread).lower())  # without it rows stay in several ranges
@@ -110,3 +111,14 @@ def test_documents_of_more_than_a_million_pieces(spark, monkeypatch):
     monkeypatch.setattr(K, "token_sizes", lambda *_: long)
     full = K.fill_containers(long, "document", "document", 1).agg(F.count("*").alias("n"), F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens")).first()
     assert tuple(full) == (2 * n, 2 * n, 2 * n)
+
+
+def test_a_small_rest_is_packed_as_in_rounds(spark, monkeypatch):
+    """The same containers come out whether the last rounds run in one task or in Spark."""
+    rng = random.Random(3)
+    items = spark.createDataFrame([(k, rng.choice([3, 5, 7, 11, 13, 29, 31, 60])) for k in range(500)], "item long, size long")
+    results = []
+    for last in (50_000, 0):
+        monkeypatch.setattr(K, "LAST", last)
+        results.append({r.item: r.bin for r in K.pack(items, 100).collect()})
+    assert results[0] == results[1] and len(results[0]) == 500

@@ -15,8 +15,9 @@ from .vectors import centroids
 # Categories of a comment.
 CATEGORIES = ("bug", "security", "performance", "architecture", "convention", "nitpick", "question", "praise")
 
+# number is a bigint: what stands in for it may be a key beyond the range of int.
 PULL_REQUEST = """
-number int, title string, mergedAt string, author struct<login:string>,
+number bigint, title string, mergedAt string, author struct<login:string>,
 reviewThreads struct<nodes:array<struct<isResolved:boolean, path:string, line:int, comments:struct<nodes:array<struct<body:string, author:struct<login:string>, createdAt:string, diffHunk:string>>>>>>,
 reviews struct<nodes:array<struct<state:string, author:struct<login:string>, body:string, submittedAt:string>>>,
 comments struct<nodes:array<struct<body:string, author:struct<login:string>, createdAt:string>>>

@@ -120,7 +120,7 @@ def pull_request_threads(spark, d):
     first = F.array(note(F.col("body"), F.col("author")))
     replies = F.transform(F.coalesce("thread_comments", F.array().cast("array<string>")), lambda b: note(b, F.lit("someone")))
     thread = F.struct(F.col("is_resolved").alias("isResolved"), F.col("file_path").alias("path"), F.col("line").alias("line"), F.struct(F.concat(first, replies).alias("nodes")).alias("comments"))
-    node = F.to_json(F.struct(F.col("comment_id").cast("int").alias("number"), F.struct(F.array(thread).alias("nodes")).alias("reviewThreads")))
+    node = F.to_json(F.struct(F.col("comment_id").alias("number"), F.struct(F.array(thread).alias("nodes")).alias("reviewThreads")))
     flat = R.flatten_pull_requests(c.select(F.from_json(node, R.PULL_REQUEST).alias("n")).select("n.*"))
     return flat.select("pr_number", "file_path", F.coalesce("line", F.lit(-1)).alias("line"), "body", "author", F.size("thread_comments").alias("replies"), F.col("is_resolved").cast("string").alias("is_resolved"))
 

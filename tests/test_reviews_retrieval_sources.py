@@ -10,6 +10,7 @@ from quarryline.operators import evidence as E
 from quarryline.operators import retrieval as Q
 from quarryline.operators import reviews as R
 from quarryline.operators import vectors as V
+from quarryline.plans import registry
 from quarryline.sources import exports, git_log, notes
 from quarryline.sources import notes as N
 from quarryline.sources.config import BuildConfig, months_of
@@ -48,6 +49,15 @@ def test_pull_requests(spark):
     assert next(r for r in found if r.author == "eve").created_at.year == 1970
 
 
+def test_threads_of_keys_beyond_int(spark, tmp_path):
+    long, far = "Please take the lock before the loop.", 2**31
+    rows = [(7, "a.py", 3, long, "ann", True, "@@", ["ok", None]), (far + 7, "b.py", None, long, None, False, None, None), (far + 7, "b.py", None, long, None, False, None, None), (-far - 1, None, 1, long, "bob", None, None, []), (2**63 - 1, "c.py", 1, long, "eve", True, None, ["ok"]), (far + 8, "d.py", 1, "LGTM", "x", True, None, []), (None, "e.py", 1, long, "x", True, None, [])]
+    schema = "comment_id bigint, file_path string, line int, body string, author string, is_resolved boolean, diff_context string, thread_comments array<string>"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "review_comments.parquet"))
+    found = {tuple(r) for r in registry.pull_request_threads(spark, str(tmp_path)).collect()}
+    assert found == {(7, "a.py", 3, long, "ann", 2, "true"), (far + 7, "b.py", -1, long, "ghost", 0, "false"), (-far - 1, None, 1, long, "bob", 0, None), (2**63 - 1, "c.py", 1, long, "eve", 1, "true")}
+
+
 def test_provider_and_cache(spark):
     def provider(texts):
         if any("boom" in t for t in texts):
